@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from patchloom.llm import simhash, url_reputation
+import public_tokenizers
+
+from patchloom.llm import bpe, exact_topk, simhash, url_reputation, warc
 
 
 def _table(name):
@@ -12,14 +14,26 @@ def _table(name):
 documents, pages, labels, benchmark, embeddings = map(_table, ("documents", "pages", "labels", "benchmark", "embeddings"))
 
 
+def op1_bpe(spark, sf_dir):
+    return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+def op2_warc(spark, sf_dir):
+    return warc.archive_round_trip(pages(spark, sf_dir))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_exact_topk(spark, sf_dir):
+    return exact_topk.exact_topk(embeddings(spark, sf_dir))
+
+
 def op10_url_reputation(spark, sf_dir):
     return url_reputation.url_filter(pages(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op10_url_reputation)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_simhash, op9_exact_topk, op10_url_reputation)}
 
-ORACLE_SQL = {"op10_url_reputation": url_reputation.oracle()}
+ORACLE_SQL = {"op2_warc": warc.oracle(), "op9_exact_topk": exact_topk.oracle(), "op10_url_reputation": url_reputation.oracle()}

@@ -77,17 +77,16 @@ def _strength(units: DataFrame) -> DataFrame:
     room = one * (F.col("n") - F.col("nn") / F.col("n") - (F.col("g") - 1))
     rho = F.try_divide(spread - one * (F.col("g") - 1), F.when(room > 0, room))
     rho = F.least(F.greatest(F.coalesce(rho, F.lit(0.5)), F.lit(0.01)), F.lit(0.99))
-    return total.select(F.lit(1).alias("one"), (1 / rho - 1).alias("s"))
+    return total.select((1 / rho - 1).alias("s"))
 
 
 def _shrink(units: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Posterior ``a``, ``b`` and ``mean`` of each unit under its parent's mean."""
     prior = parents.select(F.col(key).alias("_up"), F.col("mean").alias("_m"))
-    s = F.broadcast(_strength(units))  # one row
-    joined = units.withColumn("one", F.lit(1)).join(prior, F.col(key) == F.col("_up"), "left").join(s, "one", "left")
-    m, w = F.coalesce("_m", F.lit(0.5)), F.coalesce("s", F.lit(1.0))
+    joined = units.join(prior, F.col(key) == F.col("_up"), "left")
+    m, w = F.coalesce("_m", F.lit(0.5)), F.coalesce(_strength(units).scalar(), F.lit(1.0))
     a, b = w * m + F.col("k"), w * (1 - m) + F.col("n") - F.col("k")
-    return joined.withColumns({"a": a, "b": b}).withColumn("mean", F.expr("a / (a + b)")).drop("_up", "_m", "s", "one")
+    return joined.withColumns({"a": a, "b": b}).withColumn("mean", F.expr("a / (a + b)")).drop("_up", "_m")
 
 
 def host_reputation(pages: DataFrame, z: float = 1.0, threshold: float = 0.5) -> DataFrame:
