@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from patchloom.llm import bpe, exact_topk, quality, simhash, substring_dedup, toxicity, url_reputation, warc
+from patchloom.llm import bpe, exact_topk, line_dedup, quality, simhash, substring_dedup, toxicity, url_reputation, warc
 
 
 def _table(name):
@@ -34,6 +34,10 @@ def op6_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(documents(spark, sf_dir), digests=True)
 
 
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.line_digests(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -46,6 +50,6 @@ def op10_url_reputation(spark, sf_dir):
     return url_reputation.url_filter(pages(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_simhash, op4_quality, op6_substring_dedup, op8_toxicity, op9_exact_topk, op10_url_reputation)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_simhash, op4_quality, op6_substring_dedup, op7_line_dedup, op8_toxicity, op9_exact_topk, op10_url_reputation)}
 
-ORACLE_SQL = {"op2_warc": warc.oracle(), "op6_substring_dedup": substring_dedup.oracle(), "op9_exact_topk": exact_topk.oracle(), "op10_url_reputation": url_reputation.oracle()}
+ORACLE_SQL = {"op2_warc": warc.oracle(), "op6_substring_dedup": substring_dedup.oracle(), "op7_line_dedup": line_dedup.oracle(), "op9_exact_topk": exact_topk.oracle(), "op10_url_reputation": url_reputation.oracle()}
