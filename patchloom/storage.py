@@ -11,6 +11,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,10 @@ def remove(*tables: DataFrame) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished stages now, not at the next driver GC."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished stages now, not at the next driver GC.
+
+    Twice: the first collection frees what Python still held of a plan, the second the plan itself."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
