@@ -130,14 +130,15 @@ def _level_one(window: int):
                 out_key = np.concatenate((key[~settled].view(np.int64), key[tell].view(np.int64), _spread(int(settled.sum()), pos[settled])))
                 out_doc = np.concatenate((doc[~settled], doc[tell], doc[settled]))
                 out_pos = np.concatenate((pos[~settled], pos[tell], pos[settled])).astype(np.int32)
-                kind = np.repeat(np.array([ASK, TELL, DONE], np.int8), [int((~settled).sum()), len(tell), int(settled.sum())])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (out_key, out_doc, out_pos, kind)], names=["key", "doc", "pos", "kind"])
+                kind = np.repeat(np.array([ASK, TELL, DONE], np.int32), [int((~settled).sum()), len(tell), int(settled.sum())])
+                near = np.lexsort((out_pos, out_doc))  # neighbours share their doc: smaller shuffle files
+                yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (out_key, out_doc, out_pos << 2 | kind)], names=["key", "doc", "pos"])
 
     return run
 
 
-def _sorted_keys(batches, n_keys: int):
-    """Chunks of sorted batches that never split a key: lists of columns."""
+def _sorted_keys(batches):
+    """Chunks of batches sorted by their first column that never split a key: lists of columns."""
     rest = None
     for batch in batches:
         part = [np.asarray(c) for c in batch.columns]
@@ -145,7 +146,7 @@ def _sorted_keys(batches, n_keys: int):
             part = [np.concatenate(x) for x in zip(rest, part, strict=True)]
         if not len(part[0]):
             continue
-        at = int(_groups(*part[:n_keys])[-1])
+        at = int(_groups(part[0])[-1])
         rest = [x[at:] for x in part]
         if at:
             yield [x[:at] for x in part]
@@ -155,7 +156,8 @@ def _sorted_keys(batches, n_keys: int):
 
 def _survivors(batches):
     """Level one compared: asking rows whose half occurs in another document, and the settled rows."""
-    for key, doc, pos, kind in _sorted_keys(batches, 1):
+    for key, doc, pos in _sorted_keys(batches):
+        kind, pos = pos & 3, pos >> 2
         cut = _groups(key)
         size = np.diff(np.concatenate((cut, [len(key)])))
         low, high = np.minimum.reduceat(doc, cut), np.maximum.reduceat(doc, cut)
@@ -191,25 +193,30 @@ def _level_two(window: int):
                 group = np.repeat(np.arange(len(cut)), np.diff(np.concatenate((cut, [len(low)]))))
                 later = doc > doc[cut][group]
                 key = np.concatenate((low[~later].view(np.int64), _spread(int(later.sum()), pos[later])))
-                kind = np.repeat(np.array([ASK, DONE], np.int8), [int((~later).sum()), int(later.sum())])
-                both = [np.concatenate((x[~later], x[later])) for x in (more.view(np.int32), doc, tag, pos.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *both, kind)], names=["key", "more", "doc", "tag", "pos", "kind"])
+                kind = np.repeat(np.array([ASK, DONE], np.int64), [int((~later).sum()), int(later.sum())])
+                more, doc, tag, pos = (np.concatenate((x[~later], x[later])) for x in (np.where(later, np.uint32(0), more).view(np.int32), doc, tag.astype(np.int64), pos))
+                near = np.lexsort((pos, doc))
+                yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (key, doc, tag << 34 | pos << 2 | kind, more)], names=["key", "doc", "at", "more"])
 
     return run
 
 
 def _marked(batches):
     """Level two compared: starts of windows that a smaller doc_id also has."""
-    for key, more, doc, tag, pos, kind in _sorted_keys(batches, 2):
-        asking = kind == ASK
-        done = [x[~asking] for x in (doc, tag, pos)]
-        key, more, doc, tag, pos = (x[asking] for x in (key, more, doc, tag, pos))
+    for key, doc, at, more in _sorted_keys(batches):
+        asking = at & 3 == ASK
+        done_doc, done_at = [doc[~asking]], [at[~asking]]
+        key, doc, at, more = (x[asking] for x in (key, doc, at, more))
         if len(key):
+            order = np.lexsort((doc, more, key))
+            key, doc, at, more = (x[order] for x in (key, doc, at, more))
             cut = _groups(key, more)
-            low = np.repeat(np.minimum.reduceat(doc, cut), np.diff(np.concatenate((cut, [len(key)]))))
-            later = doc > low
-            done = [np.concatenate((x, y[later])) for x, y in zip(done, (doc, tag, pos), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], names=["doc", "tag", "pos"])
+            later = doc > np.repeat(doc[cut], np.diff(np.concatenate((cut, [len(key)]))))
+            done_doc.append(doc[later])
+            done_at.append(at[later])
+        at = np.concatenate(done_at)
+        found = [np.concatenate(done_doc), (at >> 34).astype(np.int32), (at >> 2 & 0xFFFFFFFF).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc", "tag", "pos"])
 
 
 def marked_windows(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -217,15 +224,15 @@ def marked_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     spark = docs.sparkSession
     tag = F.pmod(F.xxhash64("text"), F.lit(1 << 24)).cast("int")
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL AND text IS NOT NULL")
-    asked = own.mapInArrow(_level_one(window), "key long, doc long, pos int, kind byte").repartition("key").sortWithinPartitions("key", "doc")
+    asked = own.mapInArrow(_level_one(window), "key long, doc long, pos int").repartition("key").sortWithinPartitions("key")
     alive = asked.mapInArrow(_survivors, "doc long, pos int").groupBy("doc").agg(F.collect_list("pos").alias("at"))
     alive = materialize(alive, "half-windows")
     release_shuffles(spark)
     if alive.isEmpty():
         return spark.createDataFrame([], "doc long, tag int, starts array<int>")
     both = own.join(alive.withColumnRenamed("doc", "alive_doc"), F.col("doc") == F.col("alive_doc")).select("doc", "text", tag.alias("tag"), "at")
-    asked = both.mapInArrow(_level_two(window), "key long, more int, doc long, tag int, pos int, kind byte")
-    asked = asked.repartition("key").sortWithinPartitions("key", "more", "doc")
+    asked = both.mapInArrow(_level_two(window), "key long, doc long, at long, more int")
+    asked = asked.repartition("key").sortWithinPartitions("key")
     found = asked.mapInArrow(_marked, "doc long, tag int, pos int").groupBy("doc", "tag").agg(F.collect_list("pos").alias("starts"))
     found = materialize(found, "windows")
     release_shuffles(spark)
