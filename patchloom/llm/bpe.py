@@ -275,25 +275,39 @@ def read_tokenizer(path: str) -> str:
         return file.read()
 
 
-def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
-    """``doc_id, n_tokens`` and either ``ids`` and ``decoded`` or, with ``digests``, their SHA-256.
+def _sha(texts) -> pa.Array:
+    return pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string())
+
+
+def _id_lists(joined: list[str]) -> pa.Array:
+    values = np.fromstring(" ".join(filter(None, joined)), np.int32, sep=" ")
+    sizes = [x.count(" ") + 1 if x else 0 for x in joined]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, pa.int32()))
+
+
+#: Output columns: type and how they come from (ids joined by spaces, decoded text) of a batch of texts.
+OUTPUTS = {
+    "ids": ("array<int>", lambda ids, decoded: _id_lists(ids)),
+    "decoded": ("string", lambda ids, decoded: pa.array(decoded, pa.string())),
+    "ids_sha256": ("string", lambda ids, decoded: _sha(ids)),
+    "decoded_sha256": ("string", lambda ids, decoded: _sha(decoded)),
+}
+
+
+def encode_documents(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``doc_id, n_tokens`` and the named :data:`OUTPUTS` for every row of ``docs``.
 
     One narrow pass: the file's text (a few MB) is broadcast, each task keeps its own bounded tables."""
     file = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
-    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
 
     def run(batches):
         bpe = codec(file.value)
-        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                rows = bpe.encode_batch(part.column(1).to_pylist())
-                if digests:
-                    own = [pa.array([sha(r[0]) for r in rows], pa.string()), pa.array([sha(r[1]) for r in rows], pa.string())]
-                else:
-                    own = [pa.array([list(map(int, r[0].split())) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[2] for r in rows], pa.int64()), *own], names=["doc_id", "n_tokens", *names])
-
-    kinds = ("string", "string") if digests else ("array<int>", "string")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}")
+                ids, decoded, sizes = zip(*bpe.encode_batch(part.column(1).to_pylist()), strict=True)
+                own = [OUTPUTS[name][1](ids, decoded) for name in outputs]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), *own], names=["doc_id", "n_tokens", *outputs])
+
+    schema = ", ".join(["doc_id long", "n_tokens long", *(f"{name} {OUTPUTS[name][0]}" for name in outputs)])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

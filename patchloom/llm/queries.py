@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from patchloom.llm import bpe, exact_topk, line_dedup, quality, simhash, substring_dedup, toxicity, url_reputation, warc
+from patchloom.llm import bpe, decontaminate, exact_topk, line_dedup, quality, simhash, substring_dedup, toxicity, url_reputation, warc
 
 
 def _table(name):
@@ -15,7 +15,7 @@ documents, pages, labels, benchmark, embeddings = map(_table, ("documents", "pag
 
 
 def op1_bpe(spark, sf_dir):
-    return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+    return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), ("ids_sha256", "decoded_sha256"))
 
 
 def op2_warc(spark, sf_dir):
@@ -30,6 +30,10 @@ def op4_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate.matches(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op6_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(documents(spark, sf_dir), digests=True)
 
@@ -50,6 +54,6 @@ def op10_url_reputation(spark, sf_dir):
     return url_reputation.url_filter(pages(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_simhash, op4_quality, op6_substring_dedup, op7_line_dedup, op8_toxicity, op9_exact_topk, op10_url_reputation)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_simhash, op4_quality, op5_decontaminate, op6_substring_dedup, op7_line_dedup, op8_toxicity, op9_exact_topk, op10_url_reputation)}
 
-ORACLE_SQL = {"op2_warc": warc.oracle(), "op6_substring_dedup": substring_dedup.oracle(), "op7_line_dedup": line_dedup.oracle(), "op9_exact_topk": exact_topk.oracle(), "op10_url_reputation": url_reputation.oracle()}
+ORACLE_SQL = {"op2_warc": warc.oracle(), "op5_decontaminate": decontaminate.oracle(), "op6_substring_dedup": substring_dedup.oracle(), "op7_line_dedup": line_dedup.oracle(), "op9_exact_topk": exact_topk.oracle(), "op10_url_reputation": url_reputation.oracle()}

@@ -50,14 +50,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (fp as a signed bigint) for every row of ``docs``; one narrow pass over the texts."""
+    """``doc_id, th, fp`` (text hash, fingerprint as a signed bigint) of every row; one narrow pass over the texts."""
 
     def run(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def covering_masks(radius: int = 3, bits: int = 64) -> list[int]:
@@ -175,13 +175,33 @@ def links(fps: DataFrame, radius: int = 3, bucket_limit: int = 4096) -> DataFram
     return ordered.mapInArrow(_bucket_links(radius), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
+def _classes(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and the class root of each distinct fingerprint."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     labels = components(links(distinct.select("fp"), radius))
-    named = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id")).withColumnRenamed("label", "root")
-    classes = materialize(named.join(lowest, F.col("label") == F.col("root")).select(F.col("fp").alias("cfp"), "component_id"), "classes")
+    named = distinct.join(labels, F.col("fp") == F.col("node"), "left")
+    return prints, named.select(F.col("fp").alias("cfp"), "first_id", F.coalesce("label", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
+    prints, named = _classes(docs, shingle, radius)
+    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "of")
+    classes = materialize(named.join(lowest, F.col("root") == F.col("of")).select("cfp", "component_id"), "classes")
     joined = prints.join(classes, F.col("fp") == F.col("cfp"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_class(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row of ``docs`` (all columns) for each class: that of the smallest doc_id, null last, then text hash."""
+    prints, named = _classes(docs, shingle, radius)
+    named = materialize(named, "classes")
+    # the smallest row of each fingerprint first, so that a class is never gathered
+    rank = lambda d, t: F.struct(F.col(d).isNull().alias("n"), F.col(d).alias("d"), F.coalesce(F.col(t), F.lit(0)).alias("t"))
+    firsts = prints.groupBy("fp").agg(F.min(rank("doc_id", "th")).alias("r"))
+    stays = firsts.join(named, F.col("fp") == F.col("cfp")).groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.d").alias("_d"), F.col("r.t").alias("_t"))
+    stays = materialize(stays.distinct(), "class-heads")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_t"))
+    kept = docs.join(stays, same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
