@@ -7,7 +7,8 @@ input. Equal sets form one class that stands for all its lines; only classes are
 * words are ordered by rarity: a fixed-size table of counts over all documents, by hash bucket, gives each
   word a rank that is packed above its hash, so any two lines sort their shared words alike;
 * prefix filter: similar sets of size s share a word among their first s - ceil(threshold * s) + 1;
-* length and positional filters bound the overlap that a shared prefix word still allows;
+* length and positional filters bound the overlap that a shared prefix word still allows, and a parity
+  bitmap of 64 bits bounds the difference of two sets from below;
 * a word in more than ``hot`` prefixes is joined as a pair with a second word of the prefix one longer:
   similar sets share at least two words there, so no pair is lost and the long list is cut;
 * candidates are verified on the full word sets, read again for the lines that have candidates.
@@ -21,15 +22,15 @@ other; other columns of the rows are kept as they are.
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.storage import materialize, release_shuffles, remove
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 21
 SPACE = r"[\x20\x09-\x0D]+"
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -38,33 +39,39 @@ def _words(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(BLANK)), SPACE)
 
 
-def rarity_table(docs: DataFrame) -> bytes:
-    """One byte per hash bucket: 4 * log2 of the bucket's word count over all documents, at most 127."""
+def rarity_table(docs: DataFrame) -> DataFrame:
+    """One row ``ranks``: a byte for each hash bucket, 4 * log2 of its word count over all documents (at most 127).
+
+    The table has a fixed size, so it may travel through the driver; it only orders words, and any order
+    gives the same result."""
     words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
-    table = bytearray(BUCKETS)
-    for b, n in counts.collect():  # at most BUCKETS rows
-        table[b] = min(127, int(4 * math.log2(n)))
-    return bytes(table)
+    rank = F.least(F.lit(127), F.floor(4 * F.log2(F.count("*")))).cast("tinyint")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(rank.alias("r")).toArrow()
+    table = np.zeros(BUCKETS, np.int8)
+    table[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+    return materialize(docs.sparkSession.createDataFrame([(bytearray(table.tobytes()),)], "ranks binary"), "word-ranks")
+
 
+def with_word_set(lines: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds ``words``: the line's distinct words as sorted longs, rank above, 56 bits of hash below.
 
-def word_set(line: Column, table: bytes) -> Column:
-    """The line's distinct words as sorted longs: rank above, 56 bits of hash below; empty for a blank line."""
-    ranks = F.lit(bytearray(table))
+    The table is a scalar subquery; the optimizer moves it into the expression, rows never carry it."""
+    ranks = F.col("_ranks")
 
     def pack(h: Column) -> Column:
         at = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
         rank = F.ascii(F.substring(ranks, at, 1).cast("string")).cast("long")
         return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    return F.when(F.btrim(line, F.lit(BLANK)) == "", F.array().cast("array<bigint>")).otherwise(F.sort_array(F.transform(hashes, pack)))
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    return lines.withColumn("_ranks", table.scalar()).withColumn("words", F.sort_array(F.transform(hashes, pack))).drop("_ranks")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, text hash, line number, line) of every line."""
+    """(doc, text hash, line number, line) of every line that has a word."""
     own = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
-    return own.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    each = own.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return each.where(F.btrim("line", F.lit(BLANK)) != "")
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -77,15 +84,22 @@ def _prefix(size: Column, threshold: float) -> Column:
     return size - F.floor((size * a + b - 1) / b).cast("int") + 1
 
 
+def _parity(words: Column) -> Column:
+    """64 bits, each flipped once for every word that hashes to it: two sets differ in no more bits than words."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 21).bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _candidates(classes: DataFrame, threshold: float, hot: int) -> DataFrame:
     """Distinct pairs (later class, earlier class) by location that pass the filters."""
     a, b = _ratio(threshold)
-    entries = classes.where("size >= 2").select("doc", "line_no", "c1", "size", "prefix", F.posexplode(F.slice("prefix", 1, _prefix(F.col("size"), threshold))).alias("pos", "word"))
-    slim = entries.select("word", "doc", "line_no", "c1", (F.col("size") * 65536 + F.least("pos", F.lit(65535))).cast("int").alias("sp"))
+    entries = classes.where("size >= 2").withColumn("cid", F.pmod("c1", F.lit(65536)))
+    entries = entries.select("doc", "line_no", "cid", "size", "sig", "prefix", F.posexplode(F.slice("prefix", 1, _prefix(F.col("size"), threshold))).alias("pos", "word"))
+    packed = F.shiftleft(F.col("size").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 16)).bitwiseOR(F.col("cid"))
+    slim = entries.select("word", "doc", "line_no", packed.alias("spc"), "sig")
     common = entries.groupBy("word").count().where(F.col("count") > hot).select(F.col("word").alias("hot_word"))
     common = materialize(common, "hot-words")
-    size = lambda side: F.floor(F.col(f"{side}.sp") / 65536).cast("int")
-    pos = lambda side: F.col(f"{side}.sp") % 65536
+    size = lambda side: F.shiftright(f"{side}.spc", 40)
+    pos = lambda side: F.shiftright(f"{side}.spc", 16).bitwiseAND(F.lit(0xFFFFFF))
 
     def matches(rows: DataFrame, keys: list[str]) -> DataFrame:
         x, y = rows.alias("x"), rows.alias("y")
@@ -96,8 +110,9 @@ def _candidates(classes: DataFrame, threshold: float, hot: int) -> DataFrame:
         length = (size("x") * b >= size("y") * a) & (size("y") * b >= size("x") * a)
         most = F.least(pos("x"), pos("y")) + F.least(size("x") - pos("x"), size("y") - pos("y"))
         enough = most * (a + b) >= (size("x") + size("y")) * a
-        found = x.join(y, same & earlier & length & enough)
-        return found.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "yx" for c in ("doc", "line_no", "c1")])
+        apart = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))) * (a + b) <= (size("x") + size("y")) * (b - a)
+        found = x.join(y, same & apart & earlier & length & enough)
+        return found.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "yx" for c in ("doc", "line_no")], *[F.col(f"{s}.spc").bitwiseAND(F.lit(65535)).alias(f"cid_{s}") for s in "yx"])
 
     n_hot = common.count()
     if not n_hot:
@@ -105,7 +120,7 @@ def _candidates(classes: DataFrame, threshold: float, hot: int) -> DataFrame:
     marked = slim.join(_small(common, n_hot), F.col("word") == F.col("hot_word"), "left")
     single = marked.where("hot_word IS NULL").drop("hot_word")
     longer = entries.join(_small(common, n_hot), F.col("word") == F.col("hot_word")).where("size >= 4")
-    longer = longer.select("word", "doc", "line_no", "c1", (F.col("size") * 65536 + F.least("pos", F.lit(65535))).cast("int").alias("sp"), F.explode(F.slice("prefix", F.col("pos") + 2, F.size("prefix"))).alias("second"))
+    longer = longer.select("word", "doc", "line_no", packed.alias("spc"), "sig", F.explode(F.slice("prefix", F.col("pos") + 2, F.size("prefix"))).alias("second"))
     return matches(single, ["word"]).unionByName(matches(longer, ["word", "second"])).distinct()
 
 
@@ -120,11 +135,11 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     table = rarity_table(docs)
     words = F.col("words")
-    lines = _lines(docs).withColumn("words", word_set(F.col("line"), table)).where(F.size("words") > 0)
+    lines = with_word_set(_lines(docs), table)
     longest = _prefix(F.size(words), threshold) + 1  # one more than the prefix, for hot words
-    lines = lines.select("doc", "th", "line_no", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2"), F.size("words").alias("size"), F.slice("words", 1, longest).alias("prefix"))
+    lines = lines.select("doc", "th", "line_no", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2"), F.size("words").alias("size"), _parity(words).alias("sig"), F.slice("words", 1, longest).alias("prefix"))
     lines = materialize(lines, "lines")
-    first = F.min(F.struct("doc", "line_no", "size", "prefix")).alias("first")
+    first = F.min(F.struct("doc", "line_no", "size", "sig", "prefix")).alias("first")
     classes = materialize(lines.groupBy("c1", "c2").agg(first).select("c1", "c2", "first.*"), "line-classes")
     release_shuffles(spark)
     pairs = materialize(_candidates(classes, threshold, hot), "line-candidates")
@@ -132,17 +147,17 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000) -> D
     places = pairs.select(F.col("doc_y").alias("pdoc"), F.col("line_no_y").alias("pline")).union(pairs.select("doc_x", "line_no_x")).distinct()
     places = materialize(places, "line-places")
     wanted = _lines(docs).join(_small(places, places.count(), 1_000_000), F.col("doc").eqNullSafe(F.col("pdoc")) & (F.col("line_no") == F.col("pline")), "left_semi")
-    sets = wanted.select("doc", "line_no", word_set(F.col("line"), table).alias("words"))
-    sets = sets.select("doc", "line_no", "words", F.xxhash64("words").alias("c1")).distinct()
+    sets = with_word_set(wanted.select("doc", "line_no", "line"), table)
+    sets = sets.select("doc", "line_no", "words", F.pmod(F.xxhash64("words"), F.lit(65536)).alias("cid")).distinct()
     sets = materialize(sets, "line-sets")
-    at = lambda side: sets.select(*[F.col(c).alias(f"{c}_{side}{side}") for c in ("doc", "line_no", "c1", "words")])
-    on = lambda s: (F.col(f"c1_{s}") == F.col(f"c1_{s}{s}")) & (F.col(f"line_no_{s}") == F.col(f"line_no_{s}{s}")) & F.col(f"doc_{s}").eqNullSafe(F.col(f"doc_{s}{s}"))
+    at = lambda side: sets.select(*[F.col(c).alias(f"{c}_{side}{side}") for c in ("doc", "line_no", "cid", "words")])
+    on = lambda s: (F.col(f"cid_{s}") == F.col(f"cid_{s}{s}")) & (F.col(f"line_no_{s}") == F.col(f"line_no_{s}{s}")) & F.col(f"doc_{s}").eqNullSafe(F.col(f"doc_{s}{s}"))
     a, b = _ratio(threshold)
     both = pairs.join(at("y"), on("y")).join(at("x"), on("x"))
     shared = F.size(F.array_intersect("words_yy", "words_xx"))
     similar = both.where(shared * (a + b) >= (F.size("words_yy") + F.size("words_xx")) * a)
-    later = similar.select(F.col("doc_y").alias("ldoc"), F.col("line_no_y").alias("lline"), F.col("c1_y").alias("lc1")).distinct()
-    on_class = F.col("doc").eqNullSafe(F.col("ldoc")) & (F.col("line_no") == F.col("lline")) & (F.col("c1") == F.col("lc1"))
+    later = similar.select(F.col("doc_y").alias("ldoc"), F.col("line_no_y").alias("lline"), F.col("cid_y").alias("lcid")).distinct()
+    on_class = F.col("doc").eqNullSafe(F.col("ldoc")) & (F.col("line_no") == F.col("lline")) & (F.pmod("c1", F.lit(65536)) == F.col("lcid"))
     kept = classes.join(later, on_class, "left_anti").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("doc").alias("kdoc"), F.col("line_no").alias("kline"))
     kept = materialize(kept, "kept-classes")
     stays = (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & F.col("doc").eqNullSafe(F.col("kdoc")) & (F.col("line_no") == F.col("kline"))
