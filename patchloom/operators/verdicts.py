@@ -1,0 +1,65 @@
+"""Build-log classification into test verdicts (built-in functions only)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+VALID = ("success", "failure", "compile_error")
+INVALID = (
+    "timeout", "test_not_executed", "unrelated_compile_error", "expected_exception_failure", "test_match_failure", "unrelated_failure",
+    "dependency_error", "pom_not_found", "invalid_edit_sequence", "unknown",
+)
+
+
+def is_valid(status: Column) -> Column:
+    return status.isin(*VALID)
+
+
+def is_broken(status: Column) -> Column:
+    return status.isin("failure", "compile_error")
+
+
+def error_lines(log: Column, pattern: str) -> Column:
+    """Sorted distinct line numbers captured by ``pattern`` (group 1)."""
+    found = F.regexp_extract_all(log, F.lit(pattern), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: x.cast("int"))))
+
+
+def classify_logs(df: DataFrame, log: str, code: str, test_class: str) -> DataFrame:
+    """Adds ``status`` and ``error_lines``.
+
+    Code 0 needs a summary of exactly one passed test; 124 is a timeout; then compile errors on the test's
+    own file, failures on its lines, summary counters, and an ordered list of known disturbances."""
+    text, name = F.col(log), F.col(test_class)
+    passed = text.rlike(r"Tests run: 1, Failures: 0, Errors: 0, Skipped: 0")
+    compiles = text.contains("COMPILATION ERROR")
+    literal = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
+    compile_at = F.regexp_extract_all(text, F.concat(literal(name), F.lit(r"\.java:\[(\d+),\d+\]")), F.lit(1))
+    fail_at = F.regexp_extract_all(text, F.concat(literal(name), F.lit(r"\.java:(\d+)\)")), F.lit(1))
+    lines = lambda x: F.array_sort(F.array_distinct(F.transform(x, lambda v: v.cast("int"))))
+    counted = text.rlike(r"Tests run: \d+, Failures: [1-9]|Errors: [1-9]")
+    own_compile = compiles & (F.size(compile_at) > 0)
+    status = (
+        F.when(F.col(code) == 0, F.when(passed, "success").otherwise("test_not_executed"))
+        .when(F.col(code) == 124, "timeout")
+        .when(own_compile, "compile_error")
+        .when(compiles, "unrelated_compile_error")
+        .when(F.size(fail_at) > 0, "failure")
+        .when(text.contains("Expected exception"), "expected_exception_failure")
+        .when(text.contains("No tests were executed") | text.contains("No tests matching"), "test_match_failure")
+        .when(text.contains("Could not resolve dependencies"), "dependency_error")
+        .when(text.contains("no POM in this directory"), "pom_not_found")
+        .when(counted, "unrelated_failure")
+        .otherwise("unknown")
+    )
+    none = F.lit(None).cast("array<int>")
+    at = F.when((F.col(code) != 0) & (F.col(code) != 124) & own_compile, lines(compile_at)).when((F.col(code) != 0) & (F.col(code) != 124) & ~compiles & (F.size(fail_at) > 0), lines(fail_at)).otherwise(none)
+    return df.withColumns({"status": status, "error_lines": at})
+
+
+def suppress_disturbed(df: DataFrame, key: str, status: str, least: float = 0.75) -> DataFrame:
+    """Drops all rows of a key with more than one verdict when at least ``least`` are timeouts or dependency errors."""
+    bad = F.when(F.col(status).isin("timeout", "dependency_error"), 1.0).otherwise(0.0)
+    drop = df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("n"), F.avg(bad).alias("b")).where((F.col("n") > 1) & (F.col("b") >= least))
+    return df.join(drop, F.col(key).eqNullSafe(F.col("_k")), "left_anti")

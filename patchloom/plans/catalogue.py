@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from patchloom.plans import changes, relational, textual  # noqa: F401  (each registers its queries)
+from patchloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir):
+    """Rank the later turns of a conversation against its first by TF-IDF, then select under a budget."""
     return QUERIES["greedy_budget"](spark, sf_dir)

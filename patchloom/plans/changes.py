@@ -1,0 +1 @@
+"""Queries over change records."""
