@@ -8,7 +8,7 @@ input. Equal sets form one class that stands for all its lines; only classes are
   word a rank that is packed above its hash, so any two lines sort their shared words alike;
 * prefix filter: similar sets of size s share a word among their first s - ceil(threshold * s) + 1;
 * length and positional filters bound the overlap that a shared prefix word still allows, and a parity
-  bitmap of 64 bits bounds the difference of two sets from below;
+  bitmap of 64 or 128 bits bounds the difference of two sets from below;
 * a word in more than ``hot`` prefixes is joined as a pair with a second word of the prefix one longer:
   similar sets share at least two words there, so no pair is lost and the long list is cut;
 * candidates are verified on the full word sets, read again for the lines that have candidates.
@@ -58,13 +58,14 @@ def with_word_set(lines: DataFrame, table: DataFrame) -> DataFrame:
     The table is a scalar subquery; the optimizer moves it into the expression, rows never carry it."""
     ranks = F.col("_ranks")
 
-    def pack(h: Column) -> Column:
+    def pack(w: Column) -> Column:
+        h = F.xxhash64(w)
         at = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
         rank = F.ascii(F.substring(ranks, at, 1).cast("string")).cast("long")
         return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    return lines.withColumn("_ranks", table.scalar()).withColumn("words", F.sort_array(F.transform(hashes, pack))).drop("_ranks")
+    packed = F.sort_array(F.transform(F.array_distinct(_words(F.col("line"))), pack))
+    return lines.withColumn("_ranks", table.scalar()).withColumn("words", packed).drop("_ranks")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -84,18 +85,29 @@ def _prefix(size: Column, threshold: float) -> Column:
     return size - F.floor((size * a + b - 1) / b).cast("int") + 1
 
 
-def _parity(words: Column) -> Column:
-    """64 bits, each flipped once for every word that hashes to it: two sets differ in no more bits than words."""
-    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 21).bitwiseAND(F.lit(63)).cast("int"))))
+#: Lines of more words get a parity bitmap of 128 bits instead of 64.
+LONG = 60
+
+
+def _parity(words: Column) -> tuple[Column, Column]:
+    """A bitmap in which every word flips one bit, so two sets differ in no more bits than words.
+
+    128 bits in two longs; for a short set both halves are folded into the first and the second is 0."""
+    zero = F.lit(0).cast("long")
+    at = lambda h: F.shiftright(h, 21)
+    flip = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), at(h).bitwiseAND(F.lit(63)).cast("int")))
+    side = lambda n: F.aggregate(F.filter(words, lambda h: at(h).bitwiseAND(F.lit(64)) == n), zero, flip)
+    long = F.size(words) > LONG
+    return F.when(long, side(0)).otherwise(F.aggregate(words, zero, flip)), F.when(long, side(64)).otherwise(zero)
 
 
 def _candidates(classes: DataFrame, threshold: float, hot: int) -> DataFrame:
     """Distinct pairs (later class, earlier class) by location that pass the filters."""
     a, b = _ratio(threshold)
     entries = classes.where("size >= 2").withColumn("cid", F.pmod("c1", F.lit(65536)))
-    entries = entries.select("doc", "line_no", "cid", "size", "sig", "prefix", F.posexplode(F.slice("prefix", 1, _prefix(F.col("size"), threshold))).alias("pos", "word"))
+    entries = entries.select("doc", "line_no", "cid", "size", "sig", "sig2", "prefix", F.posexplode(F.slice("prefix", 1, _prefix(F.col("size"), threshold))).alias("pos", "word"))
     packed = F.shiftleft(F.col("size").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 16)).bitwiseOR(F.col("cid"))
-    slim = entries.select("word", "doc", "line_no", packed.alias("spc"), "sig")
+    slim = entries.select("word", "doc", "line_no", packed.alias("spc"), "sig", "sig2")
     common = entries.groupBy("word").count().where(F.col("count") > hot).select(F.col("word").alias("hot_word"))
     common = materialize(common, "hot-words")
     size = lambda side: F.shiftright(f"{side}.spc", 40)
@@ -110,7 +122,10 @@ def _candidates(classes: DataFrame, threshold: float, hot: int) -> DataFrame:
         length = (size("x") * b >= size("y") * a) & (size("y") * b >= size("x") * a)
         most = F.least(pos("x"), pos("y")) + F.least(size("x") - pos("x"), size("y") - pos("y"))
         enough = most * (a + b) >= (size("x") + size("y")) * a
-        apart = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))) * (a + b) <= (size("x") + size("y")) * (b - a)
+        low, high = F.col("x.sig").bitwiseXOR(F.col("y.sig")), F.col("x.sig2").bitwiseXOR(F.col("y.sig2"))
+        folded = (F.col("x.sig2") == 0) | (F.col("y.sig2") == 0)
+        bits = F.when(folded, F.bit_count(low.bitwiseXOR(high))).otherwise(F.bit_count(low) + F.bit_count(high))
+        apart = bits * (a + b) <= (size("x") + size("y")) * (b - a)
         found = x.join(y, same & apart & earlier & length & enough)
         return found.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "yx" for c in ("doc", "line_no")], *[F.col(f"{s}.spc").bitwiseAND(F.lit(65535)).alias(f"cid_{s}") for s in "yx"])
 
@@ -120,7 +135,7 @@ def _candidates(classes: DataFrame, threshold: float, hot: int) -> DataFrame:
     marked = slim.join(_small(common, n_hot), F.col("word") == F.col("hot_word"), "left")
     single = marked.where("hot_word IS NULL").drop("hot_word")
     longer = entries.join(_small(common, n_hot), F.col("word") == F.col("hot_word")).where("size >= 4")
-    longer = longer.select("word", "doc", "line_no", packed.alias("spc"), "sig", F.explode(F.slice("prefix", F.col("pos") + 2, F.size("prefix"))).alias("second"))
+    longer = longer.select("word", "doc", "line_no", packed.alias("spc"), "sig", "sig2", F.explode(F.slice("prefix", F.col("pos") + 2, F.size("prefix"))).alias("second"))
     return matches(single, ["word"]).unionByName(matches(longer, ["word", "second"])).distinct()
 
 
@@ -137,10 +152,12 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000) -> D
     words = F.col("words")
     lines = with_word_set(_lines(docs), table)
     longest = _prefix(F.size(words), threshold) + 1  # one more than the prefix, for hot words
-    lines = lines.select("doc", "th", "line_no", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2"), F.size("words").alias("size"), _parity(words).alias("sig"), F.slice("words", 1, longest).alias("prefix"))
-    lines = materialize(lines, "lines")
-    first = F.min(F.struct("doc", "line_no", "size", "sig", "prefix")).alias("first")
-    classes = materialize(lines.groupBy("c1", "c2").agg(first).select("c1", "c2", "first.*"), "line-classes")
+    lines = lines.select("doc", "th", "line_no", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2"), F.size("words").alias("size"), _parity(words)[0].alias("sig"), _parity(words)[1].alias("sig2"), F.slice("words", 1, longest).alias("prefix"))
+    wide = materialize(lines, "lines")
+    first = F.min(F.struct("doc", "line_no", "size", "sig", "sig2", "prefix")).alias("first")
+    classes = materialize(wide.groupBy("c1", "c2").agg(first).select("c1", "c2", "first.*"), "line-classes")
+    lines = materialize(wide.select("doc", "th", "line_no", "c1", "c2"), "line-places")
+    remove(wide)
     release_shuffles(spark)
     pairs = materialize(_candidates(classes, threshold, hot), "line-candidates")
     release_shuffles(spark)
