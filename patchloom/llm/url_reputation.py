@@ -65,26 +65,29 @@ def _domain_suffix(host: Column) -> tuple[Column, Column]:
     return F.when(wide, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2)), suffix
 
 
-def _strength(units: DataFrame) -> DataFrame:
-    """One row: the prior strength of a level, from the spread of its labelled units (Kleinman's moments)."""
-    total = units.where("n > 0").agg(
+def _strength(units: DataFrame, key: str) -> DataFrame:
+    """One row: the prior strength of a level, from the spread of its labelled units around their parents' means.
+
+    Kleinman's moments, summed over the parents; the correlation is held between 0.01 and 0.5, so a parent
+    counts for 1 to 99 pages."""
+    level = units.where("n > 0").groupBy(key).agg(
         F.sum("n").cast("double").alias("n"), F.sum("k").cast("double").alias("k"), F.count("*").cast("double").alias("g"),
         F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"),
         F.sum(F.col("k").cast("double") * F.col("k") / F.col("n")).alias("kk"),
     )
-    p, one = F.expr("k / n"), F.expr("(k / n) * (1 - k / n)")
-    spread = F.col("kk") - F.col("n") * p * p
+    one = F.expr("(k / n) * (1 - k / n)")
+    spread = F.expr("kk - k * k / n") - one * (F.col("g") - 1)
     room = one * (F.col("n") - F.col("nn") / F.col("n") - (F.col("g") - 1))
-    rho = F.try_divide(spread - one * (F.col("g") - 1), F.when(room > 0, room))
-    rho = F.least(F.greatest(F.coalesce(rho, F.lit(0.5)), F.lit(0.01)), F.lit(0.99))
-    return total.select((1 / rho - 1).alias("s"))
+    total = level.agg(F.sum(spread).alias("spread"), F.sum(room).alias("room"))
+    rho = F.try_divide("spread", F.when(F.col("room") > 1e-9, F.col("room")))
+    return total.select((1 / F.least(F.greatest(F.coalesce(rho, F.lit(0.5)), F.lit(0.01)), F.lit(0.5)) - 1).alias("s"))
 
 
 def _shrink(units: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Posterior ``a``, ``b`` and ``mean`` of each unit under its parent's mean."""
     prior = parents.select(F.col(key).alias("_up"), F.col("mean").alias("_m"))
     joined = units.join(prior, F.col(key) == F.col("_up"), "left")
-    m, w = F.coalesce("_m", F.lit(0.5)), F.coalesce(_strength(units).scalar(), F.lit(1.0))
+    m, w = F.coalesce("_m", F.lit(0.5)), F.coalesce(_strength(units, key).scalar(), F.lit(1.0))
     a, b = w * m + F.col("k"), w * (1 - m) + F.col("n") - F.col("k")
     return joined.withColumns({"a": a, "b": b}).withColumn("mean", F.expr("a / (a + b)")).drop("_up", "_m")
 
@@ -131,13 +134,14 @@ def oracle(z: float = 1.0, threshold: float = 0.5) -> str:
     two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
     last = lambda n: f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
 
-    def strength(level: str) -> str:
-        return f"""(SELECT 1 / least(greatest(coalesce(CASE WHEN p1 * (n - nn / n - (g - 1)) > 0 THEN (kk - n * p * p - p1 * (g - 1)) / (p1 * (n - nn / n - (g - 1))) END, 0.5), 0.01), 0.99) - 1
-          FROM (SELECT *, k / n AS p, (k / n) * (1 - k / n) AS p1 FROM (SELECT sum(n)::DOUBLE n, sum(k)::DOUBLE k, count(*)::DOUBLE g, sum(n::DOUBLE * n) nn, sum(k::DOUBLE * k / n) kk FROM {level} WHERE n > 0)))"""
+    def strength(level: str, key: str) -> str:
+        return f"""(SELECT 1 / least(greatest(coalesce(CASE WHEN room > 1e-9 THEN spread / room END, 0.5), 0.01), 0.5) - 1
+          FROM (SELECT sum(kk - k * k / n - (k / n) * (1 - k / n) * (g - 1)) AS spread, sum((k / n) * (1 - k / n) * (n - nn / n - (g - 1))) AS room
+          FROM (SELECT {key}, sum(n)::DOUBLE n, sum(k)::DOUBLE k, count(*)::DOUBLE g, sum(n::DOUBLE * n) nn, sum(k::DOUBLE * k / n) kk FROM {level} WHERE n > 0 GROUP BY {key})))"""
 
     def shrink(level: str, parent: str, key: str) -> str:
-        return f"""SELECT *, a / (a + b) AS mean FROM (SELECT u.*, coalesce({strength(level)}, 1.0) * coalesce(q.mean, 0.5) + u.k AS a,
-          coalesce({strength(level)}, 1.0) * (1 - coalesce(q.mean, 0.5)) + u.n - u.k AS b FROM {level} u LEFT JOIN {parent} q ON u.{key} = q.{key})"""
+        return f"""SELECT *, a / (a + b) AS mean FROM (SELECT u.*, coalesce({strength(level, key)}, 1.0) * coalesce(q.mean, 0.5) + u.k AS a,
+          coalesce({strength(level, key)}, 1.0) * (1 - coalesce(q.mean, 0.5)) + u.n - u.k AS b FROM {level} u LEFT JOIN {parent} q ON u.{key} = q.{key})"""
 
     return f"""
 WITH rest AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
