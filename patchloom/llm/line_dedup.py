@@ -101,42 +101,98 @@ def _parity(words: Column) -> tuple[Column, Column]:
     return F.when(long, side(0)).otherwise(F.aggregate(words, zero, flip)), F.when(long, side(64)).otherwise(zero)
 
 
-def _candidates(classes: DataFrame, threshold: float, hot: int) -> DataFrame:
-    """Distinct pairs (later class, earlier class) by location that pass the filters."""
-    a, b = _ratio(threshold)
-    entries = classes.where("size >= 2").withColumn("cid", F.pmod("c1", F.lit(65536)))
-    entries = entries.select("doc", "line_no", "cid", "size", "sig", "sig2", "prefix", F.posexplode(F.slice("prefix", 1, _prefix(F.col("size"), threshold))).alias("pos", "word"))
+def _entries(classes: DataFrame, threshold: float) -> DataFrame:
+    """The prefix words of every class with its packed size, position and 16 bits of its hash."""
+    own = classes.where("size >= 2").withColumn("cid", F.pmod("c1", F.lit(65536)))
+    own = own.select("doc", "line_no", "cid", "size", "sig", "sig2", "prefix", F.posexplode(F.slice("prefix", 1, _prefix(F.col("size"), threshold))).alias("pos", "word"))
     packed = F.shiftleft(F.col("size").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 16)).bitwiseOR(F.col("cid"))
-    slim = entries.select("word", "doc", "line_no", packed.alias("spc"), "sig", "sig2")
-    common = entries.groupBy("word").count().where(F.col("count") > hot).select(F.col("word").alias("hot_word"))
-    common = materialize(common, "hot-words")
+    return own.withColumn("spc", packed)
+
+
+SLIM = ("word", "doc", "line_no", "spc", "sig", "sig2")
+LOWEST = -(1 << 63)
+
+
+def _matches(xs: DataFrame, ys: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Pairs (later y, earlier x) of equal ``keys`` that the length, position and parity filters let pass."""
+    a, b = _ratio(threshold)
     size = lambda side: F.shiftright(f"{side}.spc", 40)
     pos = lambda side: F.shiftright(f"{side}.spc", 16).bitwiseAND(F.lit(0xFFFFFF))
-
-    def matches(rows: DataFrame, keys: list[str]) -> DataFrame:
-        x, y = rows.alias("x"), rows.alias("y")
-        same = None
-        for k in keys:
-            same = (F.col(f"x.{k}") == F.col(f"y.{k}")) if same is None else same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-        earlier = (F.coalesce(F.col("x.doc"), F.lit(-(1 << 63))) < F.coalesce(F.col("y.doc"), F.lit(-(1 << 63)))) | (F.col("x.doc").eqNullSafe(F.col("y.doc")) & (F.col("x.line_no") < F.col("y.line_no")))
-        length = (size("x") * b >= size("y") * a) & (size("y") * b >= size("x") * a)
-        most = F.least(pos("x"), pos("y")) + F.least(size("x") - pos("x"), size("y") - pos("y"))
-        enough = most * (a + b) >= (size("x") + size("y")) * a
-        low, high = F.col("x.sig").bitwiseXOR(F.col("y.sig")), F.col("x.sig2").bitwiseXOR(F.col("y.sig2"))
-        folded = (F.col("x.sig2") == 0) | (F.col("y.sig2") == 0)
-        bits = F.when(folded, F.bit_count(low.bitwiseXOR(high))).otherwise(F.bit_count(low) + F.bit_count(high))
-        apart = bits * (a + b) <= (size("x") + size("y")) * (b - a)
-        found = x.join(y, same & apart & earlier & length & enough)
-        return found.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "yx" for c in ("doc", "line_no")], *[F.col(f"{s}.spc").bitwiseAND(F.lit(65535)).alias(f"cid_{s}") for s in "yx"])
-
-    n_hot = common.count()
-    if not n_hot:
-        return matches(slim, ["word"]).distinct()
-    marked = slim.join(_small(common, n_hot), F.col("word") == F.col("hot_word"), "left")
-    single = marked.where("hot_word IS NULL").drop("hot_word")
-    longer = entries.join(_small(common, n_hot), F.col("word") == F.col("hot_word")).where("size >= 4")
-    longer = longer.select("word", "doc", "line_no", packed.alias("spc"), "sig", "sig2", F.explode(F.slice("prefix", F.col("pos") + 2, F.size("prefix"))).alias("second"))
-    return matches(single, ["word"]).unionByName(matches(longer, ["word", "second"])).distinct()
+    x, y = xs.alias("x"), ys.alias("y")
+    same = None
+    for k in keys:
+        same = (F.col(f"x.{k}") == F.col(f"y.{k}")) if same is None else same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    earlier = (F.coalesce(F.col("x.doc"), F.lit(LOWEST)) < F.coalesce(F.col("y.doc"), F.lit(LOWEST))) | (F.col("x.doc").eqNullSafe(F.col("y.doc")) & (F.col("x.line_no") < F.col("y.line_no")))
+    length = (size("x") * b >= size("y") * a) & (size("y") * b >= size("x") * a)
+    most = F.least(pos("x"), pos("y")) + F.least(size("x") - pos("x"), size("y") - pos("y"))
+    enough = most * (a + b) >= (size("x") + size("y")) * a
+    low, high = F.col("x.sig").bitwiseXOR(F.col("y.sig")), F.col("x.sig2").bitwiseXOR(F.col("y.sig2"))
+    folded = (F.col("x.sig2") == 0) | (F.col("y.sig2") == 0)
+    bits = F.when(folded, F.bit_count(low.bitwiseXOR(high))).otherwise(F.bit_count(low) + F.bit_count(high))
+    apart = bits * (a + b) <= (size("x") + size("y")) * (b - a)
+    found = x.join(y, same & apart & earlier & length & enough)
+    return found.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "yx" for c in ("doc", "line_no")], *[F.col(f"{s}.spc").bitwiseAND(F.lit(65535)).alias(f"cid_{s}") for s in "yx"])
+
+
+def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``ldoc, lline, lcid``: the later classes of the pairs whose word sets are similar; a table."""
+    places = pairs.select(F.col("doc_y").alias("pdoc"), F.col("line_no_y").alias("pline")).union(pairs.select("doc_x", "line_no_x")).distinct()
+    places = materialize(places, "line-places")
+    wanted = _lines(docs).join(_small(places, places.count(), 1_000_000), F.col("doc").eqNullSafe(F.col("pdoc")) & (F.col("line_no") == F.col("pline")), "left_semi")
+    sets = with_word_set(wanted.select("doc", "line_no", "line"), table)
+    sets = materialize(sets.select("doc", "line_no", "words", F.pmod(F.xxhash64("words"), F.lit(65536)).alias("cid")).distinct(), "line-sets")
+    at = lambda side: sets.select(*[F.col(c).alias(f"{c}_{side}{side}") for c in ("doc", "line_no", "cid", "words")])
+    on = lambda s: (F.col(f"cid_{s}") == F.col(f"cid_{s}{s}")) & (F.col(f"line_no_{s}") == F.col(f"line_no_{s}{s}")) & F.col(f"doc_{s}").eqNullSafe(F.col(f"doc_{s}{s}"))
+    a, b = _ratio(threshold)
+    both = pairs.join(at("y"), on("y")).join(at("x"), on("x"))
+    shared = F.size(F.array_intersect("words_yy", "words_xx"))
+    similar = both.where(shared * (a + b) >= (F.size("words_yy") + F.size("words_xx")) * a)
+    later = materialize(similar.select(F.col("doc_y").alias("ldoc"), F.col("line_no_y").alias("lline"), F.col("cid_y").alias("lcid")).distinct(), "later-lines")
+    remove(places, sets)
+    return later
+
+
+def _later_classes(docs: DataFrame, table: DataFrame, classes: DataFrame, threshold: float, hot: int, crowd: int) -> DataFrame:
+    """``ldoc, lline, lcid`` of every class that an earlier class resembles.
+
+    One earlier match is enough, so a crowd of variants of one line need not be paired with itself: the
+    words of more than ``crowd`` prefixes first offer the classes of their smallest doc_id as pivots, which
+    costs one row for each of their entries. Only the classes that no pivot settles are joined in full,
+    against all earlier ones."""
+    entries = _entries(classes, threshold)
+    words = entries.groupBy("word").agg(F.count("*").alias("n"), F.min(F.coalesce("doc", F.lit(LOWEST))).alias("low"))
+    words = materialize(words.where(F.col("n") > crowd).select(F.col("word").alias("w"), "n", "low"), "crowded-words")
+    n_words = words.count()
+    settled = None
+    if n_words:
+        crowded = entries.select(*SLIM).join(_small(words.select("w", "low"), n_words), F.col("word") == F.col("w"))
+        pivots = crowded.where(F.coalesce("doc", F.lit(LOWEST)) == F.col("low"))
+        offered = materialize(_matches(pivots.select(*SLIM), crowded.select(*SLIM), ["word"], threshold).distinct(), "pivot-candidates")
+        settled = _verified(docs, table, offered, threshold)
+        remove(offered)
+        release_shuffles(docs.sparkSession)
+    common = words.where(F.col("n") > hot).select(F.col("w").alias("hot_word"))
+    n_hot = common.count() if n_words else 0
+
+    def open_(rows: DataFrame) -> DataFrame:
+        if settled is None:
+            return rows
+        same = F.col("doc").eqNullSafe(F.col("ldoc")) & (F.col("line_no") == F.col("lline")) & (F.col("spc").bitwiseAND(F.lit(65535)) == F.col("lcid"))
+        return rows.join(_small(settled, settled.count()), same, "left_anti")
+
+    slim = entries.select(*SLIM)
+    if n_hot:
+        single = slim.join(_small(common, n_hot), F.col("word") == F.col("hot_word"), "left_anti")
+        longer = entries.join(_small(common, n_hot), F.col("word") == F.col("hot_word")).where("size >= 4")
+        longer = longer.select(*SLIM, F.explode(F.slice("prefix", F.col("pos") + 2, F.size("prefix"))).alias("second"))
+        found = _matches(single, open_(single), ["word"], threshold).unionByName(_matches(longer, open_(longer), ["word", "second"], threshold))
+    else:
+        found = _matches(slim, open_(slim), ["word"], threshold)
+    pairs = materialize(found.distinct(), "line-candidates")
+    release_shuffles(docs.sparkSession)
+    later = _verified(docs, table, pairs, threshold)
+    remove(pairs)
+    return later if settled is None else later.unionByName(settled).distinct()
 
 
 def _small(table: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
@@ -144,7 +200,7 @@ def _small(table: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     return F.broadcast(table) if rows <= most else table
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000, crowd: int = 64) -> DataFrame:
     """``doc, th, removed``: for each document (id and text hash) the numbers of its removed lines; a table."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
@@ -159,21 +215,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000) -> D
     lines = materialize(wide.select("doc", "th", "line_no", "c1", "c2"), "line-places")
     remove(wide)
     release_shuffles(spark)
-    pairs = materialize(_candidates(classes, threshold, hot), "line-candidates")
-    release_shuffles(spark)
-    places = pairs.select(F.col("doc_y").alias("pdoc"), F.col("line_no_y").alias("pline")).union(pairs.select("doc_x", "line_no_x")).distinct()
-    places = materialize(places, "line-places")
-    wanted = _lines(docs).join(_small(places, places.count(), 1_000_000), F.col("doc").eqNullSafe(F.col("pdoc")) & (F.col("line_no") == F.col("pline")), "left_semi")
-    sets = with_word_set(wanted.select("doc", "line_no", "line"), table)
-    sets = sets.select("doc", "line_no", "words", F.pmod(F.xxhash64("words"), F.lit(65536)).alias("cid")).distinct()
-    sets = materialize(sets, "line-sets")
-    at = lambda side: sets.select(*[F.col(c).alias(f"{c}_{side}{side}") for c in ("doc", "line_no", "cid", "words")])
-    on = lambda s: (F.col(f"cid_{s}") == F.col(f"cid_{s}{s}")) & (F.col(f"line_no_{s}") == F.col(f"line_no_{s}{s}")) & F.col(f"doc_{s}").eqNullSafe(F.col(f"doc_{s}{s}"))
-    a, b = _ratio(threshold)
-    both = pairs.join(at("y"), on("y")).join(at("x"), on("x"))
-    shared = F.size(F.array_intersect("words_yy", "words_xx"))
-    similar = both.where(shared * (a + b) >= (F.size("words_yy") + F.size("words_xx")) * a)
-    later = similar.select(F.col("doc_y").alias("ldoc"), F.col("line_no_y").alias("lline"), F.col("cid_y").alias("lcid")).distinct()
+    later = _later_classes(docs, table, classes, threshold, hot, crowd)
     on_class = F.col("doc").eqNullSafe(F.col("ldoc")) & (F.col("line_no") == F.col("lline")) & (F.pmod("c1", F.lit(65536)) == F.col("lcid"))
     kept = classes.join(later, on_class, "left_anti").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("doc").alias("kdoc"), F.col("line_no").alias("kline"))
     kept = materialize(kept, "kept-classes")
@@ -181,13 +223,13 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000) -> D
     gone = lines.select("doc", "th", "line_no", "c1", "c2").join(kept, stays, "left_anti")
     gone = materialize(gone.groupBy("doc", "th").agg(F.collect_set("line_no").alias("removed")), "removed-lines")
     release_shuffles(spark)
-    remove(lines, classes, pairs, places, sets, kept)
+    remove(lines, classes, kept)
     return gone
 
 
-def line_dedup(docs: DataFrame, threshold: float = 0.8, hot: int = 2000) -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: float = 0.8, hot: int = 2000, crowd: int = 64) -> DataFrame:
     """``docs`` with the removed lines cut from ``text`` and ``_lines``, ``_removed`` counts added."""
-    gone = removed_lines(docs, threshold, hot).withColumnsRenamed({"doc": "_doc", "th": "_th", "removed": "_gone"})
+    gone = removed_lines(docs, threshold, hot, crowd).withColumnsRenamed({"doc": "_doc", "th": "_th", "removed": "_gone"})
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th"))
     joined = docs.join(gone, same, "left")
     parts = F.split("text", "\n")

@@ -244,9 +244,9 @@ def plain_lines(rows, threshold=0.8):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_line_dedup(spark, docs, hot):
-    done = line_dedup.line_dedup(docs, hot=hot)
+@pytest.mark.parametrize(("hot", "crowd"), [(2000, 64), (1, 1), (3, 2)])
+def test_line_dedup(spark, docs, hot, crowd):
+    done = line_dedup.line_dedup(docs, hot=hot, crowd=crowd)
     assert done.columns == [*docs.columns, "_lines", "_removed"]
     assert Counter((r.doc_id, r.text) for r in done.collect()) == plain_lines(both(docs))
 
