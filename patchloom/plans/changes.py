@@ -1 +1,104 @@
-"""Queries over change records."""
+"""Queries over change records: differences, edit sequences, encoders and categories."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from patchloom import schemas
+from patchloom.functions import code as C
+from patchloom.operators import categorize, encoders, metrics
+from patchloom.plans.registry import query, table
+
+
+def _turn_pairs(spark, d) -> DataFrame:
+    """Consecutive turns of a conversation as before and after texts."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    later = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
+    return turns.withColumnRenamed("text", "before").join(later, ["conv_id", "turn"])
+
+
+@query(None)
+def word_diff(spark, d):
+    """Deleted and inserted words; the kept and inserted words give the later text (tests/test_code.py)."""
+    ops = _turn_pairs(spark, d).select("conv_id", "turn", C.diff_words("before", "after").alias("d"))
+    count = lambda op: F.aggregate(F.filter("d", lambda x: x["op"] == op), F.lit(0), lambda a, x: a + F.size(F.split(x["text"], " "))).cast("long")
+    return ops.select("conv_id", "turn", count(-1).alias("n_deleted"), count(0).alias("n_kept"), count(1).alias("n_inserted"))
+
+
+@query(None)
+def line_hunks(spark, d):
+    hunks = _turn_pairs(spark, d).select("conv_id", "turn", F.posexplode(C.hunks_of("before", "after")).alias("hunk_no", "h"))
+    return hunks.select("conv_id", "turn", "hunk_no", F.col("h.type").alias("type"), F.size("h.sourceChanges").alias("n_source"), F.size("h.targetChanges").alias("n_target"))
+
+
+@query(None)
+def code_padding(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(C.padded("text").cast("binary")).alias("padded"))
+
+
+@query("SELECT a.conv_id, a.turn, true AS restored FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def edit_sequence_roundtrip(spark, d):
+    """Applying a pair's edit sequence gives the later text, or the sequence is one whole replacement of it."""
+    flat = lambda c: F.array_join(metrics.tokens(F.col(c)), " ")
+    pairs = _turn_pairs(spark, d).select("conv_id", "turn", flat("before").alias("b"), flat("after").alias("a")).withColumn("s", C.make_edit_sequence("b", "a"))
+    whole = F.concat(F.lit(f"{C.OLD} "), F.col("b"), F.lit(f" {C.NEW} "), F.col("a"), F.lit(f" {C.END}"))
+    return pairs.select("conv_id", "turn", (C.applied_edit_sequence("b", "s").eqNullSafe(F.col("a")) | (F.col("s") == whole)).alias("restored"))
+
+
+@query(None)
+def sutcopy(spark, d):
+    """Model-free baseline: a conversation's own word replacements, folded into its first turn, against its last."""
+    ops = _turn_pairs(spark, d).select("conv_id", "turn", F.posexplode(C.diff_words("before", "after")).alias("i", "x"))
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conv_id", "turn").orderBy("i")
+    nexts = ops.withColumns({"next_op": F.lead("x.op").over(order), "next_text": F.lead("x.text").over(order)}).where("x.op = -1")
+    old_new = F.struct(F.col("x.text").alias("old"), F.when(F.col("next_op") == 1, F.col("next_text")).otherwise("").alias("new"))
+    pairs = nexts.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "i", old_new.alias("p")))), lambda v: v["p"]).alias("pairs"))
+    ends = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+    guessed = ends.join(pairs, "conv_id", "left").withColumn("guess", C.folded("first", "pairs"))
+    words = guessed.select("conv_id", metrics.tokens(F.col("guess")).alias("hyp"), metrics.tokens(F.col("last")).alias("ref"))
+    return metrics.sentence_bleu(words, ["conv_id"], "hyp", "ref")
+
+
+def repairs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Change records made from conversations: the project is a residue, the commit a conversation, the test its turns."""
+    line = lambda text, kind, n: F.struct(text.alias("line"), F.lit(kind).alias("type"), n.cast("int").alias("lineNo"))
+    pairs = _turn_pairs(spark, d).withColumns({"b": F.split("before", "\n"), "a": F.split("after", "\n")})
+    commit = F.concat(F.lit("c"), "conv_id")
+    source = F.struct(F.lit(10).alias("startLine"), F.col("before").alias("code"))
+    hunk = F.struct(F.lit("MODIFY").alias("type"), F.array(line(F.get("b", F.lit(0)), "DELETE", F.lit(10))).alias("sourceChanges"), F.array(line(F.get("a", F.lit(0)), "ADD", F.lit(10))).alias("targetChanges"))
+    made = pairs.select(
+        F.concat_ws(":", "conv_id", "turn").alias("ID"), F.concat(F.lit("p"), F.col("conv_id") % 5).alias("project"), F.concat(F.lit("t"), "turn").alias("name"), F.concat(commit, F.lit("b")).alias("bCommit"), commit.alias("aCommit"),
+        F.col("conv_id").alias("aCommitTime"), source.alias("bSource"), hunk.alias("hunk"), F.when(F.col("turn") % 3 == 2, F.array(F.lit("RENAME_METHOD"))).alias("trivial"),
+    )
+    one = F.struct(F.concat(F.lit("src/"), "turn").alias("bPath"), F.concat(F.lit("m"), "turn", F.lit("()")).alias("name"), (F.col("turn") % 4 == 3).alias("is_test_source"), F.array(hunk).alias("hunks"))
+    grouped = pairs.select("conv_id", one.alias("c"), "turn").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "c"))), lambda v: v["c"]).alias("changes"))
+    return made, grouped.select(F.concat(F.lit("p"), F.col("conv_id") % 5).alias("project"), commit.alias("aCommit"), "changes")
+
+
+def _encoded(name: str):
+    def run(spark, d):
+        rows = encoders.split_encoded(encoders.encode(*repairs(spark, d), name, 400))
+        return rows.select("ID", "project", "split", "n_documents", "n_selected", F.md5(F.col("input").cast("binary")).alias("input"), F.md5(F.col("output").cast("binary")).alias("output"))
+
+    run.__name__ = f"encode_{name.lower()}"
+    return query(None)(run)
+
+
+for _name in encoders.ENCODERS:
+    _encoded(_name)
+
+
+@query(None)
+def categorise_actions(spark, d):
+    """Actions made from line items: flags choose the action, names the labels (goldens in tests/test_categorize.py)."""
+    kinds = F.array(*[F.lit(x) for x in ("Insert", "Delete", "Update", "Move")])
+    nodes = F.array(*[F.lit(x) for x in ("Literal", "Invocation", "ConstructorCall", "THROWN", "TypeAccess")])
+    pick = lambda a, n, by: F.get(a, (F.col(by) % n).cast("int"))
+    node = F.struct(F.concat(F.lit("C"), F.col("l_suppkey") % 7, F.lit("(a,b)")).alias("label"), F.lit(0).alias("childCount"))
+    action = F.struct(pick(kinds, 4, "l_partkey").alias("type"), pick(nodes, 5, "l_suppkey").alias("nodeType"), F.array(F.lit("Method")).alias("parents"), node.alias("srcNode"), node.alias("dstNode"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", action.alias("a")).groupBy(F.col("l_orderkey").cast("string").alias("ID")).agg(F.collect_list("a").alias("astActions"))
+    empty = F.from_json(F.lit("{}"), schemas.HUNK)
+    return categorize.categorise(rows.withColumn("hunk", empty)).select("ID", F.array_join("categories", ",").alias("categories"), F.col("n_actions").cast("long").alias("n_actions"))

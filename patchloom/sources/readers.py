@@ -1,0 +1,94 @@
+"""Readers and writers for change-record files, all through Spark's own sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from patchloom import schemas
+
+PROJECT = r"([^/]+/[^/]+)/[^/]+$"
+
+
+def read_json(spark: SparkSession, folder: str, schema: str, name: str = "*.json", project: bool = False) -> DataFrame:
+    """All files called ``name`` below ``folder`` as rows; ``project`` adds the two folders above the file.
+
+    Raises if there is no row, so that a wrong path is not an empty answer."""
+    frame = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(folder)
+    if project:
+        frame = frame.withColumn("project", F.regexp_extract(F.col("_metadata.file_path"), PROJECT, 1))
+    if frame.isEmpty():
+        raise ValueError(f"no {name} with records below {folder}")
+    return frame
+
+
+def read_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    return read_json(spark, folder, schemas.REPAIR, "dataset.json", project=True)
+
+
+def read_change_sets(spark: SparkSession, folder: str, name: str = "sut_class_changes.json") -> DataFrame:
+    """Change sets of the projects that have exactly one such file."""
+    frame = spark.read.schema(schemas.CHANGE_SET).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(folder)
+    frame = frame.withColumns({"file": F.col("_metadata.file_path"), "project": F.regexp_extract(F.col("_metadata.file_path"), PROJECT, 1)})
+    single = frame.groupBy("project").agg(F.countDistinct("file").alias("n")).where("n = 1").select("project")
+    return frame.join(single, "project", "left_semi").drop("file")
+
+
+def read_nested_map(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...]) -> DataFrame:
+    """A JSON object of objects as rows: one column for each level of keys, then ``value``."""
+    frame = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("value"))
+    names: list[str] = []
+    for key in keys:
+        frame = frame.select(*names, F.explode("value").alias(key, "value"))
+        names.append(key)
+    return frame
+
+
+def read_call_graphs(spark: SparkSession, path: str) -> DataFrame:
+    return read_nested_map(spark, path, schemas.CALL_GRAPHS, ("commit", "test"))
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def read_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, code, command, java_home, log`` of whole log files: three head lines, then the log."""
+    text = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\n", 4).alias("p"))
+    part = lambda i: F.get("p", F.lit(i))
+    return text.select("path", part(0).try_cast("int").alias("code"), part(1).alias("command"), F.regexp_replace(part(2), "^JAVA_HOME=", "").alias("java_home"), part(3).alias("log"))
+
+
+def pom_properties(frame: DataFrame, text: str = "pom") -> DataFrame:
+    """Adds ``java_version``: the compiler's source or release setting, one ``${name}`` looked up."""
+    raw = F.coalesce(*[F.nullif(F.regexp_extract(text, rf"<{tag}>\s*([^<\s]+)\s*</{tag}>", 1), F.lit("")) for tag in ("maven.compiler.release", "maven.compiler.source", "release", "source", "java.version")])
+    name = F.regexp_extract(raw, r"^\$\{([^}]+)\}$", 1)
+    looked = F.regexp_extract(F.col(text), F.concat(F.lit(r"<\Q"), name, F.lit(r"\E>\s*([^<\s]+)\s*<")), F.lit(1))
+    return frame.withColumn("java_version", F.when(name != "", F.nullif(looked, F.lit(""))).otherwise(raw))
+
+
+def write_json(frame: DataFrame, path: str, overwrite: bool = False) -> None:
+    frame.write.mode("overwrite" if overwrite else "ignore").json(path)
+
+
+def write_csv(frame: DataFrame, path: str, overwrite: bool = False) -> None:
+    frame.write.mode("overwrite" if overwrite else "ignore").option("header", True).csv(path)
+
+
+def stage(frame_of, spark: SparkSession, path: str) -> DataFrame:
+    """A stage's table: computed and written if ``path`` does not exist, read otherwise."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        frame_of().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def missing_verdicts(verdicts: DataFrame, n: int) -> DataFrame:
+    """Expected indexes 0..n-1 without a verdict (``id`` as text of the index)."""
+    have = verdicts.select(F.col("id").cast("long").alias("ind")).distinct()
+    return verdicts.sparkSession.range(n).withColumnRenamed("id", "ind").join(have, "ind", "left_anti")
+
+
+def exactly_one(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key occurs once."""
+    return frame.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")
