@@ -78,9 +78,10 @@ def test_context(repairs: DataFrame) -> Column:
     numbers = F.transform("source", lambda x: x["lineNo"])
     low, high = F.array_min(numbers) - F.col("bSource.startLine"), F.array_max(numbers) - F.col("bSource.startLine")
     lines = F.split("padded_code", "\n")
-    marked = F.transform(lines, lambda x, i: F.concat(F.when(i == low, F.lit(BREAK_START + " ")).otherwise(""), T.strip(x), F.when(i == high, F.lit(" " + BREAK_END)).otherwise("")))
+    marked = F.transform(lines, lambda x, i: F.concat(F.when(i == low, F.lit(BREAK_START)).otherwise(""), x, F.when(i == high, F.lit(BREAK_END)).otherwise("")))
     kept = F.filter(marked, lambda x: (T.strip(x) != "") & ~T.is_comment(x))
-    return F.array_join(kept, " ")
+    joined = F.replace(F.array_join(kept, " "), F.lit(f" {BREAK_START}"), F.lit(BREAK_START))
+    return F.replace(joined, F.lit(f"{BREAK_END} "), F.lit(BREAK_END))
 
 
 def hunk_documents(changes: DataFrame, encoder: Encoder) -> DataFrame:
@@ -124,7 +125,7 @@ def encode(repairs: DataFrame, changes: DataFrame, encoder: str = "SimOrder", bu
     keys = ["ID", "project", "aCommit", "aCommitTime", "trivial"]
     if not e.documents:
         none = F.lit(0).cast("long")
-        return rows.select(*keys, F.concat(F.lit(CONTEXT + " "), F.col("context")).alias("input"), "output", none.alias("n_documents"), none.alias("n_selected"))
+        return rows.select(*keys, F.col("context").alias("input"), "output", none.alias("n_documents"), none.alias("n_selected"))
     docs = materialize(hunk_documents(changes, e), "hunk-documents").withColumnsRenamed({"project": "_p", "aCommit": "_c", "name": "changed"})
     pairs = rows.select("ID", "project", "aCommit", "bCommit", "name").join(docs, (F.col("project") == F.col("_p")) & (F.col("aCommit") == F.col("_c")))
     first = F.struct("doc_no", "changed", "path", "scope")
@@ -153,7 +154,7 @@ def encode(repairs: DataFrame, changes: DataFrame, encoder: str = "SimOrder", bu
     taken = ranking.greedy_select(F.col("sizes"), F.lit(budget - 2) - F.size(metrics.tokens(F.col("context"))))
     joined = joined.withColumn("taken", taken)
     chosen = F.when(F.size("taken") > 0, F.transform("taken", lambda i: F.get("docs", i)["document"])).otherwise(F.array(F.get("docs", F.lit(0))["document"]))
-    text = F.concat(F.lit(CONTEXT + " "), F.col("context"), F.lit(" " + REPAIR_CONTEXT + " "), F.array_join(chosen, ""))
+    text = F.concat(F.lit(CONTEXT), F.col("context"), F.lit(REPAIR_CONTEXT), F.array_join(chosen, ""))
     return joined.select(*keys, text.alias("input"), "output", F.size("docs").cast("long").alias("n_documents"), F.size("taken").cast("long").alias("n_selected"))
 
 

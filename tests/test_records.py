@@ -37,7 +37,7 @@ def test_encoders(spark, folder, name):
     changes = readers.read_change_sets(spark, folder)
     got = {r.ID: r for r in encoders.encode(repairs, changes, name).collect()}
     assert set(got) == {"o/r:0", "o/r:3"}  # comments, blanks and lines outside the test are left out
-    assert f"{encoders.BREAK_START} a ( 1 ) ; {encoders.BREAK_END}" in got["o/r:0"].input and "note" not in got["o/r:0"].input
+    assert f"{encoders.BREAK_START}a ( 1 ) ;{encoders.BREAK_END}end" in got["o/r:0"].input and "note" not in got["o/r:0"].input
     if name == "EditSequence":
         assert got["o/r:0"].output.startswith("[<replaceOld>]")
     else:
