@@ -37,7 +37,7 @@ WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\
 CHUNKS = regex.compile(rf"[^{SPACE}]+")
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 #: Entries of a table's younger half, pairs, and rows learnt together.
-HALF_LIMIT, PAIR_LIMIT, ROWS = 200_000, 1_000_000, 256
+HALF_LIMIT, PAIR_LIMIT, ROWS = 150_000, 1_000_000, 256
 
 
 def byte_letters() -> list[str]:
