@@ -15,9 +15,9 @@ def share(part: Column, whole: Column, digits: int = 1) -> Column:
 def value_counts(df: DataFrame, column: str, keep_null: bool = True) -> DataFrame:
     """``value, n, pct``; shares are of all rows, also when the null bucket is left out.
 
-    The histogram is small after its partial aggregation; the total is a sum over it."""
+    The total is a scalar over the aggregated counts, so no task has to hold all values."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    out = counts.withColumn("pct", share(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))
+    out = counts.withColumn("pct", share(F.col("n"), df.agg(F.count("*")).scalar()))
     return out if keep_null else out.where("value IS NOT NULL")
 
 
