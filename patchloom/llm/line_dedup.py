@@ -200,7 +200,7 @@ def _small(table: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     return F.broadcast(table) if rows <= most else table
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000, crowd: int = 1000) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000, crowd: int = 250) -> DataFrame:
     """``doc, th, removed``: for each document (id and text hash) the numbers of its removed lines; a table."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
@@ -227,7 +227,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000, crow
     return gone
 
 
-def line_dedup(docs: DataFrame, threshold: float = 0.8, hot: int = 2000, crowd: int = 1000) -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: float = 0.8, hot: int = 2000, crowd: int = 250) -> DataFrame:
     """``docs`` with the removed lines cut from ``text`` and ``_lines``, ``_removed`` counts added."""
     gone = removed_lines(docs, threshold, hot, crowd).withColumnsRenamed({"doc": "_doc", "th": "_th", "removed": "_gone"})
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th"))
