@@ -1,12 +1,14 @@
 """Benchmark decontamination by typed templates (DataFrame functions only).
 
-Text is canonicalised word by word: numbers, units after a number and names (capitalised words inside a
-sentence) become typed placeholders, the rest is lower-cased. Windows of ``window`` template words of
-every document are hash-joined with the windows of the benchmark items. For each document, item and
-alignment (document position minus item position) the slots are then checked: a word of the item that
-stands in several slots must be matched by one and the same word, so a re-parameterised question is
-caught and a chance run of placeholders is not. A document is contaminated by an item if the consistent
-alignments cover at least ``similarity`` of the item's windows.
+Text is canonicalised word by word: numbers, units after a number and names become typed placeholders, the
+rest is lower-cased. It is read twice: the narrow reading takes only capitalised words inside a sentence
+for names, the wide one every capitalised word, as a name may open a sentence, a line or the text. Windows
+of ``window`` template words of every document are hash-joined with the windows of the benchmark items of
+the same reading. For each document, item, reading and alignment (document position minus item position)
+the slots are then checked: a word of the item that stands in several slots must be matched by one and the
+same word, so a re-parameterised question is caught and a chance run of placeholders is not. A document is
+contaminated by an item if in either reading the consistent alignments cover at least ``similarity`` of the
+item's windows; the figures are the narrow reading's if that one suffices. The SQL has the narrow reading.
 
 Windows with fewer than two plain words say little and are left out, unless an item has no other. The
 items' windows are broadcast only if their counted number is at most ``broadcast_rows``; more are joined
@@ -36,15 +38,18 @@ STEPS = (
     (r"([^.!?:;\x20\x09-\x0D][ \t]+)\p{Lu}\p{Ll}+", "$1" + NAME),
     (r"([^.!?:;\x20\x09-\x0D][ \t]+)\p{Lu}\p{Ll}+", "$1" + NAME),
 )
+#: A capitalised word that opens a sentence, a line or the text, or follows an opening sign.
+OPENING = r"(^|[\x20\x09-\x0D\"'(\[])\p{Lu}\p{Ll}+"
+NARROW, WIDE, BOTH = 0, 1, 2
 SLOT = f"[{NUMBER}{NAME}{UNIT}]"
 
 
-def template(text: Column) -> Column:
+def template(text: Column, wide: bool = False) -> Column:
     """The canonical text; it has the same words, in number and order, as the text."""
     out = F.btrim(text, F.lit(BLANK))
     for pattern, put in STEPS:
         out = F.regexp_replace(out, pattern, put)
-    return F.lower(out)
+    return F.lower(F.regexp_replace(out, OPENING, "$1" + NAME) if wide else out)
 
 
 def _words(text: Column) -> Column:
@@ -52,25 +57,35 @@ def _words(text: Column) -> Column:
 
 
 def _windows(rows: DataFrame, window: int, *keep: str) -> DataFrame:
-    """``pos, key`` and the ``keep`` columns for every window of ``words``."""
-    wide = rows.where(F.size("words") >= window)
-    each = wide.select(*keep, "words", F.explode(F.sequence(F.lit(1), F.size("words") - window + 1)).alias("pos"))
-    return each.withColumn("key", F.xxhash64(F.slice("words", F.col("pos"), window)))
+    """``pos, reading, key`` and the ``keep`` columns for every window of ``words`` and of ``wide_words``.
+
+    A window that both readings make alike is one row, of the reading ``BOTH``."""
+    long = rows.where(F.size("words") >= window)
+    each = long.select(*keep, "words", "wide_words", F.explode(F.sequence(F.lit(1), F.size("words") - window + 1)).alias("pos"))
+    key = lambda c: F.xxhash64(F.slice(c, F.col("pos"), window))
+    row = lambda reading, k: F.struct(F.lit(reading).alias("reading"), F.col(k).alias("key"))
+    each = each.withColumns({"narrow_key": key("words"), "wide_key": key("wide_words")})
+    keys = F.when(F.col("narrow_key") == F.col("wide_key"), F.array(row(BOTH, "narrow_key"))).otherwise(F.array(row(NARROW, "narrow_key"), row(WIDE, "wide_key")))
+    return each.select(*keep, "words", "wide_words", "pos", F.inline(keys))
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """The informative windows of each distinct item, with its slots and its number of windows."""
+    """The informative windows of each distinct item in each reading, with its slots and its number of windows."""
     own = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
-    rows = own.select("item_id", F.xxhash64("text").alias("item_text"), _words(template(F.col("text"))).alias("words"), _words(F.btrim("text", F.lit(BLANK))).alias("plain"))
+    text = F.col("text")
+    rows = own.select("item_id", F.xxhash64("text").alias("item_text"), _words(template(text)).alias("words"), _words(template(text, True)).alias("wide_words"), _words(F.btrim("text", F.lit(BLANK))).alias("plain"))
     each = _windows(rows, window, "item_id", "item_text", "plain")
-    at = F.slice("words", F.col("pos"), window)
+    each = each.withColumn("reading", F.explode(F.when(F.col("reading") == BOTH, F.array(F.lit(NARROW), F.lit(WIDE))).otherwise(F.array("reading"))))
+    at = F.slice(F.when(F.col("reading") == WIDE, F.col("wide_words")).otherwise(F.col("words")), F.col("pos"), window)
     slots = F.filter(F.sequence(F.lit(0), F.lit(window - 1)), lambda i: F.get(at, i).rlike(SLOT))
-    each = each.select("item_id", "item_text", "key", F.col("pos").alias("item_pos"), slots.alias("slots"), F.slice("plain", F.col("pos"), window).alias("item_words"))
+    each = each.select("item_id", "item_text", "reading", "key", F.col("pos").alias("item_pos"), slots.alias("slots"), F.slice("plain", F.col("pos"), window).alias("item_words"))
     each = each.withColumn("plain_words", window - F.size("slots"))
-    best = each.groupBy("item_id", "item_text").agg(F.max(F.least("plain_words", F.lit(2))).alias("need")).withColumnsRenamed({"item_id": "bi", "item_text": "bt"})
-    told = each.join(best, F.col("item_id").eqNullSafe(F.col("bi")) & (F.col("item_text") == F.col("bt"))).where("plain_words >= need").drop("bi", "bt", "need", "plain_words")
-    sizes = told.groupBy("item_id", "item_text").agg(F.count("*").alias("n_windows")).withColumnsRenamed({"item_id": "bi", "item_text": "bt"})
-    return told.join(sizes, F.col("item_id").eqNullSafe(F.col("bi")) & (F.col("item_text") == F.col("bt"))).drop("bi", "bt")
+    same = F.col("item_id").eqNullSafe(F.col("bi")) & (F.col("item_text") == F.col("bt")) & (F.col("reading") == F.col("br"))
+    by, renamed = ("item_id", "item_text", "reading"), {"item_id": "bi", "item_text": "bt", "reading": "br"}
+    best = each.groupBy(*by).agg(F.max(F.least("plain_words", F.lit(2))).alias("need")).withColumnsRenamed(renamed)
+    told = each.join(best, same).where("plain_words >= need").drop("bi", "bt", "br", "need", "plain_words")
+    sizes = told.groupBy(*by).agg(F.count("*").alias("n_windows")).withColumnsRenamed(renamed)
+    return told.join(sizes, same).drop("bi", "bt", "br")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
@@ -78,21 +93,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 5, simila
     items = materialize(item_windows(benchmark, window), "item-windows")
     if items.count() <= broadcast_rows:
         items = F.broadcast(items)
-    items = items.withColumnRenamed("key", "item_key")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").select("doc_id", "text", _words(template(F.col("text"))).alias("words"))
-    hits = _windows(rows, window, "doc_id", "text").join(items, F.col("key") == F.col("item_key"))
+    items = items.withColumnsRenamed({"key": "item_key", "reading": "item_reading"})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").select("doc_id", "text", _words(template(F.col("text"))).alias("words"), _words(template(F.col("text"), True)).alias("wide_words"))
+    read_alike = (F.col("reading") == BOTH) | (F.col("reading") == F.col("item_reading"))
+    hits = _windows(rows, window, "doc_id", "text").join(items, (F.col("key") == F.col("item_key")) & read_alike)
     doc_words = F.slice(_words(F.btrim("text", F.lit(BLANK))), F.col("pos"), window)
     pairs = F.transform("slots", lambda i: F.struct(F.get("item_words", i).alias("iv"), F.get(doc_words, i).alias("dv")))
     hits = hits.select(
-        "doc_id", F.xxhash64("text").alias("th"), "item_id", "item_text", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
+        "doc_id", F.xxhash64("text").alias("th"), "item_id", "item_text", "item_reading", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
         F.when(F.size("slots") > 0, pairs).otherwise(F.array().cast("array<struct<iv: string, dv: string>>")).alias("pairs"),
     )
     # an alignment holds at most one row for each window of the item, a document at most its own length
-    aligned = hits.groupBy("doc_id", "th", "item_id", "item_text", "n_windows", "shift").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    aligned = hits.groupBy("doc_id", "th", "item_id", "item_text", "item_reading", "n_windows", "shift").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["iv"])))
-    found = aligned.where(consistent).groupBy("doc_id", "th", "item_id", "item_text", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"))
+    found = aligned.where(consistent).groupBy("doc_id", "th", "item_id", "item_text", "item_reading", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"))
     judged = found.where(F.col("n_matched") >= F.lit(similarity) * F.col("n_windows"))
-    judged = judged.groupBy("doc_id", "th", "item_id").agg(F.max_by(F.struct("n_windows", "n_matched"), F.struct("n_matched", "n_windows")).alias("b"))
+    judged = judged.groupBy("doc_id", "th", "item_id").agg(F.max_by(F.struct("n_windows", "n_matched"), F.struct(-F.col("item_reading"), F.col("n_matched"), F.col("n_windows"))).alias("b"))
     out = judged.select("doc_id", "th", "item_id", F.col("b.n_windows").cast("long").alias("n_windows"), F.col("b.n_matched").cast("long").alias("n_matched"))
     return materialize(out, "contamination")
 

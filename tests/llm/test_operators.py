@@ -288,6 +288,17 @@ def test_decontamination_checks_slots(spark):
     assert [r.doc_id for r in got] == [1]
 
 
+def test_decontamination_opening_names(spark):
+    """Names that open a sentence, a line or the text are slots as well."""
+    item = "Anna buys 5 apples at the market. Anna gives 2 apples to her friend Bob. How many apples does Anna have left now?"
+    other = item.replace("Anna", "Carla").replace("Bob", "Dora").replace("5", "9").replace("2", "4")
+    twisted = other.replace("Carla gives", "Erna gives")
+    rows = [(1, other), (2, "a line before\n" + other), (3, "He said: " + other), (4, item), (5, twisted), (6, "Carla sells 9 pears. Dora goes home. How is she now?")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.n_matched) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[4][0] == got[4][1]
+
+
 def accuracy(found, labels, column):
     truth = {r.doc_id: r[column] for r in labels.collect()}
     held = [(r.predicted, truth[r.doc_id]) for r in found.collect() if r.held_out and r.doc_id in truth]
