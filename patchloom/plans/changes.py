@@ -63,17 +63,23 @@ def sutcopy(spark, d):
 
 
 def repairs(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Change records made from conversations: the project is a residue, the commit a conversation, the test its turns."""
-    line = lambda text, kind, n: F.struct(text.alias("line"), F.lit(kind).alias("type"), n.cast("int").alias("lineNo"))
-    pairs = _turn_pairs(spark, d).withColumns({"b": F.split("before", "\n"), "a": F.split("after", "\n")})
+    """Change records made from conversations: the project is a residue, the commit a conversation, the test its turns.
+
+    A turn's hunks are those of its whole text against the next; the repair's hunk has the lines of all of them."""
+    start = 10
+    placed = lambda lines: F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["type"].alias("type"), (x["lineNo"] + start).alias("lineNo")))
+    pairs = _turn_pairs(spark, d).withColumn("found", C.hunks_of("before", "after"))
+    pairs = pairs.withColumn("hunks", F.transform("found", lambda h: F.struct(h["type"].alias("type"), placed(h["sourceChanges"]).alias("sourceChanges"), placed(h["targetChanges"]).alias("targetChanges"))))
     commit = F.concat(F.lit("c"), "conv_id")
-    source = F.struct(F.lit(10).alias("startLine"), F.col("before").alias("code"))
-    hunk = F.struct(F.lit("MODIFY").alias("type"), F.array(line(F.get("b", F.lit(0)), "DELETE", F.lit(10))).alias("sourceChanges"), F.array(line(F.get("a", F.lit(0)), "ADD", F.lit(10))).alias("targetChanges"))
+    source = F.struct(F.lit(start).alias("startLine"), F.col("before").alias("code"))
+    deleted, added = F.flatten("hunks.sourceChanges"), F.flatten("hunks.targetChanges")
+    kind = F.when(F.size(added) == 0, "DELETE").when(F.size(deleted) == 0, "ADD").otherwise("MODIFY")
+    hunk = F.struct(kind.alias("type"), deleted.alias("sourceChanges"), added.alias("targetChanges"))
     made = pairs.select(
         F.concat_ws(":", "conv_id", "turn").alias("ID"), F.concat(F.lit("p"), F.col("conv_id") % 5).alias("project"), F.concat(F.lit("t"), "turn").alias("name"), F.concat(commit, F.lit("b")).alias("bCommit"), commit.alias("aCommit"),
         F.col("conv_id").alias("aCommitTime"), source.alias("bSource"), hunk.alias("hunk"), F.when(F.col("turn") % 3 == 2, F.array(F.lit("RENAME_METHOD"))).alias("trivial"),
     )
-    one = F.struct(F.concat(F.lit("src/"), "turn").alias("bPath"), F.concat(F.lit("m"), "turn", F.lit("()")).alias("name"), (F.col("turn") % 4 == 3).alias("is_test_source"), F.array(hunk).alias("hunks"))
+    one = F.struct(F.concat(F.lit("src/"), "turn").alias("bPath"), F.concat(F.lit("m"), "turn", F.lit("()")).alias("name"), (F.col("turn") % 4 == 3).alias("is_test_source"), F.col("hunks"))
     grouped = pairs.select("conv_id", one.alias("c"), "turn").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "c"))), lambda v: v["c"]).alias("changes"))
     return made, grouped.select(F.concat(F.lit("p"), F.col("conv_id") % 5).alias("project"), commit.alias("aCommit"), "changes")
 

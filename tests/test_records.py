@@ -94,3 +94,19 @@ def test_stage_is_written_once(spark, tmp_path):
     assert readers.stage(lambda: spark.range(3), spark, path).count() == 3
     assert readers.stage(lambda: spark.range(9), spark, path).count() == 3
     assert [r.ind for r in readers.missing_verdicts(spark.createDataFrame([("0",), ("2",)], "id string"), 3).collect()] == [1]
+
+
+def test_repairs_hold_all_lines(spark, tmp_path):
+    """Later lines reach the hunks, and turns that differ only there are changes."""
+    from patchloom.plans import changes
+
+    turns = [(1, 0, "user", "same\nold one\nkept\nold two"), (1, 1, "assistant", "same\nnew one\nkept\nnew two\nnew three"), (1, 2, "user", "other")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    repairs, sets = changes.repairs(spark, str(tmp_path))
+    lines = lambda side: [(x.line, x.lineNo) for x in side]
+    hunk = repairs.where("ID = '1:0'").first().hunk
+    assert lines(hunk.sourceChanges) == [("old one", 11), ("old two", 13)] and lines(hunk.targetChanges) == [("new one", 11), ("new two", 13), ("new three", 14)]
+    first = sets.first().changes[0].hunks
+    assert [(lines(h.sourceChanges), lines(h.targetChanges)) for h in first] == [([("old one", 11)], [("new one", 11)]), ([("old two", 13)], [("new two", 13), ("new three", 14)])]
+    encoded = changes.encoders.encode(repairs, sets, "NoContext")
+    assert {r.ID: r.output for r in encoded.collect()}["1:0"] == "new one new two new three"
