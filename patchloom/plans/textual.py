@@ -182,6 +182,30 @@ def set_overlap(spark, d):
     return items.join(docs, ["id", "w"], "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
 
 
+ALL_PAIRS = f"d AS (SELECT doc_id, unnest({WORDS.format('text')}) AS w FROM documents), b AS (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark)"
+
+
+def _all_pairs_sides(spark, d):
+    """Distinct words of every document and of every item, with their counts."""
+    docs = table(spark, d, "documents").select("doc_id", F.explode(metrics.tokens(F.col("text"))).alias("w"))
+    items = table(spark, d, "benchmark").select("item_id", F.explode(metrics.tokens(F.col("text"))).alias("w"))
+    return docs.groupBy("doc_id", "w").agg(F.count("*").alias("a")), items.groupBy("item_id", "w").agg(F.count("*").alias("c"))
+
+
+@query(f"WITH {ALL_PAIRS} SELECT doc_id, item_id, CAST(sum(least(a, c)) AS BIGINT) AS shared FROM (SELECT doc_id, w, count(*) AS a FROM d GROUP BY ALL) JOIN (SELECT item_id, w, count(*) AS c FROM b GROUP BY ALL) USING (w) GROUP BY doc_id, item_id")
+def multiset_overlap_all(spark, d):
+    """Every document with every item that shares a word with it."""
+    docs, items = _all_pairs_sides(spark, d)
+    return docs.join(items, "w").groupBy("doc_id", "item_id").agg(F.sum(F.least("a", "c")).alias("shared"))
+
+
+@query(f"WITH {ALL_PAIRS} SELECT doc_id, item_id, count(*) AS shared FROM b JOIN (SELECT DISTINCT doc_id, w FROM d) USING (w) GROUP BY doc_id, item_id")
+def set_overlap_all(spark, d):
+    """The same, counting each word of the item, repeats too, that the document holds."""
+    docs, items = _all_pairs_sides(spark, d)
+    return docs.join(items, "w").groupBy("doc_id", "item_id").agg(F.sum("c").alias("shared"))
+
+
 @query("SELECT doc_id, left(sha256(text), 8) AS short_hash FROM documents")
 def short_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", T.short_hash(F.col("text")).alias("short_hash"))

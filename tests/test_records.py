@@ -110,3 +110,13 @@ def test_repairs_hold_all_lines(spark, tmp_path):
     assert [(lines(h.sourceChanges), lines(h.targetChanges)) for h in first] == [([("old one", 11)], [("new one", 11)]), ([("old two", 13)], [("new two", 13), ("new three", 14)])]
     encoded = changes.encoders.encode(repairs, sets, "NoContext")
     assert {r.ID: r.output for r in encoded.collect()}["1:0"] == "new one new two new three"
+
+
+def test_overlap_of_every_document(spark, tmp_path):
+    """No document is left out for its id, and each meets every item."""
+    from patchloom.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(1, "a a b"), (7, "b c"), (25, "z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "a a a b"), (1, "c x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("multiset_overlap_all", "set_overlap_all")}
+    assert got == {"multiset_overlap_all": {(1, 0, 3), (7, 0, 1), (7, 1, 1)}, "set_overlap_all": {(1, 0, 4), (7, 0, 1), (7, 1, 1)}}
