@@ -228,6 +228,16 @@ def concat_document(spark, d):
     return sides.select("conv_id", T.base_document(F.col("user"), F.col("assistant")).alias("document"))
 
 
+@query("""
+WITH c AS (SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE role = 'user') AS s, list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, md5('[<HUNK>]' || CASE WHEN len(s) > 0 THEN '[<DEL>]' || array_to_string(s, ' ') ELSE '' END || CASE WHEN len(t) > 0 THEN '[<ADD>]' || array_to_string(t, ' ') ELSE '' END || '[</HUNK>]') AS document FROM c""")
+def concat_document_whole(spark, d):
+    """The digest of the document of the whole turns."""
+    side = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda v: v["text"]).alias(role)
+    sides = table(spark, d, "conversations").groupBy("conv_id").agg(side("user"), side("assistant"))
+    return sides.select("conv_id", F.md5(T.base_document(F.col("user"), F.col("assistant")).cast("binary")).alias("document"))
+
+
 LOG_SQL = "CASE o_orderkey % 7 WHEN 0 THEN 'Tests run: 1, Failures: 0, Errors: 0, Skipped: 0' WHEN 1 THEN 'COMPILATION ERROR at Order' || (o_orderkey % 13) || '.java:[' || (o_orderkey % 90) || ',7]' WHEN 2 THEN 'COMPILATION ERROR somewhere' WHEN 3 THEN 'at Order' || (o_orderkey % 13) || '.java:' || (o_orderkey % 50) || ')' WHEN 4 THEN 'No tests were executed!' WHEN 5 THEN 'Could not resolve dependencies' ELSE 'nothing known' END"
 
 

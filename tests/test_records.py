@@ -120,3 +120,14 @@ def test_overlap_of_every_document(spark, tmp_path):
     spark.createDataFrame([(0, "a a a b"), (1, "c x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("multiset_overlap_all", "set_overlap_all")}
     assert got == {"multiset_overlap_all": {(1, 0, 3), (7, 0, 1), (7, 1, 1)}, "set_overlap_all": {(1, 0, 4), (7, 0, 1), (7, 1, 1)}}
+
+
+def test_concat_document_of_whole_turns(spark, tmp_path):
+    import hashlib
+
+    from patchloom.plans.catalogue import QUERIES
+
+    long, answer = "word " * 20 + "end", "answer " * 9 + "end"
+    spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", answer)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["concat_document_whole"](spark, str(tmp_path)).first().document
+    assert got == hashlib.md5(f"[<HUNK>][<DEL>]{long}[<ADD>]{answer}[</HUNK>]".encode()).hexdigest()
