@@ -351,6 +351,19 @@ def bfs_depth(spark, d):
     return bfs(edges, spark.range(1).select(F.lit("s1").alias("root")), 3).select("node", F.col("depth").cast("long").alias("depth"))
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
+b AS (SELECT 's1' AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON b.node = e.src WHERE b.depth < 3)
+SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM b GROUP BY node""")
+def bfs_depth_all(spark, d):
+    """Depths over the edges of all line items."""
+    from patchloom.operators.graph import bfs_depth as bfs
+
+    lines = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    edges = lines.unionByName(lines.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return bfs(edges, spark.range(1).select(F.lit("s1").alias("root")), 3).select("node", F.col("depth").cast("long").alias("depth"))
+
+
 @query("SELECT s.c_custkey, s.c_acctbal, CASE WHEN trim(s.c_name) = '' THEN NULL ELSE trim(s.c_name) END AS name FROM customer s WHERE s.c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')")
 def semi_join_filter(spark, d):
     nations = table(spark, d, "nation").join(table(spark, d, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"))

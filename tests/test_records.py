@@ -131,3 +131,20 @@ def test_concat_document_of_whole_turns(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", answer)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = QUERIES["concat_document_whole"](spark, str(tmp_path)).first().document
     assert got == hashlib.md5(f"[<HUNK>][<DEL>]{long}[<ADD>]{answer}[</HUNK>]".encode()).hexdigest()
+
+
+def test_bfs_depth_over_all_line_items(spark, tmp_path):
+    """Against a plain search; small quantities carry edges too."""
+    from patchloom.plans.catalogue import QUERIES
+
+    lines = [(1, 1, 50.0), (1, 2, 1.0), (2, 2, 3.0), (2, 3, 49.0), (3, 3, 2.0), (4, 9, 50.0)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near, depths = {}, {"s1": 0}
+    for s, p, _ in lines:
+        near.setdefault(f"s{s}", set()).add(f"p{p}")
+        near.setdefault(f"p{p}", set()).add(f"s{s}")
+    for depth in (1, 2, 3):
+        for node in [n for n, k in depths.items() if k == depth - 1]:
+            for other in near[node]:
+                depths.setdefault(other, depth)
+    assert {r.node: r.depth for r in QUERIES["bfs_depth_all"](spark, str(tmp_path)).collect()} == depths
