@@ -46,6 +46,16 @@ def edit_sequence_roundtrip(spark, d):
     return pairs.select("conv_id", "turn", (C.applied_edit_sequence("b", "s").eqNullSafe(F.col("a")) | (F.col("s") == whole)).alias("restored"))
 
 
+@query(None)
+def edit_sequence_fallbacks(spark, d):
+    """How a pair's edit sequence came out: whether applying it gives the later text, whether it replaces the whole text, its number of replacements."""
+    flat = lambda c: F.array_join(metrics.tokens(F.col(c)), " ")
+    pairs = _turn_pairs(spark, d).select("conv_id", "turn", flat("before").alias("b"), flat("after").alias("a")).withColumn("s", C.make_edit_sequence("b", "a"))
+    whole = F.concat(F.lit(f"{C.OLD} "), F.col("b"), F.lit(f" {C.NEW} "), F.col("a"), F.lit(f" {C.END}"))
+    n = F.size(F.split("s", F.lit(r"\Q" + C.END + r"\E"))) - 1
+    return pairs.select("conv_id", "turn", C.applied_edit_sequence("b", "s").eqNullSafe(F.col("a")).alias("applied"), (F.col("s") == whole).alias("whole"), n.cast("long").alias("n_replacements"))
+
+
 @query(None)
 def sutcopy(spark, d):
     """Model-free baseline: a conversation's own word replacements, folded into its first turn, against its last."""

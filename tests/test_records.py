@@ -148,3 +148,15 @@ def test_bfs_depth_over_all_line_items(spark, tmp_path):
             for other in near[node]:
                 depths.setdefault(other, depth)
     assert {r.node: r.depth for r in QUERIES["bfs_depth_all"](spark, str(tmp_path)).collect()} == depths
+
+
+def test_edit_sequence_fallbacks_are_rare(spark, tmp_path):
+    """Small edits of long texts need no whole replacement; a text that shares no word does."""
+    from patchloom.plans.catalogue import QUERIES
+
+    base = [f"w{i}" for i in range(30)]
+    turns = [(1, t, "user", " ".join(w + "x" if i in (3 * t, 3 * t + 7) else w for i, w in enumerate(base))) for t in range(8)] + [(2, 0, "user", "a b"), (2, 1, "user", "c d")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r for r in QUERIES["edit_sequence_fallbacks"](spark, str(tmp_path)).collect()}
+    assert all(r.applied for r in got.values()) and {k for k, r in got.items() if r.whole} == {(2, 0)}
+    assert got[2, 0].n_replacements == 1 and min(r.n_replacements for k, r in got.items() if k[0] == 1) > 1
