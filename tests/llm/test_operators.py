@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from patchloom.llm import bpe, decontaminate, exact_topk, line_dedup, quality, simhash, substring_dedup, toxicity, url_reputation, warc
+from patchloom.llm import batches, bpe, decontaminate, exact_topk, line_dedup, quality, simhash, substring_dedup, toxicity, url_reputation, warc
 from patchloom.llm.components import components
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -81,13 +81,24 @@ def test_bpe_odd_texts_and_round_trip():
     assert codec.merged_words > 0
 
 
-def test_bpe_tables_stay_bounded():
+def test_bpe_pieces_do_not_matter(spark):
+    """Pieces of any size give the same, and the seam test agrees with merging each pair of tokens."""
+    import numpy as np
+    import pyarrow as pa
+
     codec = bpe.WordBpe(bpe.read_tokenizer(TOKENIZER))
-    codec.chunks.limit = codec.words.limit = 50
-    texts = [f"word{i} and other{i % 7}" for i in range(2000)]
-    whole = bpe.WordBpe(bpe.read_tokenizer(TOKENIZER)).encode_batch(texts)
-    got = [x for at in range(0, 2000, 20) for x in codec.encode_batch(texts[at : at + 20])]
-    assert got == whole and len(codec.chunks.young) + len(codec.chunks.old) < 400
+    texts = [f"word{i} and other{i % 7} Ünder{i}." for i in range(2000)] + [None, ""]
+    whole = codec.encode_batch(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = [x for part in batches.pieces(batch, 0, 500) for x in codec.encode_batch(part.column(0).to_pylist())]
+    assert got == whole and len(list(batches.pieces(batch, 0, 500))) > 50
+    r = random.Random(1)
+    plain = [t for t in codec.vocab if not t.endswith("</w>")]
+    a, b = [r.choice(plain) for _ in range(3000)], [r.choice(list(codec.vocab)) for _ in range(3000)]
+    alone = [[*x, *(y if not y.endswith("</w>") else [*y[:-5], y[-5:]])] for x, y in zip(a, b)]
+    want = [codec.merge(s) == [x, y] for s, x, y in zip(alone, a, b)]
+    ids = lambda ts: np.array([codec.vocab[t] for t in ts])
+    assert codec.compatible(ids(a), ids(b)).tolist() == want and 100 < sum(want) < 2900
 
 
 def test_warc(spark, tmp_path):
