@@ -8,40 +8,57 @@ storage, so a lost executor costs a re-read and nothing else.
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+_ROOTS: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` if set; a temporary folder in local mode; else a folder in the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder of the application's own under ``spark.checkpoint.dir``; Hadoop deletes it when the application ends.
+
+    Without that setting a temporary folder serves in local mode; on a cluster, whose machines share no such
+    folder, it is an error."""
     app = spark.sparkContext.applicationId
-    if named:
-        return f"{named.rstrip('/')}/patchloom-{app}"
-    if spark.sparkContext.master.startswith("local["):
-        if app not in _LOCAL:
-            _LOCAL[app] = tempfile.mkdtemp(prefix="patchloom-")
-            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
-        return f"file://{_LOCAL[app]}"
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{app}"
+    if app not in _ROOTS:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="patchloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            named = f"file://{folder}"
+        root = f"{named.rstrip('/')}/patchloom-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _ROOTS[app] = root
+    return _ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Set while a table is written: Spark then drops the shuffle files of that write when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to shared storage and read back with the same schema."""
+    """``df`` written once to shared storage and read back with the same schema; its shuffle files go at once."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,13 +72,3 @@ def remove(*tables: DataFrame) -> None:
             if root.split("://")[-1].removeprefix("file:").lstrip("/") in folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished stages now, not at the next driver GC.
-
-    Twice: the first collection frees what Python still held of a plan, the second the plan itself."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
