@@ -26,35 +26,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.llm.batches import pieces, starts, white_space_words
 from patchloom.llm.training import fold, labelled_sample
 
 WORD_BITS, STEM_BITS, STEM = 17, 15, 5
 EDGE = string.punctuation + "«»“”„’‘…¿¡"
-CACHE = 300_000
 
 
-class Buckets(dict):
-    """Chunk of text between white space → word bucket and stem bucket in one integer; bounded."""
+def chunk_codes(chunks: pa.Array) -> np.ndarray:
+    """Word bucket and stem bucket in one integer for each chunk of text between white space; -1 for signs alone."""
+    words = [c.lower().strip(EDGE) for c in chunks.to_pylist()]
+    word_mask, stem_mask, crc = (1 << WORD_BITS) - 1, (1 << STEM_BITS) - 1, zlib.crc32
+    found = ((crc(w.encode("utf-8", "surrogatepass")) & word_mask) << STEM_BITS | crc(w[:STEM].encode("utf-8", "surrogatepass"), 1) & stem_mask if w else -1 for w in words)
+    return np.fromiter(found, np.int64, len(words))
 
-    def __missing__(self, chunk: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        word = chunk.lower().strip(EDGE)
-        if not word:  # signs alone are no token of the language
-            self[chunk] = -1
-            return -1
-        code = zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1)
-        stem = zlib.crc32(word[:STEM].encode(), 1) & ((1 << STEM_BITS) - 1)
-        self[chunk] = value = code << STEM_BITS | stem
-        return value
 
-    def of(self, text: str | None) -> np.ndarray:
-        chunks = (text or "").split()
-        codes = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        return codes[codes >= 0]
+def text_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all words of all texts in order, and the offsets of the texts among them."""
+    chunks, index, offsets = white_space_words(texts)
+    codes = chunk_codes(chunks)[index]
+    real = codes >= 0
+    return codes[real], starts(real)[offsets]
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -100,6 +96,12 @@ class ToxicityModel:
         scores[again] = np.minimum(scores[again], 0.0)  # a word said again at once is no new evidence
         return scores
 
+    def scanned(self, texts: pa.Array):
+        """The number of words and the maximal segments of each text."""
+        codes, offsets = text_codes(texts)
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            yield b - a, segments(self.token_scores(codes[a:b]))
+
     def excess(self, score, n: int):
         """Evidence of a segment of a text of n tokens: above 0 if chance gives it with less than ``chance``."""
         return self.rate * score - math.log(max(self.size * max(n, 1), 1.0) / self.chance)
@@ -118,19 +120,19 @@ def _counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     size = (1 << WORD_BITS) + (1 << STEM_BITS)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"), "left").select("text", "y")
 
+    def both(codes):
+        return np.concatenate((codes >> STEM_BITS, (codes & ((1 << STEM_BITS) - 1)) + (1 << WORD_BITS)))
+
     def run(batches):
-        buckets, total = Buckets(), np.zeros((3, size), np.int64)
+        total = np.zeros((3, size), np.int64)
         for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                codes = buckets.of(text.as_py())
-                both = np.concatenate((codes >> STEM_BITS, (codes & ((1 << STEM_BITS) - 1)) + (1 << WORD_BITS)))
-                if len(both) > size // 8:
-                    total[0] += np.bincount(both, minlength=size)
-                else:
-                    np.add.at(total[0], both, 1)
-                if y is not None:
+            for part in pieces(batch, 0):
+                codes, offsets = text_codes(part.column(0))
+                total[0] += np.bincount(both(codes), minlength=size)
+                labels = pc.fill_null(part.column(1), -1).to_numpy()
+                for i in np.flatnonzero(labels >= 0).tolist():
                     # presence, not frequency: one rant must not stand for the language
-                    total[2 - y][np.unique(both)] += 1
+                    total[2 - labels[i]][np.unique(both(codes[offsets[i] : offsets[i + 1]]))] += 1
         at = np.flatnonzero(total[0])
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], names=["bucket", "corpus", "toxic", "clean"])
@@ -182,13 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000, prior: float =
     own = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "y")
 
     def scan(batches):
-        buckets = Buckets()
         for batch in batches:
-            rows = []
-            for text in batch.column(0):
-                codes = buckets.of(text.as_py())
-                rows.append((len(codes), sorted((s for s, *_ in segments(model.token_scores(codes))), reverse=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["y", "n", "s"])
+            for part in pieces(batch, 0):
+                found = list(model.scanned(part.column(0)))
+                scores = [sorted((s for s, *_ in f), reverse=True) for _, f in found]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["y", "n", "s"])
 
     rows = own.mapInArrow(scan, "y int, n long, s array<double>").toArrow().to_pydict()
     y, n = np.array(rows["y"], float), np.array(rows["n"], float)
@@ -214,16 +214,15 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        buckets, own = Buckets(), held.value
+        own = held.value
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("evidence", pa.float64())]))
         for batch in batches:
-            scores, spans = [], []
-            for text in batch.column(1):
-                codes = buckets.of(text.as_py())
-                found = segments(own.token_scores(codes))
-                scores.append(own.probability(own.evidence(found, len(codes))))
-                spans.append([{"start": a, "end": b, "score": s, "evidence": x} for s, a, b in found if (x := own.excess(s, len(codes))) > 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "passages"])
+            for part in pieces(batch, 1):
+                scores, spans = [], []
+                for n, found in own.scanned(part.column(1)):
+                    scores.append(own.probability(own.evidence(found, n)))
+                    spans.append([{"start": a, "end": b, "score": s, "evidence": x} for s, a, b in found if (x := own.excess(s, n)) > 0])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "passages"])
 
     schema = "doc_id long, score double, passages array<struct<start: long, end: long, score: double, evidence: double>>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
@@ -242,12 +241,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, limit: int = 20_000, threshol
     at = docs.columns.index("text")
 
     def run(batches):
-        buckets, own = Buckets(), held.value
+        own = held.value
         for batch in batches:
-            keep = []
-            for text in batch.column(at):
-                codes = buckets.of(text.as_py())
-                keep.append(own.probability(own.evidence(segments(own.token_scores(codes)), len(codes))) < threshold)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in pieces(batch, at):
+                yield part.filter(pa.array([own.probability(own.evidence(found, n)) < threshold for n, found in own.scanned(part.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
