@@ -5,50 +5,14 @@ padding and comment removal.
 """
 
 import difflib
-import re
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Signs that are set apart by blanks, longer ones first where they share a start.
-SIGNS = (
-    ";", r"\(", r"\)", r"[-+*/%]=", "->", r"\+\+", r"\+", "--", "-", r"\*\*", r"\*", "//", "/", "%", r"\{", r"\}", "[<>=!][<>=]", "[<>=]",
-    "!", r"\^", "&&", "&", r"\|\|", r"\|", "::", ":", ",",
-)
-#: Markers of an edit sequence.
-OLD, NEW, GROUP_OLD, GROUP_NEW, END = "[<replaceOld>]", "[<replaceNew>]", "[<replaceOldGroup>]", "[<replaceNewGroup>]", "[<replaceEnd>]"
-QUOTED = r"\"[^\"\\]*(?:\\.[^\"\\]*)*\"|'.+?'"
-UNITS = re.compile(f"(?P<quoted>{QUOTED})|(?P<sign>{'|'.join(SIGNS)})|(?P<blank>\\s+)", re.S)
-COMMENTS = re.compile(rf"(?P<quoted>{QUOTED})|//[^\n]*|/\*.*?\*/", re.S)
-
-
-def pad_code(code: str | None) -> str | None:
-    """Signs set apart by single blanks, runs of white space made one, quoted text untouched."""
-    if code is None:
-        return None
-    out: list[str] = []
-    at = 0
-    for m in UNITS.finditer(code):
-        out.append(code[at : m.start()])
-        if m["quoted"] is not None:
-            out.append(m["quoted"].replace(" ", "\ue000"))
-        elif m["sign"] is not None:
-            out.append(f" {' '.join(m['sign']) if m['sign'] == '<>' else m['sign']} ")
-        else:
-            out.append(" ")
-        at = m.end()
-    out.append(code[at:])
-    return " ".join("".join(out).split()).replace("\ue000", " ")
-
-
-def strip_comments(code: str | None) -> str | None:
-    """Comments become a blank, string literals stay, blank lines go."""
-    if code is None:
-        return None
-    text = COMMENTS.sub(lambda m: m["quoted"] if m["quoted"] is not None else " ", code)
-    return "\n".join(line for line in text.split("\n") if line.strip())
+from patchloom.functions.edits import END, FORMS, decode, edit_sequence
+from patchloom.functions.edits import apply as apply_edit_sequence
+from patchloom.functions.padding import pad_code, strip_comments
 
 
 def word_diff(a: str | None, b: str | None) -> list[tuple[int, str]]:
@@ -80,70 +44,11 @@ def line_hunks(before: str | None, after: str | None) -> list[dict]:
     return out
 
 
-def _once(text: str, part: str) -> bool:
-    return text.count(part) == 1
+OLD, NEW = FORMS["plain"]
 
 
-def edit_pairs(broken: str, repaired: str) -> list[tuple[str, str]] | None:
-    """(old, new) replacements, left to right, each old part unique in the text it is applied to.
-
-    A changed span takes words from both sides until it is unique; spans that come to touch are joined.
-    Applied from the last to the first they give ``repaired``; None if a unique span cannot be found."""
-    x, y = broken.split(" "), repaired.split(" ")
-    spans = [list(c[1:]) for c in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if c[0] != "equal"]
-    at = 0
-    while at < len(spans):
-        i, j, k, m = spans[at]
-        # words after the span are already repaired when the span is applied, so both texts must hold it once
-        done = " ".join([*x[:j], *y[m:]])
-        if j > i and m > k and _once(broken, " ".join(x[i:j])) and _once(done, " ".join(x[i:j])):
-            at += 1
-            continue
-        if i == 0 and j == len(x):
-            return None
-        if i > 0:
-            i, k = i - 1, k - 1
-        if j < len(x):
-            j, m = j + 1, m + 1
-        spans[at] = [i, j, k, m]
-        while at + 1 < len(spans) and spans[at + 1][0] <= spans[at][1]:
-            nxt = spans.pop(at + 1)
-            spans[at] = [spans[at][0], max(spans[at][1], nxt[1]), spans[at][2], max(spans[at][3], nxt[3])]
-        while at > 0 and spans[at - 1][1] >= spans[at][0]:
-            last = spans.pop(at)
-            at -= 1
-            spans[at] = [spans[at][0], max(spans[at][1], last[1]), spans[at][2], max(spans[at][3], last[3])]
-    return [(" ".join(x[i:j]), " ".join(y[k:m])) for i, j, k, m in spans]
-
-
-def edit_sequence(broken: str | None, repaired: str | None) -> str | None:
-    """Marked replacements that turn ``broken`` into ``repaired``; one whole replacement if parts cannot."""
-    if broken is None or repaired is None:
-        return None
-    pairs = edit_pairs(broken, repaired)
-    if pairs:
-        sequence = " ".join(f"{OLD} {a} {NEW} {b} {END}" for a, b in pairs)
-        if apply_edit_sequence(broken, sequence) == repaired:
-            return sequence
-    return f"{OLD} {broken} {NEW} {repaired} {END}"
-
-
-def apply_edit_sequence(broken: str | None, sequence: str | None) -> str | None:
-    """The edited text, or None if the sequence is malformed or an old part is not there exactly once."""
-    if broken is None or not sequence or END not in sequence:
-        return None
-    text, pairs = broken, []
-    for part in filter(str.strip, sequence.split(f" {END}")):
-        old, mark, new = part.strip().partition(f" {NEW} ") if GROUP_NEW not in part else part.strip().partition(f" {GROUP_NEW} ")
-        lead = OLD if old.startswith(OLD) else GROUP_OLD
-        if not mark or not old.startswith(f"{lead} "):
-            return None
-        pairs.append((old.removeprefix(f"{lead} "), new))
-    for old, new in reversed(pairs):
-        if not old or not _once(text, old):
-            return None
-        text = text.replace(old, new, 1)
-    return text
+def _once(text: str, part: str) -> bool:
+    return text.count(part) == 1
 
 
 def fold_replacements(broken: str | None, pairs: Iterable | None) -> str | None:
@@ -169,7 +74,7 @@ def _arrow(f: Callable, kind: str):
     def two(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([f(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind_type)
 
-    return two if f.__code__.co_argcount == 2 else one
+    return two if f.__code__.co_argcount >= 2 else one
 
 
 LINES = "array<struct<line: string, type: string, lineNo: int>>"
@@ -192,4 +97,5 @@ diff_words = _column(_diff_rows, DIFF)
 hunks_of = _column(line_hunks, HUNKS)
 make_edit_sequence = _column(edit_sequence, "string")
 applied_edit_sequence = _column(apply_edit_sequence, "string")
+decoded_edit_sequence = _column(decode, "string")
 folded = _column(fold_replacements, "string")

@@ -5,6 +5,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: two executables above it are the same one.
+SIMILARITY_THRESHOLD = 0.65
+
+
 def jaro(a: str, b: str) -> float:
     if a == b:
         return 1.0

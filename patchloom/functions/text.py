@@ -82,3 +82,40 @@ def is_number(x: Column) -> Column:
 def normal_version(x: Column) -> Column:
     """``1.8`` → 8, ``11`` → 11; null if it is no number."""
     return F.floor(F.replace(x, F.lit("1."), F.lit("")).try_cast("double")).cast("int")
+
+
+def with_body(text: Column, start: Column, end: Column, body: Column) -> Column:
+    """``text`` with its lines start..end (from 1) exchanged for ``body``."""
+    lines = F.split(text, "\n")
+    left, right = F.filter(lines, lambda x, i: i + 1 < start), F.filter(lines, lambda x, i: i + 1 > end)
+    return F.array_join(F.concat(left, F.array(body), right), "\n")
+
+
+def count_lines(text: Column) -> Column:
+    """Lines of a text file: a last line without an end counts, an empty text has none."""
+    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return ends + F.when((text != "") & ~F.endswith(text, F.lit("\n")), 1).otherwise(0)
+
+
+def line_of_position(text: Column, position: Column) -> Column:
+    """The line (from 1) that holds a character position (from 0)."""
+    before = F.substring(text, F.lit(1), position)
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+def repository_path(url: Column) -> Column:
+    """``owner/name`` of a repository's address."""
+    return F.regexp_replace(F.regexp_extract(url, r"([^/:]+/[^/]+?)(?:\.git)?/?$", 1), r"\.git$", "")
+
+
+def without_special(text: Column, marks: tuple[str, ...]) -> Column:
+    """The text without any of the marks."""
+    for mark in sorted(marks, key=len, reverse=True):
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return strip(text)
+
+
+def printed_alike(a: Column, b: Column) -> Column:
+    """Whether two sources are the same but for white space."""
+    plain = lambda x: F.regexp_replace(x, r"\s+", "")
+    return plain(a).eqNullSafe(plain(b))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ARGUMENT, INVOCATION, ORACLE, OTHER = "ARGUMENT_CHANGE", "INVOCATION_CHANGE", "ORACLE_CHANGE", "OTHER"
+#: The categories.
+ARGUMENT, INVOCATION, ORACLE, OTHER = "ARGUMENT", "INVOCATION", "ORACLE", "OTHER"
 #: Fixed values: (name, pattern over ``type-nodeType-parent``) in the order in which they are tried.
 PATTERNS = (
     ("add_param", "Insert-(.+)-(ConstructorCall|NewClass|Invocation)"),
@@ -19,55 +20,62 @@ PATTERNS = (
     ("del_line", "Delete-(Invocation|Assignment|LocalVariable)-(Method|Try|TryWithResource|While)"),
     ("move", "Move-(.+)-(.+)"),
 )
-CONSTRUCTOR = r"([A-Za-z0-9_$]+)\(([^)]*)\)"
+#: The signature of a constructor with and without its package.
+QUALIFIED, PLAIN = r"(.+?)((\.(.+?))*?)\.(.+?)\((.*)\)", r"(.+?)\((.*)\)"
+BUILT = "Update-ConstructorCall-(.+)"
+ARGUMENT_KINDS, INVOCATION_KINDS, ORACLE_KINDS = ("add_param", "del_param", "mod_param", "move"), ("insert_line", "del_line", "mod_call"), ("add_throws", "del_throws")
 
 
 def action_text(action: Column) -> Column:
-    parent = F.get(action["parents"], F.lit(0))
-    return F.concat_ws("-", action["type"], action["nodeType"], parent)
+    """``type-nodeType-parent``; a type that is accessed to read a field is named with its reader, before the reader's parent."""
+    near, far = F.get(action["parents"], F.lit(0)), F.get(action["parents"], F.lit(1))
+    reads = F.coalesce((action["nodeType"] == "TypeAccess") & (near == "FieldRead"), F.lit(False))
+    return F.when(reads, F.concat_ws("-", action["type"], F.lit("TypeAccess,FieldRead"), far)).otherwise(F.concat_ws("-", action["type"], action["nodeType"], near))
 
 
-def _asserts(lines: Column, word: Column) -> Column:
-    """Whether a line with an assert names ``word``."""
-    return F.coalesce(F.exists(lines, lambda x: F.lower(x["line"]).contains("assert") & x["line"].contains(word)), F.lit(False))
+def constructor(label: Column) -> Column:
+    """struct(name, n_args) of ``a.b.Name(x,y)`` or ``Name(x,y)``; null if the label is no such signature."""
+    qualified, plain = label.rlike(QUALIFIED), label.rlike(PLAIN)
+    name = F.when(qualified, F.substring_index(F.regexp_extract(label, QUALIFIED, 5), ".", -1)).otherwise(F.regexp_extract(label, PLAIN, 1))
+    arguments = F.when(qualified, F.regexp_extract(label, QUALIFIED, 6)).otherwise(F.regexp_extract(label, PLAIN, 2))
+    count = F.when(arguments == "", 0).otherwise(F.size(F.split(arguments, ",")))
+    return F.when(qualified | plain, F.struct(name.alias("name"), count.alias("n_args")))
 
 
-def _merge(cats: Column, more: Column) -> Column:
-    return F.array_union(cats, F.array(more))
+def _asserts(lines: Column, word: Column) -> Column:
+    """Whether a line with an assert names ``word``."""
+    return F.coalesce(F.exists(lines, lambda x: F.contains(F.lower(x["line"]), F.lit("assert")) & F.contains(x["line"], word)), F.lit(False))
 
 
 def action_categories(action: Column, source: Column, target: Column) -> Column:
-    """Array of categories of one action, given its hunk's deleted and added lines."""
+    """Array of categories of one action, given its hunk's deleted and added lines.
+
+    The categories found so far are replaced when a pattern makes the action an oracle change."""
     text = action_text(action)
     src, dst = action["srcNode"]["label"], action["dstNode"]["label"]
-    named = lambda x, word: F.coalesce(x.contains(word), F.lit(False))
+    named = lambda x, word: F.coalesce(F.contains(x, F.lit(word)), F.lit(False))
     exception = named(dst, "Exception") | named(src, "Exception")
     in_assert = _asserts(source, src) | _asserts(target, dst)
-    empty = F.array().cast("array<string>")
-    cats = empty
+    cats = F.array().cast("array<string>")
     for name, pattern in PATTERNS:
-        hit = text.rlike(pattern)
-        if name in ("add_param", "del_param", "mod_param", "move"):
-            cats = F.when(hit, _merge(cats, F.lit(ARGUMENT))).otherwise(cats)
-        elif name == "change_type":
-            cats = F.when(hit & ~exception, _merge(cats, F.lit(ARGUMENT))).otherwise(cats)
-        elif name in ("insert_line", "del_line", "mod_call"):
-            cats = F.when(hit, _merge(cats, F.lit(INVOCATION))).otherwise(cats)
-        oracle = F.lit(True) if name in ("add_throws", "del_throws") else (in_assert | exception) if name == "change_type" else in_assert
+        hit = F.coalesce(text.rlike(pattern), F.lit(False))
+        kind = ARGUMENT if name in ARGUMENT_KINDS or name == "change_type" else INVOCATION if name in INVOCATION_KINDS else None
+        if kind:
+            cats = F.when(hit & ~exception if name == "change_type" else hit, F.array_union(cats, F.array(F.lit(kind)))).otherwise(cats)
+        oracle = F.lit(True) if name in ORACLE_KINDS else (in_assert | exception) if name == "change_type" else in_assert
         if name == "mod_call":  # another assert method is no new oracle
             oracle = oracle & src.isNotNull() & dst.isNotNull() & ~named(src, "assert") & ~named(dst, "assert")
         cats = F.when(hit & oracle, F.array(F.lit(ORACLE))).otherwise(cats)
-    own, other = F.regexp_extract(src, CONSTRUCTOR, 1), F.regexp_extract(dst, CONSTRUCTOR, 1)
-    kind = F.when(own != other, INVOCATION).otherwise(ARGUMENT)
+    own, other = constructor(src)["name"], constructor(dst)["name"]
+    kind = F.when(own.eqNullSafe(other), ARGUMENT).otherwise(INVOCATION)
     guarded = named(own, "Exception") | named(other, "Exception") | _asserts(target, other) | _asserts(source, own)
     built = F.when(guarded, F.array(kind, F.lit(ORACLE))).otherwise(F.array(kind))
-    return F.when(text.rlike("Update-ConstructorCall-(.+)"), built).otherwise(cats)
+    return F.when(F.coalesce(text.rlike(BUILT), F.lit(False)), built).otherwise(cats)
 
 
 def categorise(repairs: DataFrame) -> DataFrame:
     """``ID, categories, n_actions``: sorted union over a repair's actions, OTHER if there is none."""
     lines = lambda side: F.coalesce(F.col(f"hunk.{side}"), F.array().cast("array<struct<line: string, type: string, lineNo: int>>"))
-    each = repairs.select("ID", lines("sourceChanges").alias("s"), lines("targetChanges").alias("t"), F.size("astActions").alias("n"), F.explode_outer("astActions").alias("a"))
-    cats = each.select("ID", "n", F.explode_outer(action_categories(F.col("a"), F.col("s"), F.col("t"))).alias("c"))
-    found = cats.groupBy("ID").agg(F.array_sort(F.collect_set("c")).alias("c"), F.max("n").alias("n"))
-    return found.select("ID", F.when(F.size("c") == 0, F.array(F.lit(OTHER))).otherwise(F.col("c")).alias("categories"), F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("n_actions"))
+    own = repairs.select("ID", lines("sourceChanges").alias("s"), lines("targetChanges").alias("t"), F.coalesce("astActions", F.array().cast(repairs.schema["astActions"].dataType)).alias("a"))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform("a", lambda a: action_categories(a, F.col("s"), F.col("t"))))))
+    return own.select("ID", F.when(F.size(found) == 0, F.array(F.lit(OTHER))).otherwise(found).alias("categories"), F.size("a").alias("n_actions"))

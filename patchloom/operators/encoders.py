@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import code as C
 from patchloom.functions import text as T
-from patchloom.operators import metrics, ranking
+from patchloom.operators import metrics, preparation, ranking
 from patchloom.storage import materialize
 
 #: Markers of an encoded input.
@@ -84,37 +84,46 @@ def test_context(repairs: DataFrame) -> Column:
     return F.replace(joined, F.lit(f"{BREAK_END} "), F.lit(BREAK_END))
 
 
-def hunk_documents(changes: DataFrame, encoder: Encoder) -> DataFrame:
-    """``project, aCommit, doc_no, document, name, path, scope`` of the non-test hunks that change more than blanks."""
+def hunk_documents(changes: DataFrame, encoder: Encoder, methods: DataFrame | None = None) -> DataFrame:
+    """``project, aCommit, doc_no, document, name, path, scope`` of the non-test hunks that change more than blanks.
+
+    ``methods`` (project, aCommit, path, hunk, name, ord) tells which hunks are a method's: those are of scope 0 and
+    carry its name, all others are their class's, of scope 1."""
     outer = changes.select("project", "aCommit", F.posexplode("changes").alias("c_no", "c")).where(~F.coalesce(F.col("c.is_test_source"), F.lit(False)))
-    each = outer.select("project", "aCommit", "c_no", F.col("c.name").alias("name"), F.col("c.bPath").alias("path"), F.posexplode("c.hunks").alias("h_no", "h"))
-    typed = each.withColumns({"source": F.transform(side("h", "sourceChanges"), lambda x: x["line"]), "target": F.transform(side("h", "targetChanges"), lambda x: x["line"])})
-    typed = typed.where(F.size("source") + F.size("target") > 0)
-    flat = typed.withColumns({"s": C.padded(F.array_join("source", " ")), "t": C.padded(F.array_join("target", " "))}).where("s <> t")
+    each = outer.select("project", "aCommit", "c_no", F.col("c.name").alias("class_name"), F.col("c.bPath").alias("path"), F.posexplode("c.hunks").alias("h_no", "hunk"))
+    if methods is None:
+        each = each.withColumns({"methodName": F.lit(None).cast("string"), "scope": F.lit("class")})
+    else:
+        each = preparation.label_hunks(each, methods)
+    typed = each.withColumns({"source": F.transform(side("hunk", "sourceChanges"), lambda x: x["line"]), "target": F.transform(side("hunk", "targetChanges"), lambda x: x["line"])})
+    typed = typed.where(~preparation.is_empty_hunk(F.col("hunk")))
+    flat = typed.withColumns({"s": C.padded(F.array_join("source", " ")), "t": C.padded(F.array_join("target", " "))}).where(metrics.tokens(F.col("s")) != metrics.tokens(F.col("t")))
     if encoder.word_level:
         mark = lambda d: F.when(d["op"] == -1, F.concat(F.lit("[<DEL>]"), d["text"], F.lit("[</DEL>]"))).when(d["op"] == 1, F.concat(F.lit("[<ADD>]"), d["text"], F.lit("[</ADD>]"))).otherwise(d["text"])
         document = F.concat(F.lit("[<HUNK>]"), F.array_join(F.transform(C.diff_words("s", "t"), mark), ""), F.lit("[</HUNK>]"))
     else:
         document = T.base_document(F.when(F.col("s") != "", F.array("s")).otherwise(F.array().cast("array<string>")), F.when(F.col("t") != "", F.array("t")).otherwise(F.array().cast("array<string>")))
-    scope = F.when(F.col("name").contains("("), 0).otherwise(1)  # method hunks before class hunks
-    return flat.select("project", "aCommit", (F.col("c_no") * 100_000 + F.col("h_no")).alias("doc_no"), document.alias("document"), "name", "path", scope.alias("scope"))
+    method = F.col("scope") == "method"
+    return flat.select("project", "aCommit", (F.col("c_no") * 100_000 + F.col("h_no")).alias("doc_no"), document.alias("document"), F.when(method, F.col("methodName")).otherwise(F.col("class_name")).alias("name"), "path", F.when(method, 0).otherwise(1).alias("scope"))
 
 
 def node_depths(graphs: DataFrame) -> DataFrame:
-    """``bCommit, test, key, depth, most``: least depth of each name and path, and the graph's greatest depth."""
-    nodes = graphs.select(F.col("commit").alias("bCommit"), F.col("test").alias("name_of_test"), F.explode("value.nodes").alias("n"))
-    keyed = nodes.select("bCommit", "name_of_test", F.explode(F.array("n.name", "n.path")).alias("key"), F.col("n.depth").alias("depth"))
-    deepest = Window.partitionBy("bCommit", "name_of_test")
-    return keyed.groupBy("bCommit", "name_of_test", "key").agg(F.min("depth").alias("depth")).withColumn("most", F.max("depth").over(deepest))
+    """``bCommit, name_of_test, key, depth, most``: depth of the first node of each name and path, and the graph's greatest depth."""
+    nodes = graphs.select(F.col("commit").alias("bCommit"), F.col("test").alias("name_of_test"), F.posexplode("value.nodes").alias("i", "n"))
+    keyed = nodes.select("bCommit", "name_of_test", "i", F.explode(F.array("n.name", "n.path")).alias("key"), F.col("n.depth").alias("depth")).where("key IS NOT NULL")
+    most = nodes.groupBy(F.col("bCommit").alias("gb"), F.col("name_of_test").alias("gt")).agg(F.max("n.depth").alias("most"))
+    first = keyed.groupBy("bCommit", "name_of_test", "key").agg(F.min_by("depth", "i").alias("depth"))
+    return first.join(most, (F.col("bCommit") == F.col("gb")) & (F.col("name_of_test") == F.col("gt"))).drop("gb", "gt")
 
 
-def encode(repairs: DataFrame, changes: DataFrame, encoder: str = "SimOrder", budget: int = 512, graphs: DataFrame | None = None) -> DataFrame:
+def encode(repairs: DataFrame, changes: DataFrame, encoder: str = "SimOrder", budget: int = 512, graphs: DataFrame | None = None, methods: DataFrame | None = None, oversized: DataFrame | None = None) -> DataFrame:
     """``ID, project, aCommit, aCommitTime, trivial, input, output, n_documents, n_selected``.
 
     Repairs without change documents, with comment-only hunks or with lines outside their test are left
-    out. Documents are ranked by the strategy and taken while context and documents stay below ``budget``."""
+    out, and those that ``oversized`` (ID) lists. Documents are ranked by the strategy and taken while context and
+    documents stay below ``budget``; a repair that takes none gets its first."""
     e = ENCODERS[encoder]
-    rows = in_range(drop_comment_lines(repairs))
+    rows = in_range(drop_comment_lines(preparation.without_ids(repairs, oversized)))
     rows = rows.withColumns({"broken": C.padded(code_of(F.col("source"))), "repaired": C.padded(code_of(F.col("target"))), "lines": F.split("bSource.code", "\n")})
     each = rows.select("ID", F.posexplode("lines").alias("i", "x")).withColumn("x", C.padded("x"))
     codes = each.groupBy("ID").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]), "\n").alias("padded_code"))
@@ -126,7 +135,7 @@ def encode(repairs: DataFrame, changes: DataFrame, encoder: str = "SimOrder", bu
     if not e.documents:
         none = F.lit(0).cast("long")
         return rows.select(*keys, F.col("context").alias("input"), "output", none.alias("n_documents"), none.alias("n_selected"))
-    docs = materialize(hunk_documents(changes, e), "hunk-documents").withColumnsRenamed({"project": "_p", "aCommit": "_c", "name": "changed"})
+    docs = materialize(hunk_documents(changes, e, methods), "hunk-documents").withColumnsRenamed({"project": "_p", "aCommit": "_c", "name": "changed"})
     pairs = rows.select("ID", "project", "aCommit", "bCommit", "name").join(docs, (F.col("project") == F.col("_p")) & (F.col("aCommit") == F.col("_c")))
     first = F.struct("doc_no", "changed", "path", "scope")
     unique = pairs.groupBy("ID", "bCommit", "name", "document").agg(F.min(first).alias("d"), F.count("*").alias("repeat")).select("ID", "bCommit", F.col("name").alias("_test"), "document", "repeat", "d.*")

@@ -1,10 +1,15 @@
-"""N-gram metrics: BLEU family and exact match, as relational plans."""
+"""N-gram and structure metrics: the BLEU family, tree and data-flow matches, exact match, as relational plans.
+
+The rows of a pair are brought together once, by its ids; every count after that is an aggregate inside the
+partition, without another exchange."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.operators.reports import share
+
 #: The reserved words of Java.
 JAVA_KEYWORDS = (
     "abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class", "const", "continue", "default", "do", "double", "else",
@@ -12,6 +17,14 @@ JAVA_KEYWORDS = (
     "new", "package", "private", "protected", "public", "return", "short", "static", "strictfp", "super", "switch", "synchronized", "this", "throw",
     "throws", "transient", "try", "void", "volatile", "while",
 )
+#: The reserved words of Python.
+PYTHON_KEYWORDS = (
+    "False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except", "finally",
+    "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try", "while", "with", "yield",
+)
+#: Epsilon, alpha and k of the smoothing methods.
+EPSILON, ALPHA, K = 0.1, 5, 5
+SMALLEST = 2.2250738585072014e-308
 
 
 def tokens(text: Column) -> Column:
@@ -42,66 +55,174 @@ def brevity(reference: Column, hypothesis: Column) -> Column:
     return F.when(long_enough, 1.0).when(hypothesis == 0, 0.0).otherwise(F.exp(1.0 - reference / F.greatest(hypothesis, F.lit(1))))
 
 
-def clipped(hyp: DataFrame, ref: DataFrame, ids: list[str]) -> DataFrame:
-    """``ids, n, num, den``: hypothesis grams clipped by reference counts, and all hypothesis grams (1 at least)."""
-    r = ref.select(*[F.col(c).alias(f"_{c}") for c in [*ids, "n", "gram"]], F.col("cnt").alias("rcnt"))
-    on = None
-    for c in [*ids, "n", "gram"]:
-        on = (F.col(c) == F.col(f"_{c}")) if on is None else on & (F.col(c) == F.col(f"_{c}"))
-    joined = hyp.join(r, on, "left")
-    return joined.groupBy(*ids, "n").agg(F.sum(F.least("cnt", F.coalesce("rcnt", F.lit(0)))).alias("num"), F.greatest(F.sum("cnt"), F.lit(1)).alias("den"))
+def gram_table(pairs: DataFrame, ids: list[str], hyp: str, refs: Column, most: int = 4) -> DataFrame:
+    """``ids, n, gram, h, r``: how often the hypothesis has a gram, and the most that one of the references has it.
+
+    ``refs`` is an array of word arrays."""
+    sides = F.concat(F.array(F.struct(F.lit(0).alias("side"), F.col(hyp).alias("w"))), F.transform(refs, lambda w, i: F.struct((i + 1).alias("side"), w.alias("w"))))
+    each = pairs.repartition(*ids).select(*ids, F.explode(sides).alias("s")).select(*ids, "s.side", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("s.w"), n).alias("grams")) for n in range(1, most + 1)])).alias("g"))
+    each = each.select(*ids, "side", "g.n", F.explode("g.grams").alias("gram"))
+    counts = each.groupBy(*ids, "n", "gram", "side").agg(F.count("*").alias("c"))
+    most_of = lambda own: F.coalesce(F.max(F.when(own, F.col("c"))), F.lit(0))
+    return counts.groupBy(*ids, "n", "gram").agg(most_of(F.col("side") == 0).alias("h"), most_of(F.col("side") > 0).alias("r"))
+
+
+def precision_parts(pairs: DataFrame, ids: list[str], hyp: str, refs: Column, most: int = 4) -> DataFrame:
+    """``ids, hlen, rlen, num1.., den1..``: clipped matches and hypothesis grams (1 at least) of every pair, with lengths."""
+    grams = gram_table(pairs, ids, hyp, refs, most)
+    sums = [F.coalesce(F.sum(F.when(F.col("n") == n, x)), F.lit(0)).alias(f"{c}{n}") for n in range(1, most + 1) for c, x in (("num", F.least("h", "r")), ("den", F.col("h")))]
+    parts = grams.groupBy(*ids).agg(*sums)
+    lengths = pairs.select(*ids, F.size(hyp).alias("hlen"), closest_length(F.transform(refs, F.size), F.size(hyp)).alias("rlen"))
+    joined = lengths.join(parts, ids, "left")
+    counts = [F.coalesce(f"num{n}", F.lit(0)).alias(f"num{n}") for n in range(1, most + 1)] + [F.greatest(F.coalesce(f"den{n}", F.lit(0)), F.lit(1)).alias(f"den{n}") for n in range(1, most + 1)]
+    return joined.select(*ids, "hlen", F.coalesce("rlen", F.lit(0)).alias("rlen"), *counts)
+
+
+def smoothed(method: int, most: int = 4) -> list[Column]:
+    """The precisions of n = 1..most under smoothing ``method`` (0 to 7), from ``num``, ``den`` and ``hlen`` columns.
+
+    Methods 5 and 7 also need ``num`` and ``den`` of the next n."""
+    num = [F.col(f"num{n}").cast("double") for n in range(1, most + 1)]
+    den = [F.col(f"den{n}").cast("double") for n in range(1, most + 1)]
+    plain = [a / b for a, b in zip(num, den, strict=True)]
+    if method == 0:
+        return [F.when(a == 0, SMALLEST).otherwise(p) for a, p in zip(num, plain, strict=True)]
+    if method == 1:
+        return [F.when(a == 0, EPSILON / b).otherwise(a / b) for a, b in zip(num, den, strict=True)]
+    if method == 2:
+        return [(a + 1) / (b + 1) for a, b in zip(num, den, strict=True)]
+    if method == 3:
+        out, zeros = [], F.lit(0)
+        for a, b in zip(num, den, strict=True):
+            zeros = zeros + F.when(a == 0, 1).otherwise(0)
+            out.append(F.when(a == 0, 1 / (F.pow(F.lit(2.0), zeros) * b)).otherwise(a / b))
+        return out
+    if method in (4, 7):
+        log = F.log(F.greatest(F.col("hlen"), F.lit(1)).cast("double"))
+        four = [F.when((a == 0) & (F.col("hlen") > 1), (i + K / log) / b).otherwise(a / b) for i, (a, b) in enumerate(zip(num, den, strict=True))]
+        if method == 4:
+            return four
+        plain = four
+    if method in (5, 7):
+        extra = F.col(f"num{most + 1}").cast("double") / F.col(f"den{most + 1}")
+        out, before = [], plain[0] + 1
+        for i in range(most):
+            before = (before + plain[i] + (plain[i + 1] if i + 1 < most else extra)) / 3
+            out.append(before)
+        return out
+    if method == 6:
+        out = plain[:2]
+        for i in range(2, most):
+            prior = F.when(out[i - 2] == 0, 0.0).otherwise(out[i - 1] * out[i - 1] / F.when(out[i - 2] == 0, 1.0).otherwise(out[i - 2]))
+            grams = F.greatest(F.col("hlen") - i, F.lit(0))
+            out.append((num[i] + ALPHA * prior) / (grams + ALPHA))
+        return out
+    raise ValueError(f"no smoothing method {method}")
+
+
+def bleu_of(method: int = 1, most: int = 4) -> Column:
+    """BLEU from the columns of :func:`precision_parts`; 0 without a common word."""
+    mean = None
+    for p in smoothed(method, most):
+        term = F.log(p) / most
+        mean = term if mean is None else mean + term
+    return F.when(F.col("num1") == 0, 0.0).otherwise(brevity(F.col("rlen"), F.col("hlen")) * F.exp(mean))
 
 
-def _log_precision(num: Column, den: Column, epsilon: float) -> Column:
-    return F.log(F.when(num == 0, F.lit(epsilon)).otherwise(num.cast("double")) / den)
+def sentence_bleu(pairs: DataFrame, ids: list[str], hyp: str, ref: str, most: int = 4, method: int = 1) -> DataFrame:
+    """``ids, bleu`` of each pair of word arrays."""
+    more = 1 if method in (5, 7) else 0
+    parts = precision_parts(pairs, ids, hyp, F.array(ref), most + more)
+    return parts.select(*ids, bleu_of(method, most).alias("bleu"))
 
 
-def bleu_scores(parts: DataFrame, lengths: DataFrame, ids: list[str], most: int = 4, epsilon: float = 0.1) -> DataFrame:
-    """``ids, bleu`` from clipped counts (wide over n) and ``hlen, rlen``; add-epsilon smoothing of zero counts."""
-    wide = parts.groupBy(*ids).agg(*[f(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in range(1, most + 1) for c, f in (("num", F.max), ("den", F.max))])
-    joined = lengths.join(wide, ids, "left") if ids else lengths.crossJoin(wide)
-    mean = None
-    for n in range(1, most + 1):
-        term = _log_precision(F.coalesce(f"num{n}", F.lit(0)), F.coalesce(f"den{n}", F.lit(1)), epsilon) / most
-        mean = term if mean is None else mean + term
-    score = F.when(F.coalesce("num1", F.lit(0)) == 0, 0.0).otherwise(brevity(F.col("rlen"), F.col("hlen")) * F.exp(mean))
-    return joined.select(*ids, score.alias("bleu"))
+def corpus_parts(pairs: DataFrame, ids: list[str], hyp: str, refs: Column, most: int = 4) -> DataFrame:
+    """One row: numerators, denominators (1 at least for each pair) and lengths summed over all pairs."""
+    parts = precision_parts(pairs, ids, hyp, refs, most)
+    names = [f"{c}{n}" for n in range(1, most + 1) for c in ("num", "den")]
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hlen", "rlen", *names)])
 
 
-def sentence_bleu(pairs: DataFrame, ids: list[str], hyp: str, ref: str, most: int = 4) -> DataFrame:
-    """BLEU of each pair of word arrays."""
-    parts = clipped(ngram_counts(pairs, ids, hyp, most), ngram_counts(pairs, ids, ref, most), ids)
-    return bleu_scores(parts, pairs.select(*ids, F.size(hyp).alias("hlen"), F.size(ref).alias("rlen")), ids, most)
+def corpus_bleu(pairs: DataFrame, ids: list[str], hyp: str, ref: str, most: int = 4, method: int = 1) -> DataFrame:
+    """One row ``bleu``: numerators, denominators and lengths are summed over all pairs before the score."""
+    return corpus_parts(pairs, ids, hyp, F.array(ref), most).select(bleu_of(method, most).alias("bleu"))
 
 
-def corpus_bleu(pairs: DataFrame, ids: list[str], hyp: str, ref: str, most: int = 4) -> DataFrame:
-    """One row: numerators, denominators and lengths are summed over all pairs before the score."""
-    parts = clipped(ngram_counts(pairs, ids, hyp, most), ngram_counts(pairs, ids, ref, most), ids)
-    # a pair without grams of size n still counts one in the denominator
-    sums = parts.groupBy("n").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.count("*").alias("have"))
-    lengths = pairs.agg(F.sum(F.size(hyp)).alias("hlen"), F.sum(F.size(ref)).alias("rlen"), F.count("*").alias("pairs"))
-    total = sums.groupBy(F.lit(1).alias("one")).agg(*[F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in range(1, most + 1) for c in ("num", "den", "have")])
-    joined = lengths.withColumn("one", F.lit(1)).join(total, "one", "left")
+def weighted_recall(pairs: DataFrame, ids: list[str], hyp: str, ref: str, keywords=JAVA_KEYWORDS, other: float = 0.2, most: int = 4) -> DataFrame:
+    """``ids, n, num, den``: recall of reference grams; single words weigh 1 if they are keywords, else ``other``."""
+    grams = gram_table(pairs, ids, hyp, F.array(ref), most).where("r > 0")
+    weight = F.when((F.col("n") > 1) | F.col("gram").isin(*keywords), 1.0).otherwise(other)
+    return grams.groupBy(*ids, "n").agg(F.sum(F.least("h", "r") * weight).alias("num"), F.greatest(F.sum(F.col("r") * weight), F.lit(1.0)).alias("den"))
+
+
+def weighted_corpus_bleu(pairs: DataFrame, ids: list[str], hyp: str, ref: str, keywords=JAVA_KEYWORDS, other: float = 0.2, most: int = 4) -> DataFrame:
+    """One row ``bleu``: the weighted recalls summed over all pairs (a pair without grams of size n adds 1 to the sum
+    below), each zero made ``EPSILON``, with the brevity penalty."""
+    recall = weighted_recall(pairs, ids, hyp, ref, keywords, other, most)
+    per_n = [F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0.0)).alias(f"{c}{n}") for n in range(1, most + 1) for c in ("num", "den")]
+    have = [F.count(F.when(F.col("n") == n, 1)).alias(f"have{n}") for n in range(1, most + 1)]
+    sums = recall.groupBy(F.lit(1).alias("one")).agg(*per_n, *have)
+    lengths = pairs.agg(F.lit(1).alias("one"), F.sum(F.size(hyp)).alias("hlen"), F.sum(F.size(ref)).alias("rlen"), F.count("*").alias("pairs"))
+    joined = lengths.join(sums, "one", "left")
     mean = None
     for n in range(1, most + 1):
-        den = F.coalesce(f"den{n}", F.lit(0)) + F.col("pairs") - F.coalesce(f"have{n}", F.lit(0))
-        term = _log_precision(F.coalesce(f"num{n}", F.lit(0)), den, 0.1) / most
+        num, den = F.coalesce(f"num{n}", F.lit(0.0)), F.coalesce(f"den{n}", F.lit(0.0)) + F.col("pairs") - F.coalesce(f"have{n}", F.lit(0))
+        term = F.log(F.when(num == 0, EPSILON).otherwise(num) / F.greatest(den, F.lit(1.0))) / most
         mean = term if mean is None else mean + term
-    score = F.when(F.coalesce("num1", F.lit(0)) == 0, 0.0).otherwise(brevity(F.col("rlen"), F.col("hlen")) * F.exp(mean))
-    return joined.select(score.alias("bleu"))
+    return joined.select(F.when(F.coalesce("num1", F.lit(0.0)) == 0, 0.0).otherwise(brevity(F.col("rlen"), F.col("hlen")) * F.exp(mean)).alias("bleu"))
 
 
-def weighted_recall(pairs: DataFrame, ids: list[str], hyp: str, ref: str, keywords=JAVA_KEYWORDS, other: float = 0.2, most: int = 4) -> DataFrame:
-    """``ids, n, num, den``: recall of reference grams; single words weigh 1 if they are keywords, else ``other``."""
-    h, r = ngram_counts(pairs, ids, hyp, most), ngram_counts(pairs, ids, ref, most)
-    hh = h.select(*[F.col(c).alias(f"_{c}") for c in [*ids, "n", "gram"]], F.col("cnt").alias("hcnt"))
-    on = None
-    for c in [*ids, "n", "gram"]:
-        on = (F.col(c) == F.col(f"_{c}")) if on is None else on & (F.col(c) == F.col(f"_{c}"))
-    weight = F.when((F.col("n") > 1) | F.col("gram").isin(*keywords), 1.0).otherwise(other)
-    joined = r.join(hh, on, "left").withColumn("w", weight)
-    hit = F.least("cnt", F.coalesce("hcnt", F.lit(0))) * F.col("w")
-    return joined.groupBy(*ids, "n").agg(F.sum(hit).alias("num"), F.greatest(F.sum(F.col("cnt") * F.col("w")), F.lit(1.0)).alias("den"))
+def tree_match(references: DataFrame, candidates: DataFrame, ids: list[str], tree: str) -> DataFrame:
+    """``ids, matched, total``: subtrees (as text) of the references that the candidate has too; one may match many.
+
+    Both sides have one row for each subtree. A reference without a tree has no row."""
+    own = references.groupBy(*ids, tree).agg(F.count("*").alias("c"))
+    seen = candidates.select(*ids, tree).distinct().withColumn("hit", F.lit(1))
+    return own.join(seen, [*ids, tree], "left").groupBy(*ids).agg(F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("c"))), F.lit(0)).alias("matched"), F.sum("c").alias("total"))
+
+
+def merged_flow(edges: DataFrame, ids: list[str]) -> DataFrame:
+    """One row for each variable occurrence: ``ids, pos, name, kind, sources`` (array of struct(pos, name)).
+
+    ``edges`` has a row for each dependence (pos, name, kind, source_pos, source_name), sources null if there are none.
+    Occurrences that neither depend on another nor feed one are left out; the kind of the first row stands."""
+    linked = edges.where("source_pos IS NOT NULL")
+    used = linked.select(*ids, F.col("pos").alias("p")).unionByName(linked.select(*ids, F.col("source_pos").alias("p"))).distinct()
+    on = F.col("pos") == F.col("p")
+    right = used.select(*[F.col(c).alias(f"_{c}") for c in ids], "p")
+    for c in ids:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    source = F.when(F.col("source_pos").isNotNull(), F.struct(F.col("source_pos").alias("pos"), F.col("source_name").alias("name")))
+    kept = edges.join(right, on, "left_semi")
+    return kept.groupBy(*ids, "pos").agg(F.min("name").alias("name"), F.min("kind").alias("kind"), F.array_sort(F.collect_set(source)).alias("sources"))
+
+
+def normal_flow(flow: DataFrame, ids: list[str]) -> DataFrame:
+    """``ids, edge``: every occurrence as text with its variables renamed in the order in which they are met.
+
+    Rows are taken by position; a row's sources are met before its own variable."""
+    rows = flow.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("pos", "name", "kind", "sources"))).alias("rows"))
+    met = F.array_distinct(F.flatten(F.transform("rows", lambda r: F.concat(F.transform(r["sources"], lambda x: x["name"]), F.array(r["name"])))))
+    called = lambda name: F.concat(F.lit("var_"), F.array_position(F.col("met"), name) - 1)
+    text = lambda r: F.concat_ws(" ", called(r["name"]), r["kind"], F.array_join(F.transform(r["sources"], lambda x: called(x["name"])), " "))
+    return rows.withColumn("met", met).select(*ids, F.explode(F.transform("rows", text)).alias("edge"))
+
+
+def flow_match(references: DataFrame, candidates: DataFrame, ids: list[str]) -> DataFrame:
+    """``ids, matched, total`` over normal edges; every edge of the candidate is used once."""
+    a = references.groupBy(*ids, "edge").agg(F.count("*").alias("a"))
+    b = candidates.groupBy(*ids, "edge").agg(F.count("*").alias("b"))
+    return a.join(b, [*ids, "edge"], "left").groupBy(*ids).agg(F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("matched"), F.sum("a").alias("total"))
+
+
+def code_bleu(bleu: Column, weighted: Column, syntax: Column, flow: Column, weights: tuple = (0.25, 0.25, 0.25, 0.25)) -> Column:
+    """The weighted sum of the four scores."""
+    return weights[0] * bleu + weights[1] * weighted + weights[2] * syntax + weights[3] * flow
+
+
+def match_rate(matched: Column, total: Column) -> Column:
+    """matched / total, 0 if there is nothing to match."""
+    return F.when(total == 0, 0.0).otherwise(matched / F.greatest(total, F.lit(1)))
 
 
 def exact_match(predictions: DataFrame) -> DataFrame:
@@ -110,7 +231,7 @@ def exact_match(predictions: DataFrame) -> DataFrame:
     return predictions.select("ID", F.coalesce(hit, F.lit(False)).alias("hit"), F.when(hit, F.col("target")).otherwise(F.get("preds", F.lit(0))).alias("best"))
 
 
-def multiset_overlap(left: DataFrame, right: DataFrame, ids: list[str], item: str) -> DataFrame:
-    """``ids, shared``: each item matched at most as often as the other side has it."""
-    a, b = (x.groupBy(*ids, item).agg(F.count("*").alias(n)) for x, n in ((left, "a"), (right, "b")))
-    return a.join(b, [*ids, item]).groupBy(*ids).agg(F.sum(F.least("a", "b")).alias("shared"))
+def exact_match_rate(predictions: DataFrame) -> DataFrame:
+    """One row ``n_ids, n_exact, rate``: rows with an exact prediction against distinct ids, in percent with two digits."""
+    total = exact_match(predictions).agg(F.countDistinct("ID").alias("n_ids"), F.coalesce(F.sum(F.col("hit").cast("int")), F.lit(0)).alias("n_exact"))
+    return total.withColumn("rate", F.when(F.col("n_ids") == 0, -1.0).otherwise(share(F.col("n_exact"), F.greatest("n_ids", F.lit(1)), 2)))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchloom import schemas
 from patchloom.functions import code as C
-from patchloom.operators import categorize, encoders, metrics
+from patchloom.operators import encoders, metrics
 from patchloom.plans.registry import query, table
 
 
@@ -37,31 +36,30 @@ def code_padding(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(C.padded("text").cast("binary")).alias("padded"))
 
 
-@query("SELECT a.conv_id, a.turn, true AS restored FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def _flat_pairs(spark, d) -> DataFrame:
+    """Padded earlier and later texts with their edit sequence."""
+    pairs = _turn_pairs(spark, d).select("conv_id", "turn", C.padded("before").alias("b"), C.padded("after").alias("a"))
+    return pairs.withColumn("s", C.make_edit_sequence("b", "a"))
+
+
+@query("SELECT a.conv_id, a.turn, true AS restored FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.text <> '' AND b.text <> ''")
 def edit_sequence_roundtrip(spark, d):
-    """Applying a pair's edit sequence gives the later text, or the sequence is one whole replacement of it."""
-    flat = lambda c: F.array_join(metrics.tokens(F.col(c)), " ")
-    pairs = _turn_pairs(spark, d).select("conv_id", "turn", flat("before").alias("b"), flat("after").alias("a")).withColumn("s", C.make_edit_sequence("b", "a"))
-    whole = F.concat(F.lit(f"{C.OLD} "), F.col("b"), F.lit(f" {C.NEW} "), F.col("a"), F.lit(f" {C.END}"))
-    return pairs.select("conv_id", "turn", (C.applied_edit_sequence("b", "s").eqNullSafe(F.col("a")) | (F.col("s") == whole)).alias("restored"))
+    """Applying a pair's edit sequence gives the later text; the sequences themselves are in ``edit_sequences_built``."""
+    return _flat_pairs(spark, d).where("b <> '' AND a <> ''").select("conv_id", "turn", C.applied_edit_sequence("b", "s").eqNullSafe(F.col("a")).alias("restored"))
 
 
 @query(None)
 def edit_sequence_fallbacks(spark, d):
-    """How a pair's edit sequence came out: whether applying it gives the later text, whether it replaces the whole text, its number of replacements."""
-    flat = lambda c: F.array_join(metrics.tokens(F.col(c)), " ")
-    pairs = _turn_pairs(spark, d).select("conv_id", "turn", flat("before").alias("b"), flat("after").alias("a")).withColumn("s", C.make_edit_sequence("b", "a"))
+    """Whether a pair's sequence replaces the whole text, and its number of replacements."""
     whole = F.concat(F.lit(f"{C.OLD} "), F.col("b"), F.lit(f" {C.NEW} "), F.col("a"), F.lit(f" {C.END}"))
-    n = F.size(F.split("s", F.lit(r"\Q" + C.END + r"\E"))) - 1
-    return pairs.select("conv_id", "turn", C.applied_edit_sequence("b", "s").eqNullSafe(F.col("a")).alias("applied"), (F.col("s") == whole).alias("whole"), n.cast("long").alias("n_replacements"))
+    n = F.size(F.split("s", r"\[<replaceEnd>\]")) - 1
+    return _flat_pairs(spark, d).select("conv_id", "turn", (F.col("s") == whole).alias("whole"), n.cast("long").alias("n_replacements"))
 
 
 @query(None)
 def sutcopy(spark, d):
     """Model-free baseline: a conversation's own word replacements, folded into its first turn, against its last."""
     ops = _turn_pairs(spark, d).select("conv_id", "turn", F.posexplode(C.diff_words("before", "after")).alias("i", "x"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("conv_id", "turn").orderBy("i")
     nexts = ops.withColumns({"next_op": F.lead("x.op").over(order), "next_text": F.lead("x.text").over(order)}).where("x.op = -1")
     old_new = F.struct(F.col("x.text").alias("old"), F.when(F.col("next_op") == 1, F.col("next_text")).otherwise("").alias("new"))
@@ -72,8 +70,9 @@ def sutcopy(spark, d):
     return metrics.sentence_bleu(words, ["conv_id"], "hyp", "ref")
 
 
-def repairs(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Change records made from conversations: the project is a residue, the commit a conversation, the test its turns.
+def repairs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Change records made from conversations: the project is a residue, the commit a conversation, the test its turns; and the
+    method changes of every other turn.
 
     A turn's hunks are those of its whole text against the next; the repair's hunk has the lines of all of them."""
     start = 10
@@ -91,12 +90,15 @@ def repairs(spark, d) -> tuple[DataFrame, DataFrame]:
     )
     one = F.struct(F.concat(F.lit("src/"), "turn").alias("bPath"), F.concat(F.lit("m"), "turn", F.lit("()")).alias("name"), (F.col("turn") % 4 == 3).alias("is_test_source"), F.col("hunks"))
     grouped = pairs.select("conv_id", one.alias("c"), "turn").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "c"))), lambda v: v["c"]).alias("changes"))
-    return made, grouped.select(F.concat(F.lit("p"), F.col("conv_id") % 5).alias("project"), commit.alias("aCommit"), "changes")
+    project = F.concat(F.lit("p"), F.col("conv_id") % 5).alias("project")
+    methods = pairs.where("turn % 2 = 0").select(project, commit.alias("aCommit"), F.concat(F.lit("src/"), "turn").alias("path"), F.concat(F.lit("m"), "turn", F.lit("()")).alias("name"), F.posexplode("hunks").alias("ord", "hunk"))
+    return made, grouped.select(project, commit.alias("aCommit"), "changes"), methods
 
 
 def _encoded(name: str):
     def run(spark, d):
-        rows = encoders.split_encoded(encoders.encode(*repairs(spark, d), name, 400))
+        made, changes, methods = repairs(spark, d)
+        rows = encoders.split_encoded(encoders.encode(made, changes, name, 400, methods=methods))
         return rows.select("ID", "project", "split", "n_documents", "n_selected", F.md5(F.col("input").cast("binary")).alias("input"), F.md5(F.col("output").cast("binary")).alias("output"))
 
     run.__name__ = f"encode_{name.lower()}"
@@ -104,17 +106,4 @@ def _encoded(name: str):
 
 
 for _name in encoders.ENCODERS:
-    _encoded(_name)
-
-
-@query(None)
-def categorise_actions(spark, d):
-    """Actions made from line items: flags choose the action, names the labels (goldens in tests/test_categorize.py)."""
-    kinds = F.array(*[F.lit(x) for x in ("Insert", "Delete", "Update", "Move")])
-    nodes = F.array(*[F.lit(x) for x in ("Literal", "Invocation", "ConstructorCall", "THROWN", "TypeAccess")])
-    pick = lambda a, n, by: F.get(a, (F.col(by) % n).cast("int"))
-    node = F.struct(F.concat(F.lit("C"), F.col("l_suppkey") % 7, F.lit("(a,b)")).alias("label"), F.lit(0).alias("childCount"))
-    action = F.struct(pick(kinds, 4, "l_partkey").alias("type"), pick(nodes, 5, "l_suppkey").alias("nodeType"), F.array(F.lit("Method")).alias("parents"), node.alias("srcNode"), node.alias("dstNode"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", action.alias("a")).groupBy(F.col("l_orderkey").cast("string").alias("ID")).agg(F.collect_list("a").alias("astActions"))
-    empty = F.from_json(F.lit("{}"), schemas.HUNK)
-    return categorize.categorise(rows.withColumn("hunk", empty)).select("ID", F.array_join("categories", ",").alias("categories"), F.col("n_actions").cast("long").alias("n_actions"))
+    _encoded(_name)
\ No newline at end of file

@@ -110,9 +110,8 @@ def anti_ids(spark, d):
 
 @query("SELECT i AS doc_id FROM (SELECT unnest(range(0, (SELECT max(doc_id) + 1 FROM documents))) AS i) WHERE i NOT IN (SELECT doc_id FROM labels)")
 def missing_index(spark, d):
-    last = table(spark, d, "documents").agg(F.max("doc_id").alias("m"))
-    expected = last.select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("doc_id"))
-    return expected.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    last = table(spark, d, "documents").agg(F.max("doc_id")).first()[0]
+    return spark.range(0 if last is None else last + 1).select(F.col("id").alias("doc_id")).join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 CASCADE = (("has_text", "length(text) > 0"), ("has_lines", "text LIKE '%' || chr(10) || '%'"), ("not_shouting", "upper(text) <> text"), ("short_enough", "n_chars <= 5000"), ("known_language", "lang IN ('en', 'de')"))
@@ -137,10 +136,10 @@ def two_regex_predicate(spark, d):
     return table(spark, d, "pages").where(F.col("html").rlike("<article>") & F.col("html").rlike('class="ad"')).select("page_id")
 
 
-@query("SELECT page_id, (url IN (SELECT url FROM pages WHERE page_id % 10 = 0) OR contains(url, '/en/')) AS flagged FROM pages")
+@query("SELECT page_id, (url IN (SELECT url FROM pages GROUP BY url HAVING count(*) > 1) OR contains(url, '/en/')) AS flagged FROM pages")
 def path_flag(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")
-    known = pages.where("page_id % 10 = 0").select(F.col("url").alias("known_url")).distinct()
+    known = pages.groupBy(F.col("url").alias("known_url")).agg(F.count("*").alias("n")).where("n > 1").select("known_url")
     joined = pages.join(known, F.col("url") == F.col("known_url"), "left")
     return joined.select("page_id", (F.col("known_url").isNotNull() | F.col("url").contains("/en/")).alias("flagged"))
 
@@ -217,22 +216,22 @@ def changed_pairs(spark, d):
 
 
 @query("""
-WITH s AS (SELECT DISTINCT p_size FROM part WHERE p_size % 7 = 0), q AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) AS quantity FROM lineitem)
-SELECT quantity, coalesce((SELECT min(p_size) FROM s WHERE p_size >= quantity), 99) AS chosen FROM q""")
+WITH s AS (SELECT DISTINCT p_size * 3 AS p_size FROM part), q AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) AS quantity FROM lineitem)
+SELECT quantity, coalesce((SELECT min(p_size) FROM s WHERE p_size >= quantity), 999) AS chosen FROM q""")
 def nearest_at_least(spark, d):
     wanted = table(spark, d, "lineitem").select(F.col("l_quantity").cast("int").alias("quantity")).distinct()
-    return joins.nearest_at_least(wanted, "quantity", table(spark, d, "part").where("p_size % 7 = 0"), "p_size", 99, "chosen")
+    return joins.nearest_at_least(wanted, "quantity", table(spark, d, "part").select((F.col("p_size") * 3).alias("p_size")), "p_size", 999, "chosen")
 
 
 @query("""
 WITH p AS (SELECT page_id, regexp_replace(split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1), '/$', '') AS path FROM pages),
 u AS (SELECT page_id, array_to_string(list_slice(string_split(path, '/'), 1, k), '/') AS up FROM (SELECT *, unnest(range(1, len(string_split(path, '/')))) AS k FROM p)),
-h AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS have FROM p WHERE page_id % 3 = 0)
+h AS (SELECT DISTINCT regexp_replace(path, '/[^/]*/[^/]*$', '') AS have FROM p)
 SELECT p.page_id, m.ancestor FROM p LEFT JOIN (SELECT page_id, arg_max(up, length(up)) AS ancestor FROM u JOIN h ON u.up = h.have GROUP BY page_id) m ON p.page_id = m.page_id""")
 def longest_prefix(spark, d):
     bare = F.substring_index(F.substring_index(F.substring_index("url", "://", -1), "?", 1), "#", 1)
     pages = table(spark, d, "pages").select("page_id", F.regexp_replace(bare, "/$", "").alias("path"))
-    known = pages.where("page_id % 3 = 0").select(F.regexp_replace("path", "/[^/]*$", "").alias("have"))
+    known = pages.select(F.regexp_replace("path", "/[^/]*/[^/]*$", "").alias("have"))
     return joins.longest_prefix(pages, "path", "page_id", known, "have").select("page_id", "ancestor")
 
 
@@ -264,10 +263,10 @@ def top_k_per_group(spark, d):
     return top.select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || '|1234') AS place FROM documents ORDER BY place LIMIT 100")
+@query("SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || '|1234') AS place FROM documents")
 def hash_shuffle(spark, d):
-    """A seeded shuffle that no partitioning changes; the first hundred are the feature."""
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("|1234")), 256).alias("place")).orderBy("place").limit(100)
+    """A seeded order of all rows that no partitioning changes."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("|1234")), 256).alias("place")).orderBy("place")
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, md5(line) AS line_key, count(*) AS n FROM l GROUP BY doc_id, md5(line) HAVING count(*) > 1")
@@ -339,23 +338,11 @@ def xml_field(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 48 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity >= 48),
-b AS (SELECT 's1' AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON b.node = e.src WHERE b.depth < 3)
-SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM b GROUP BY node""")
-def bfs_depth(spark, d):
-    from patchloom.operators.graph import bfs_depth as bfs
-
-    lines = table(spark, d, "lineitem").where("l_quantity >= 48").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
-    edges = lines.unionByName(lines.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return bfs(edges, spark.range(1).select(F.lit("s1").alias("root")), 3).select("node", F.col("depth").cast("long").alias("depth"))
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
 b AS (SELECT 's1' AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON b.node = e.src WHERE b.depth < 3)
 SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM b GROUP BY node""")
-def bfs_depth_all(spark, d):
+def bfs_depth(spark, d):
     """Depths over the edges of all line items."""
     from patchloom.operators.graph import bfs_depth as bfs
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
-from patchloom.operators import metrics, ranking, verdicts
+from patchloom.operators import metrics, ranking
 from patchloom.plans.registry import query, table
 
 WORDS = "list_filter(regexp_split_to_array({0}, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')"
@@ -54,17 +54,17 @@ def _inventory(spark, d):
 
 
 @query("""
-WITH a AS (SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey % 20 = 0), b AS (SELECT p_partkey AS other, p_name AS other_name, p_brand FROM part WHERE p_partkey % 20 <> 0)
-SELECT p_partkey, p_name, p_brand, similarity, other FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY similarity DESC, other) AS r FROM (SELECT a.*, b.other, floor(jaro_winkler_similarity(p_name, other_name) * 1000000 + 0.5) / 1000000 AS similarity FROM a JOIN b USING (p_brand))) WHERE r = 1 AND similarity > 0.65""")
+SELECT p_partkey, p_name, p_brand, p_type, similarity, other FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY similarity DESC, other) AS r
+  FROM (SELECT a.p_partkey, a.p_name, a.p_brand, a.p_type, b.p_partkey AS other, floor(jaro_winkler_similarity(a.p_name, b.p_name) * 1000000 + 0.5) / 1000000 AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey)) WHERE r = 1 AND similarity > 0.65""")
 def best_match(spark, d):
+    """Every part with the most similarly named other part of its brand and type."""
     from patchloom.functions.similarity import jaro_winkler
     from patchloom.operators.joins import best_match as match
 
-    parts = _inventory(spark, d).select("p_partkey", "p_name", "p_brand")
-    missing = parts.where("p_partkey % 20 = 0")
-    fresh = parts.where("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "p_brand")
+    parts = _inventory(spark, d).select("p_partkey", "p_name", "p_brand", "p_type")
+    others = parts.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "p_brand", "p_type")
     score = F.floor(jaro_winkler("p_name", "other_name") * 1_000_000 + 0.5) / 1_000_000
-    return match(missing, fresh, ["p_brand"], score, "other", 0.65, ["other"])
+    return match(parts, others, ["p_brand", "p_type"], F.when(F.col("other") != F.col("p_partkey"), score), "other", 0.65, ["other"])
 
 
 TFIDF = f"""
@@ -162,26 +162,6 @@ def exact_match(spark, d):
     return metrics.exact_match(predictions).select("ID", "hit", F.md5(F.col("best").cast("binary")).alias("best"))
 
 
-OVERLAP = f"d AS (SELECT doc_id AS id, unnest({WORDS.format('text')}) AS w FROM documents WHERE doc_id % 25 = 0), b AS (SELECT item_id * 25 AS id, unnest({WORDS.format('text')}) AS w FROM benchmark)"
-
-
-def _overlap_sides(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 25 = 0").select(F.col("doc_id").alias("id"), F.explode(metrics.tokens(F.col("text"))).alias("w"))
-    items = table(spark, d, "benchmark").select((F.col("item_id") * 25).alias("id"), F.explode(metrics.tokens(F.col("text"))).alias("w"))
-    return docs, items
-
-
-@query(f"WITH {OVERLAP} SELECT id, CAST(sum(least(a, c)) AS BIGINT) AS shared FROM (SELECT id, w, count(*) AS a FROM d GROUP BY ALL) JOIN (SELECT id, w, count(*) AS c FROM b GROUP BY ALL) USING (id, w) GROUP BY id")
-def multiset_overlap(spark, d):
-    return metrics.multiset_overlap(*_overlap_sides(spark, d), ["id"], "w")
-
-
-@query(f"WITH {OVERLAP} SELECT id, count(*) AS shared FROM b WHERE EXISTS (SELECT 1 FROM d WHERE d.id = b.id AND d.w = b.w) GROUP BY id")
-def set_overlap(spark, d):
-    docs, items = _overlap_sides(spark, d)
-    return items.join(docs, ["id", "w"], "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
-
-
 ALL_PAIRS = f"d AS (SELECT doc_id, unnest({WORDS.format('text')}) AS w FROM documents), b AS (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark)"
 
 
@@ -193,14 +173,14 @@ def _all_pairs_sides(spark, d):
 
 
 @query(f"WITH {ALL_PAIRS} SELECT doc_id, item_id, CAST(sum(least(a, c)) AS BIGINT) AS shared FROM (SELECT doc_id, w, count(*) AS a FROM d GROUP BY ALL) JOIN (SELECT item_id, w, count(*) AS c FROM b GROUP BY ALL) USING (w) GROUP BY doc_id, item_id")
-def multiset_overlap_all(spark, d):
+def multiset_overlap(spark, d):
     """Every document with every item that shares a word with it."""
     docs, items = _all_pairs_sides(spark, d)
     return docs.join(items, "w").groupBy("doc_id", "item_id").agg(F.sum(F.least("a", "c")).alias("shared"))
 
 
 @query(f"WITH {ALL_PAIRS} SELECT doc_id, item_id, count(*) AS shared FROM b JOIN (SELECT DISTINCT doc_id, w FROM d) USING (w) GROUP BY doc_id, item_id")
-def set_overlap_all(spark, d):
+def set_overlap(spark, d):
     """The same, counting each word of the item, repeats too, that the document holds."""
     docs, items = _all_pairs_sides(spark, d)
     return docs.join(items, "w").groupBy("doc_id", "item_id").agg(F.sum("c").alias("shared"))
@@ -219,39 +199,16 @@ def name_parts(spark, d):
     return table(spark, d, "pages").select("page_id", T.name_parts(F.concat(host, F.lit(".open(int)"))).alias("p")).select("page_id", "p.*")
 
 
-@query("""
-WITH c AS (SELECT conv_id, list(left(text, 20) ORDER BY turn) FILTER (WHERE role = 'user') AS s, list(left(text, 20) ORDER BY turn) FILTER (WHERE role = 'assistant') AS t FROM conversations GROUP BY conv_id)
-SELECT conv_id, '[<HUNK>]' || CASE WHEN len(s) > 0 THEN '[<DEL>]' || array_to_string(s, ' ') ELSE '' END || CASE WHEN len(t) > 0 THEN '[<ADD>]' || array_to_string(t, ' ') ELSE '' END || '[</HUNK>]' AS document FROM c""")
-def concat_document(spark, d):
-    side = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", F.left("text", F.lit(20)).alias("x"))))), lambda v: v["x"]).alias(role)
-    sides = table(spark, d, "conversations").groupBy("conv_id").agg(side("user"), side("assistant"))
-    return sides.select("conv_id", T.base_document(F.col("user"), F.col("assistant")).alias("document"))
-
-
 @query("""
 WITH c AS (SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE role = 'user') AS s, list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS t FROM conversations GROUP BY conv_id)
 SELECT conv_id, md5('[<HUNK>]' || CASE WHEN len(s) > 0 THEN '[<DEL>]' || array_to_string(s, ' ') ELSE '' END || CASE WHEN len(t) > 0 THEN '[<ADD>]' || array_to_string(t, ' ') ELSE '' END || '[</HUNK>]') AS document FROM c""")
-def concat_document_whole(spark, d):
+def concat_document(spark, d):
     """The digest of the document of the whole turns."""
     side = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda v: v["text"]).alias(role)
     sides = table(spark, d, "conversations").groupBy("conv_id").agg(side("user"), side("assistant"))
     return sides.select("conv_id", F.md5(T.base_document(F.col("user"), F.col("assistant")).cast("binary")).alias("document"))
 
 
-LOG_SQL = "CASE o_orderkey % 7 WHEN 0 THEN 'Tests run: 1, Failures: 0, Errors: 0, Skipped: 0' WHEN 1 THEN 'COMPILATION ERROR at Order' || (o_orderkey % 13) || '.java:[' || (o_orderkey % 90) || ',7]' WHEN 2 THEN 'COMPILATION ERROR somewhere' WHEN 3 THEN 'at Order' || (o_orderkey % 13) || '.java:' || (o_orderkey % 50) || ')' WHEN 4 THEN 'No tests were executed!' WHEN 5 THEN 'Could not resolve dependencies' ELSE 'nothing known' END"
-
-
-@query(f"""
-WITH l AS (SELECT o_orderkey, {LOG_SQL} AS log, CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 11 = 0 THEN 124 ELSE 1 END AS code FROM orders)
-SELECT o_orderkey, CASE WHEN code = 0 THEN CASE WHEN contains(log, 'Tests run: 1, Failures: 0, Errors: 0, Skipped: 0') THEN 'success' ELSE 'test_not_executed' END WHEN code = 124 THEN 'timeout'
-  WHEN contains(log, 'COMPILATION ERROR at') THEN 'compile_error' WHEN contains(log, 'COMPILATION ERROR') THEN 'unrelated_compile_error' WHEN contains(log, '.java:') THEN 'failure' WHEN contains(log, 'No tests were executed') THEN 'test_match_failure' WHEN contains(log, 'Could not resolve dependencies') THEN 'dependency_error' ELSE 'unknown' END AS status,
-  CASE WHEN code = 1 AND contains(log, '.java:') THEN CAST(regexp_extract(log, '\\.java:\\[?([0-9]+)', 1) AS BIGINT) END AS first_line FROM l""")
-def log_classify(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", F.expr(LOG_SQL).alias("log"), F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 11 = 0 THEN 124 ELSE 1 END").alias("code"), F.expr("'Order' || (o_orderkey % 13)").alias("test_class"))
-    judged = verdicts.classify_logs(orders, "log", "code", "test_class")
-    return judged.select("o_orderkey", "status", F.get("error_lines", F.lit(0)).cast("long").alias("first_line"))
-
-
 @query("""
 WITH s AS (SELECT p_partkey, p_name AS a FROM part),
 s1 AS (SELECT p_partkey, CASE WHEN (length(a) - length(replace(a, 'part', ''))) / 4 = 1 THEN replace(a, 'part', 'unit') ELSE a END AS a FROM s),

@@ -44,8 +44,13 @@ def read_nested_map(spark: SparkSession, path: str, schema: str, keys: tuple[str
     return frame
 
 
-def read_call_graphs(spark: SparkSession, path: str) -> DataFrame:
-    return read_nested_map(spark, path, schemas.CALL_GRAPHS, ("commit", "test"))
+def read_call_graphs(spark: SparkSession, folder: str, name: str = "call_graphs.json") -> DataFrame:
+    """``project, commit, test, value`` of the projects that have exactly one such file."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder, wholetext=True)
+    files = text.withColumns({"file": F.col("_metadata.file_path"), "project": F.regexp_extract(F.col("_metadata.file_path"), PROJECT, 1)})
+    single = files.groupBy("project").agg(F.count("*").alias("n"), F.first("value").alias("value")).where("n = 1")
+    commits = single.select("project", F.explode(F.from_json("value", schemas.CALL_GRAPHS)).alias("commit", "tests"))
+    return commits.select("project", "commit", F.explode("tests").alias("test", "value"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -59,12 +64,29 @@ def read_logs(spark: SparkSession, folder: str) -> DataFrame:
     return text.select("path", part(0).try_cast("int").alias("code"), part(1).alias("command"), F.regexp_replace(part(2), "^JAVA_HOME=", "").alias("java_home"), part(3).alias("log"))
 
 
-def pom_properties(frame: DataFrame, text: str = "pom") -> DataFrame:
-    """Adds ``java_version``: the compiler's source or release setting, one ``${name}`` looked up."""
-    raw = F.coalesce(*[F.nullif(F.regexp_extract(text, rf"<{tag}>\s*([^<\s]+)\s*</{tag}>", 1), F.lit("")) for tag in ("maven.compiler.release", "maven.compiler.source", "release", "source", "java.version")])
-    name = F.regexp_extract(raw, r"^\$\{([^}]+)\}$", 1)
-    looked = F.regexp_extract(F.col(text), F.concat(F.lit(r"<\Q"), name, F.lit(r"\E>\s*([^<\s]+)\s*<")), F.lit(1))
-    return frame.withColumn("java_version", F.when(name != "", F.nullif(looked, F.lit(""))).otherwise(raw))
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.PREDICTIONS).option("multiLine", True).json(path)
+
+
+def read_renames(spark: SparkSession, path: str) -> DataFrame:
+    """``commit, refactoringType, originalName, newName`` of a JSON object of lists by commit."""
+    return read_nested_map(spark, path, schemas.RENAMES, ("commit",)).select("commit", F.inline("value"))
+
+
+def read_elements(spark: SparkSession, path: str) -> DataFrame:
+    """``commit, test, element``: the distinct types and executables that a test refers to."""
+    rows = read_nested_map(spark, path, schemas.ELEMENTS, ("commit", "test"))
+    none = F.array().cast("array<string>")
+    both = F.array_union(F.coalesce("value.types", none), F.coalesce("value.executables", none))
+    return rows.select("commit", "test", F.explode(both).alias("element"))
+
+
+def read_verdicts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of all verdict files and one row ``n_files, n_empty``; a file of zero bytes brings no row and is counted."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder).select("path", "length")
+    counts = files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum((F.col("length") == 0).cast("long")), F.lit(0)).alias("n_empty"))
+    rows = spark.read.schema(schemas.VERDICTS).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
+    return rows, counts
 
 
 def write_json(frame: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -72,7 +94,51 @@ def write_json(frame: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_csv(frame: DataFrame, path: str, overwrite: bool = False) -> None:
-    frame.write.mode("overwrite" if overwrite else "ignore").option("header", True).csv(path)
+    frame.write.mode("overwrite" if overwrite else "ignore").option("header", True).option("escape", '"').csv(path)
+
+
+def write_array(frame: DataFrame, path: str, rows: int = 1_000_000) -> None:
+    """One pretty JSON array in a file called ``path``, for small results that people read; refuses more than ``rows``."""
+    spark = frame.sparkSession
+    texts = [r[0] for r in frame.select(F.to_json(F.struct("*"), {"pretty": "true"})).limit(rows + 1).toLocalIterator()]
+    if len(texts) > rows:
+        raise ValueError(f"more than {rows} rows for one file")
+    _write_text(spark, path, "[" + ",\n".join(texts) + "]\n")
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_texts(frame: DataFrame, folder: str, name: str, text: str) -> None:
+    """One text file for each row below ``folder``, called by the row's ``name`` (slashes make folders); tasks write them."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    place = folder if "://" in folder else folder.replace("file:", "file://", 1) if folder.startswith("file:/") else f"file://{folder}"
+
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(place)
+        for batch in batches:
+            for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{root}/{n}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{root}/{n}", compression=None) as out:
+                    out.write((t or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    frame.select(F.col(name).cast("string"), F.col(text).cast("string")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def annotate(frame: DataFrame, path: str, version: str) -> DataFrame:
+    """``frame`` as a new version beside the table it was read from, never over it; read back."""
+    target = f"{path.rstrip('/')}-{version}"
+    frame.write.mode("errorifexists").parquet(target)
+    return frame.sparkSession.read.parquet(target)
 
 
 def stage(frame_of, spark: SparkSession, path: str) -> DataFrame:

@@ -1 +1 @@
-"""patchloom.streaming"""
+"""Streaming forms of the verdict operators."""
