@@ -50,10 +50,10 @@ def edit_sequence_roundtrip(spark, d):
 
 @query(None)
 def edit_sequence_fallbacks(spark, d):
-    """Whether a pair's sequence replaces the whole text, and its number of replacements."""
+    """Whether a pair's sequence gives the later text, whether it replaces the whole text, and its number of replacements."""
     whole = F.concat(F.lit(f"{C.OLD} "), F.col("b"), F.lit(f" {C.NEW} "), F.col("a"), F.lit(f" {C.END}"))
     n = F.size(F.split("s", r"\[<replaceEnd>\]")) - 1
-    return _flat_pairs(spark, d).select("conv_id", "turn", (F.col("s") == whole).alias("whole"), n.cast("long").alias("n_replacements"))
+    return _flat_pairs(spark, d).select("conv_id", "turn", C.applied_edit_sequence("b", "s").eqNullSafe(F.col("a")).alias("applied"), (F.col("s") == whole).alias("whole"), n.cast("long").alias("n_replacements"))
 
 
 @query(None)

@@ -43,7 +43,7 @@ class GitReader(DataSourceReader):
 
     def read(self, partition):
         for line in partition.lines if partition else ():
-            sha, short, time, *parents = line.split(" ")
+            sha, short, time, *parents = line.split()
             if self.table == "commits":
                 yield sha, short, int(time), len(parents)
             elif len(parents) == 1:

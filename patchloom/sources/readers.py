@@ -83,8 +83,9 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
 
 def read_verdicts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The rows of all verdict files and one row ``n_files, n_empty``; a file of zero bytes brings no row and is counted."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder).select("path", "length")
-    counts = files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum((F.col("length") == 0).cast("long")), F.lit(0)).alias("n_empty"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder).select("path")
+    total = len(files.inputFiles())  # the reader itself passes over files of zero bytes
+    counts = files.agg(F.lit(total).cast("long").alias("n_files"), (F.lit(total) - F.count("*")).alias("n_empty"))
     rows = spark.read.schema(schemas.VERDICTS).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
     return rows, counts
 

@@ -89,10 +89,23 @@ def test_bleu_golden(spark):
 def test_verdicts(spark):
     from patchloom.operators.verdicts import classify_logs
 
-    rows = [("Tests run: 1, Failures: 0, Errors: 0, Skipped: 0", 0, "T"), ("x", 0, "T"), ("", 124, "T"), ("COMPILATION ERROR src/T.java:[7,1] T.java:[3,2]", 1, "T"), ("COMPILATION ERROR", 1, "T"), ("at a.T.m(T.java:12)", 1, "T"), ("Could not resolve dependencies", 1, "T"), ("there is no POM in this directory", 1, "T"), ("?", 1, "T")]
-    got = classify_logs(spark.createDataFrame(rows, "log string, code int, t string"), "log", "code", "t").collect()
-    assert [r.status for r in got] == ["success", "test_not_executed", "timeout", "compile_error", "unrelated_compile_error", "failure", "dependency_error", "pom_not_found", "unknown"]
-    assert got[3].error_lines == [3, 7] and got[5].error_lines == [12] and got[0].error_lines is None
+    passed = "Tests run: 1, Failures: 0, Errors: 0, Skipped: 0, Time elapsed: 0.1 s"
+    rows = [
+        (passed, 0, "success", None), ("x", 0, "test_not_executed", None), ("Tests run: 1, Failures: 0, Errors: 0, Skipped: 0", 0, "test_not_executed", None), ("", 124, "timeout", None),
+        ("COMPILATION ERROR\n[ERROR] /a/src/T.java:[7,1] x\n[ERROR] /a/src/T.java:[3,2] y", 1, "compile_error", [3, 7]), ("COMPILATION ERROR\n[ERROR] /a/src/Other.java:[7,1] x", 1, "unrelated_compile_error", None),
+        ("\tat a.T.m(T.java:12)", 1, "failure", [12]), ("\tat a.T.other(T.java:12)", 1, "unknown", None), ("[ERROR]   T.m:9 wanted", 1, "failure", [9]), ("[ERROR]   T.mm:9 wanted", 1, "unknown", None),
+        ("Tests run: 2, Failures: 0, Errors: 1, Skipped: 0, Time elapsed: 1 s", 1, "failure", []), ("Tests run: 2, Failures: 0, Errors: 0, Skipped: 1, Time elapsed: 1 s", 1, "test_not_executed", None),
+        ("Could not resolve dependencies", 1, "dependency_error", None), ("?", 1, "unknown", None), (None, 1, "unknown", None),
+    ]
+    frame = spark.createDataFrame([(*r, "T", "m", "src/T.java") for r in rows], "log string, code int, want string, at array<int>, c string, m string, p string")
+    for r in classify_logs(frame, "log", "code", "c", "m", "p").collect():
+        assert (r.status, r.error_lines) == (r.want, r.at), r.log
+
+
+def test_literals_and_comments():
+    assert C.pad_code('f("a\tb",1)') == 'f ( "a\tb" , 1 )' and C.pad_code("it's\nfoo(a);\nisn't") == "it's foo ( a ) ; isn't"
+    assert C.pad_code("\ue000+1") == "\ue000 + 1"
+    assert C.strip_comments("char c = '\\''; // d") == "char c = '\\'';  "
 
 
 def test_range_nearest(spark):
