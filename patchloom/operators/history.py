@@ -80,7 +80,11 @@ def renamed(before: DataFrame, after: DataFrame) -> DataFrame:
     near = line_distance(F.col("b.line"), F.col("a.line"), F.greatest("b.n_lines", "a.n_lines"))
     scored = pairs.withColumn("similarity", overall(jaro_winkler(F.col("b.signature"), F.col("a.signature")), body, near)).where(F.col("similarity") > SIMILARITY_THRESHOLD)
     best = scored.groupBy(*KEYS, "local", "b").agg(F.min_by(F.struct("a", "similarity"), F.struct(-F.col("similarity"), F.col("a.line"), F.col("a.signature"))).alias("m"))
-    own = missing.select(*KEYS, "local", row.alias("b")).join(best.select(*KEYS, "local", F.col("b").alias("own"), "m"), [*KEYS, "local"], "left").where("own IS NULL OR own = b")
+    found = best.select(*[F.col(k).alias(f"_{k}") for k in KEYS], F.col("b").alias("_b"), "m")
+    same = F.col("b").eqNullSafe(F.col("_b"))
+    for k in KEYS:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    own = missing.select(*KEYS, row.alias("b")).join(found, same, "left")
     name = lambda x: F.concat_ws("#", x["parent"], x["signature"])
     out = own.select(*KEYS, name(F.col("b")).alias("name"), F.when(F.col("m").isNotNull(), name(F.col("m.a"))).alias("matched"), F.col("m.similarity").alias("similarity"), F.col("b.code").alias("before_code"), F.col("m.a.code").alias("after_code"))
     return out.where(F.col("matched").isNull() | is_modified(F.col("before_code"), F.col("after_code")))
@@ -118,6 +122,17 @@ def changed_test_classes(files: DataFrame) -> DataFrame:
     return files.where(is_test(F.col("before")) & ~F.col("before").eqNullSafe(F.col("after")))
 
 
+def flag_test_sources(changes: DataFrame, known: DataFrame, mark: str = "src/test") -> DataFrame:
+    """``changes`` (bPath, aPath) with ``is_test_source``: either path is one of ``known`` (path) or contains ``mark``."""
+    paths = known.select("path").distinct()
+    joined = changes
+    flag = F.lit(False)
+    for i, side in enumerate(("bPath", "aPath")):
+        joined = joined.join(paths.withColumnRenamed("path", f"_known{i}"), F.col(side) == F.col(f"_known{i}"), "left")
+        flag = flag | F.col(f"_known{i}").isNotNull() | F.coalesce(F.contains(F.col(side), F.lit(mark)), F.lit(False))
+    return joined.withColumn("is_test_source", flag).drop("_known0", "_known1")
+
+
 def changed_tests(before: DataFrame, after: DataFrame) -> DataFrame:
     """``commit, name, before_code, after_code`` of tests in both versions whose text differs.
 

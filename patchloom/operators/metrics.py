@@ -38,6 +38,12 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def padded(words: Column, n: int, left: str | None = None, right: str | None = None) -> Column:
+    """``words`` with n - 1 marks before or after, where a mark is given."""
+    marks = lambda mark: F.array_repeat(F.lit(mark), n - 1) if mark is not None else F.array().cast("array<string>")
+    return F.concat(marks(left), words, marks(right))
+
+
 def ngram_counts(df: DataFrame, ids: list[str], words: str, most: int = 4) -> DataFrame:
     """``ids, n, gram, cnt`` for n = 1..most."""
     sized = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col(words), n).alias("grams")) for n in range(1, most + 1)])

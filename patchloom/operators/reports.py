@@ -57,3 +57,20 @@ def classify(df: DataFrame, cases: list[tuple[str, Column]], default: str, name:
     for label, when in reversed(cases):
         value = F.when(when, F.lit(label)).otherwise(value)
     return df.groupBy(value.alias(name)).agg(F.count("*").alias("n"))
+
+
+def until_stopped(epochs: DataFrame, epoch: str, loss: str, patience: int) -> DataFrame:
+    """``epoch, loss, best`` up to the first epoch that is ``patience`` or more after the best so far (least loss, then earliest).
+
+    One row an epoch, so a window over all of them is small."""
+    order = Window.orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
+    best = F.min(F.struct(F.col(loss).alias("l"), F.col(epoch).alias("e"))).over(order)["e"]
+    known = epochs.select(epoch, loss, best.alias("best"))
+    late = F.max((F.col(epoch) - F.col("best") >= patience).cast("int")).over(Window.orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1))
+    return known.withColumn("_late", late).where(F.coalesce("_late", F.lit(0)) == 0).drop("_late")
+
+
+def total_and_mean(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, n, total, mean`` of a measured value, rows without it counted."""
+    found = df.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"))
+    return found.withColumn("mean", F.col("total") / F.col("n"))

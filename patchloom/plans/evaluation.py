@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from patchloom.functions import code as C
 from patchloom.functions import java
 from patchloom.functions import text as T
-from patchloom.operators import categorize, metrics, preparation, verdicts
+from patchloom.operators import categorize, metrics, preparation, reports, verdicts
 from patchloom.plans.registry import query, table
 from patchloom.plans.textual import BREVITY, CLIPPED, KEY_WORDS, PAIRS, WORDS, _pairs
 
@@ -330,3 +330,37 @@ def text_positions(spark, d):
         F.md5(T.with_body(text, F.lit(1), F.lit(2), F.lit("body")).cast("binary")).alias("spliced"), F.md5(T.without_special(text, ("e",)).cast("binary")).alias("bare"),
     )
 
+
+BARE = "'int x' || p_partkey || ';  ' || chr(10) || '\"//kept\" b' || chr(10) || 'char c = ' || chr(39) || chr(92) || chr(39) || chr(39) || ';  '"
+
+
+@query(f"SELECT p_partkey, {BARE} AS bare FROM part")
+def comment_removal(spark, d):
+    """Comments become a blank, literals that look like one stay, blank lines go."""
+    code = F.concat(F.lit("int x"), "p_partkey", F.lit("; // c\n/* y\n z */\n\"//kept\" b\nchar c = '\\''; // d"))
+    return table(spark, d, "part").select("p_partkey", C.without_comments(code).alias("bare"))
+
+
+@query("""
+WITH e AS (SELECT CAST(epoch(date_trunc('day', ts)) / 86400 AS BIGINT) AS epoch, floor(avg(value) * 1000 + 0.5) / 1000 AS loss FROM events GROUP BY 1),
+b AS (SELECT epoch, loss, (SELECT arg_min(x.epoch, (x.loss, x.epoch)) FROM e x WHERE x.epoch <= e.epoch) AS best FROM e)
+SELECT epoch, loss, best FROM b WHERE epoch <= coalesce((SELECT min(epoch) FROM b WHERE epoch - best >= 3), (SELECT max(epoch) FROM b))""")
+def early_stop(spark, d):
+    """Epochs up to the first that is three or more after the best so far."""
+    day = F.floor(F.unix_seconds(F.date_trunc("day", "ts")) / 86400).alias("epoch")
+    epochs = table(spark, d, "events").groupBy(day).agg((F.floor(F.avg("value") * 1000 + 0.5) / 1000).alias("loss"))
+    return reports.until_stopped(epochs, "epoch", "loss", 3)
+
+
+@query("SELECT event_type, count(*) AS n, floor(sum(value) * 1000 + 0.5) / 1000 AS total, floor(sum(value) / count(*) * 1000 + 0.5) / 1000 AS each FROM events GROUP BY event_type")
+def time_per_sample(spark, d):
+    found = reports.total_and_mean(table(spark, d, "events"), ["event_type"], "value")
+    thousandth = lambda c: F.floor(F.col(c) * 1000 + 0.5) / 1000
+    return found.select("event_type", "n", thousandth("total").alias("total"), thousandth("mean").alias("each"))
+
+
+@query(f"SELECT item_id, CAST(len(w) + 2 * 2 AS BIGINT) AS n_padded, CAST(greatest(len(w) + 4 - 2, 0) AS BIGINT) AS n_trigrams, md5('<s> <s> ' || array_to_string(w, ' ') || ' </s> </s>') AS padded FROM (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark)")
+def padded_ngrams(spark, d):
+    """Word sequences with marks on both sides, and their runs of three."""
+    rows = table(spark, d, "benchmark").select("item_id", metrics.padded(metrics.tokens(F.col("text")), 3, "<s>", "</s>").alias("w"))
+    return rows.select("item_id", F.size("w").cast("long").alias("n_padded"), F.size(metrics.ngrams(F.col("w"), 3)).cast("long").alias("n_trigrams"), F.md5(F.array_join("w", " ").cast("binary")).alias("padded"))

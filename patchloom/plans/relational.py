@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchloom.functions.text import strip
-from patchloom.operators import dedupe, joins, ranking, reports
+from patchloom.operators import dedupe, history, joins, ranking, reports
 from patchloom.plans.registry import query, table
 
 PCT = "floor(1000.0 * {0} / {1} + 0.5) / 10.0"
@@ -208,11 +208,11 @@ def anti_both_ways(spark, d):
     return only("missing", customers, ordered).unionByName(only("new", ordered, customers))
 
 
-@query("SELECT a.conv_id, a.turn, b.turn AS next_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2 AND a.role = b.role WHERE a.text IS DISTINCT FROM b.text")
+@query("SELECT a.conv_id, a.turn, b.turn AS next_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2 AND a.role = b.role WHERE a.text IS NULL OR b.text IS NULL OR a.text <> b.text")
 def changed_pairs(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     later = turns.select("conv_id", "role", F.col("turn").alias("next_turn"), (F.col("turn") - 2).alias("turn"), F.col("text").alias("next_text"))
-    return turns.join(later, ["conv_id", "turn", "role"]).where(~F.col("text").eqNullSafe(F.col("next_text"))).select("conv_id", "turn", "next_turn")
+    return turns.join(later, ["conv_id", "turn", "role"]).where(history.is_modified(F.col("text"), F.col("next_text"))).select("conv_id", "turn", "next_turn")
 
 
 @query("""
@@ -313,6 +313,12 @@ def union_all(spark, d):
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id").unionByName(table(spark, d, "labels").where("quality = 1").select("doc_id"))
 
 
+@query("SELECT doc_id, lang, NULL AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
+def union_missing(spark, d):
+    """Rows of both tables; a column that one lacks is null there."""
+    return table(spark, d, "documents").select("doc_id", "lang").unionByName(table(spark, d, "labels").select("doc_id", "quality"), allowMissingColumns=True)
+
+
 @query("SELECT doc_id FROM documents WHERE lang = 'en' UNION SELECT doc_id FROM labels WHERE quality = 1")
 def union_distinct(spark, d):
     return union_all(spark, d).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
-from patchloom.operators import metrics, ranking
+from patchloom.operators import metrics, preparation, ranking
 from patchloom.plans.registry import query, table
 
 WORDS = "list_filter(regexp_split_to_array({0}, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')"
@@ -112,12 +112,10 @@ def greedy_budget(spark, d):
     return each.select("conv_id", "doc.turn", F.col("doc.rank").cast("long").alias("rank"), F.array_contains("taken", F.col("i")).alias("selected"))
 
 
-@query(f"{GREEDY} SELECT CAST(sum(CASE WHEN selected THEN 1 ELSE 0 END) AS BIGINT) AS n_selected, count(*) AS n_available, floor(1000.0 * sum(CASE WHEN selected THEN 1 ELSE 0 END) / count(*) + 0.5) / 10.0 AS pct FROM g")
+@query(f"{GREEDY}, t AS (SELECT conv_id, sum(selected::INT) AS s, count(*) AS n FROM g GROUP BY conv_id) SELECT CAST(sum(greatest(s, 1)) AS BIGINT) AS n_selected, CAST(sum(n) AS BIGINT) AS n_available, floor(1000.0 * sum(greatest(s, 1)) / sum(n) + 0.5) / 10.0 AS pct FROM t")
 def inclusion_ratio(spark, d):
-    from patchloom.operators.reports import share
-
-    total = _selected(spark, d).agg(F.sum(F.size("taken")).alias("n_selected"), F.sum(F.size("docs")).alias("n_available"))
-    return total.withColumn("pct", share(F.col("n_selected"), F.col("n_available")))
+    """Selected documents, the one that stands in where none fits included."""
+    return preparation.inclusion_ratio(_selected(spark, d), "taken", "docs")
 
 
 @query(f"WITH b AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark) SELECT item_id, n, gram, count(*) AS cnt FROM ({_grams('b', 'w', 'item_id')}) GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchloom import schemas
-from patchloom.operators import history, preparation
+from patchloom.operators import encoders, history, preparation
 from patchloom.plans.registry import query, table
 
 SIDE = "SELECT p_brand AS commit, p_type AS file, 'q.' || p_type || CASE WHEN p_partkey % 4 = 0 THEN '$In' ELSE '' END AS parent, {0} AS signature, CASE WHEN p_partkey % 5 = 0 THEN 'constructor' ELSE 'method' END AS kind, CAST(p_partkey AS INTEGER) AS line, 100000 AS n_lines, {1} AS body, {1} AS code, p_partkey FROM part WHERE {2}"
@@ -35,12 +35,12 @@ def unmatched_executables(spark, d):
 
 
 RENAMED = f"""{BOTH}, m AS (SELECT b.* FROM b ANTI JOIN a USING (commit, file, local)), w AS (SELECT a.* FROM a ANTI JOIN b USING (commit, file, local)),
-s AS (SELECT m.commit, m.file, m.parent || '#' || m.signature AS name, w.parent || '#' || w.signature AS matched, m.code AS before_code, w.code AS after_code, w.line AS wl, w.signature AS ws,
+s AS (SELECT m.commit, m.file, m.parent || '#' || m.signature AS name, w.parent || '#' || w.signature AS matched, m.line AS ml, m.code AS before_code, w.code AS after_code, w.line AS wl, w.signature AS ws,
   (1.25::DOUBLE * jaro_winkler_similarity(m.signature, w.signature) + jaro_winkler_similarity(m.body, w.body) + 0.75::DOUBLE * (100000 - abs(m.line - w.line)) / 100000) / 3.0::DOUBLE AS similarity FROM m JOIN w USING (commit, file, kind)),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY commit, file, name ORDER BY similarity DESC, wl, ws) AS r FROM s WHERE similarity > 0.65) WHERE r = 1)"""
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY commit, file, name, ml ORDER BY similarity DESC, wl, ws) AS r FROM s WHERE similarity > 0.65) WHERE r = 1)"""
 
 
-@query(f"WITH {RENAMED} SELECT m.commit, m.file, m.parent || '#' || m.signature AS name, t.matched, floor(t.similarity * 1000000 + 0.5) / 1000000 AS similarity FROM m LEFT JOIN t ON m.commit = t.commit AND m.file = t.file AND m.parent || '#' || m.signature = t.name WHERE t.matched IS NULL OR t.before_code <> t.after_code")
+@query(f"WITH {RENAMED} SELECT m.commit, m.file, m.parent || '#' || m.signature AS name, t.matched, floor(t.similarity * 1000000 + 0.5) / 1000000 AS similarity FROM m LEFT JOIN t ON m.commit = t.commit AND m.file = t.file AND m.parent || '#' || m.signature = t.name AND m.line = t.ml WHERE t.matched IS NULL OR t.before_code <> t.after_code")
 def renamed_executables(spark, d):
     """What became of missing executables: the most similar new one of file and kind above 0.65, or deleted."""
     found = history.renamed(*_versions(spark, d))
@@ -202,3 +202,35 @@ def labelled_hunks(spark, d):
     classes = lines.select("l_orderkey", "l_linenumber", *keys)
     methods = lines.where("l_suppkey % 2 = 0").select(*keys, F.concat(F.lit("m"), "l_partkey").alias("name"), F.struct("l_linenumber", "l_partkey").alias("ord"))
     return preparation.label_hunks(classes, methods).select("l_orderkey", "l_linenumber", F.col("methodName").alias("method"), "scope")
+
+
+@query("""
+WITH h AS (SELECT o_orderkey AS id, l_returnflag AS kind FROM orders JOIN lineitem ON l_suppkey = o_custkey WHERE l_partkey % 10 = o_orderkey % 10 AND l_partkey % 7 = o_orderkey % 7)
+SELECT id, array_to_string(list_sort(list_distinct(list(kind))), ',') AS trivial FROM h GROUP BY id""")
+def trivial_types(spark, d):
+    """Renames whose old name the test used before and whose new name it uses after."""
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    repairs = orders.select(F.col("o_orderkey").alias("ID"), F.concat(F.lit("t"), "o_orderkey").alias("name"), F.concat(F.lit("b"), "o_custkey").alias("bCommit"), F.concat(F.lit("a"), "o_custkey").alias("aCommit"))
+    renames = lines.select(F.concat(F.lit("a"), "l_suppkey").alias("commit"), F.col("l_returnflag").alias("refactoringType"), F.concat(F.lit("o"), F.col("l_partkey") % 10).alias("originalName"), F.concat(F.lit("n"), F.col("l_partkey") % 7).alias("newName"))
+    used = lambda side, mark, n: repairs.select(F.col(side).alias("commit"), F.col("name").alias("test"), F.concat(F.lit(mark), F.col("ID") % n).alias("element"))
+    found = encoders.trivial_types(repairs, renames, used("bCommit", "o", 10), used("aCommit", "n", 7))
+    return found.select(F.col("ID").alias("id"), F.array_join("trivial", ",").alias("trivial"))
+
+
+@query("""
+WITH k AS (SELECT url AS path FROM pages GROUP BY url HAVING count(*) > 1), c AS (SELECT a.page_id, a.url AS b, z.url AS a FROM pages a LEFT JOIN pages z ON z.page_id = a.page_id + 1)
+SELECT page_id, (b IN (SELECT path FROM k) OR coalesce(a IN (SELECT path FROM k), false) OR contains(b, '/en/') OR coalesce(contains(a, '/en/'), false)) AS is_test FROM c""")
+def test_source_flag(spark, d):
+    """A change is a test's if either path is a known test's or says so itself."""
+    pages = table(spark, d, "pages").select("page_id", F.col("url").alias("bPath"))
+    later = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("bPath").alias("aPath"))
+    known = pages.groupBy(F.col("bPath").alias("path")).agg(F.count("*").alias("n")).where("n > 1")
+    return history.flag_test_sources(pages.join(later, "page_id", "left"), known, "/en/").select("page_id", F.col("is_test_source").alias("is_test"))
+
+
+@query("SELECT o_custkey AS commit, CAST(o_orderkey AS VARCHAR) AS file, o_orderstatus AS before_code FROM orders WHERE o_orderkey % 3 <> 1 AND (o_orderkey % 3 = 2 OR o_orderstatus <> 'F')")
+def class_changes(spark, d):
+    """Types of files in both versions whose text differs."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("commit"), F.col("o_orderkey").cast("string").alias("file"), F.lit("T").alias("name"), F.col("o_orderstatus").alias("code"), "o_orderkey")
+    after = orders.where("o_orderkey % 3 <> 1").withColumn("code", F.when(F.col("o_orderkey") % 3 == 2, "new").otherwise("F"))
+    return history.class_changes(orders, after).select("commit", "file", "before_code")
