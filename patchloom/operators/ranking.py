@@ -62,16 +62,17 @@ def tfidf_cosine(tokens: DataFrame, group: str, doc: str, target, token: str = "
     The corpus is the group itself: idf = ln((1 + n) / (1 + df)) + 1, raw counts, cosine. Keys are
     (group, token) throughout, so a common word of one group meets nothing of another."""
     counts = tokens.groupBy(group, doc, token).agg(F.count("*").alias("tf"))
+    goal = F.col(doc) == target
     sizes = tokens.select(group, doc).distinct().groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n_docs"))
-    df = counts.groupBy(F.col(group).alias("_dg"), F.col(token).alias("_dt")).agg(F.count("*").alias("df"))
-    weighted = counts.join(df, (F.col(group) == F.col("_dg")) & (F.col(token) == F.col("_dt"))).join(sizes, F.col(group) == F.col("_g"))
-    weighted = weighted.select(group, doc, token, (F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norms = weighted.groupBy(group, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    goal = weighted.where(F.col(doc) == target).select(F.col(group).alias("_tg"), F.col(token).alias("_tt"), F.col("w").alias("w0"))
-    dots = weighted.join(goal, (F.col(group) == F.col("_tg")) & (F.col(token) == F.col("_tt"))).groupBy(F.col(group).alias("_pg"), F.col(doc).alias("_pd")).agg(F.sum(F.col("w") * F.col("w0")).alias("dot"))
-    goal_norm = norms.where(F.col(doc) == target).select(F.col(group).alias("_ng"), F.col("norm").alias("norm0"))
-    joined = norms.join(dots, (F.col(group) == F.col("_pg")) & (F.col(doc) == F.col("_pd")), "left").join(goal_norm, F.col(group) == F.col("_ng"))
-    return joined.where(F.col(doc) != target).select(group, doc, F.coalesce(F.col("dot") / (F.col("norm") * F.col("norm0")), F.lit(0.0)).alias("similarity"))
+    terms = counts.groupBy(F.col(group).alias("_tg"), F.col(token).alias("_tt")).agg(F.count("*").alias("df"), F.max(F.when(goal, F.col("tf"))).alias("tf0"))
+    known = terms.join(sizes, F.col("_tg") == F.col("_g")).select("_tg", "_tt", "tf0", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    own = F.coalesce("tf0", F.lit(0)) * F.col("idf")
+    lengths = known.groupBy(F.col("_tg").alias("_ng")).agg(F.sqrt(F.sum(own * own)).alias("norm0"))
+    weight = F.col("tf") * F.col("idf")
+    joined = counts.join(known, (F.col(group) == F.col("_tg")) & (F.col(token) == F.col("_tt")))
+    docs = joined.groupBy(group, doc).agg(F.sqrt(F.sum(weight * weight)).alias("norm"), F.sum(weight * own).alias("dot"))
+    scored = docs.where(F.col(doc) != target).join(lengths.where("norm0 > 0"), F.col(group) == F.col("_ng"))
+    return scored.select(group, doc, (F.col("dot") / (F.col("norm") * F.col("norm0"))).alias("similarity"))
 
 
 def greedy_select(sizes: Column, budget: Column) -> Column:
