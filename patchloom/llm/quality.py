@@ -4,8 +4,9 @@ A document is a bag of passages of ``PASSAGE`` bytes that cover its whole text.
 from the frequencies of its character classes and their neighbours; gated attention weighs the passages
 (softmax of w·(tanh(V h) * sigmoid(U h))) and the weighted mean is scored by a logistic unit. Only whole
 documents have labels; the attention weights are learnt from them. The network is small, fitted on the
-driver by Adam on a sample of at most ``limit`` labelled ids (by a hash of the id, fold 0 left out), and
-broadcast; scoring is one narrow pass over all documents.
+driver by Adam on a sample of at most ``limit`` labelled ids (by a hash of the id, fold 0 left out) and ``most``
+passages of each, and broadcast; scoring is one narrow pass over all documents and their whole texts, in runs
+of passages, so memory does not grow with a text's length.
 
 Defined cases: null and empty texts are one passage without characters; repeated rows are scored each; a
 null doc_id is scored and held out is null; without labelled rows of both kinds the score is the share of
@@ -19,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.training import fold, labelled_sample
+from patchloom.llm.batches import pieces
+from patchloom.llm.training import fold, labelled_sample, labelled_texts
 
 PASSAGE, HIDDEN, ATTENTION = 1024, 24, 12
+#: Passages whose features are held at a time.
+RUN = 512
 SIGNS = b" \n.,!?:;-'\"|$%&*#@=/()"
 CLASSES = len(SIGNS) + 6
 
@@ -43,23 +47,29 @@ TABLE = _class_table()
 WIDTH = CLASSES * CLASSES + CLASSES
 
 
-def passages(text: str | None) -> np.ndarray:
-    """(number of passages, WIDTH) float32 features that cover the whole text."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def features(data: bytes, before: bytes = b"") -> np.ndarray:
+    """(number of passages, WIDTH) float32 features of bytes that start a passage; ``before`` is the byte ahead of them, if any."""
     n = max(1, -(-len(data) // PASSAGE))
     out = np.zeros((n, WIDTH), np.float32)
     if not len(data):
         return out
-    kinds = TABLE[data]
-    where = np.arange(len(data)) // PASSAGE
-    pairs = np.bincount(where[1:] * CLASSES * CLASSES + kinds[:-1] * CLASSES + kinds[1:], minlength=n * CLASSES * CLASSES).reshape(n, -1)
-    single = np.bincount(where * CLASSES + kinds, minlength=n * CLASSES).reshape(n, -1)
+    kinds = TABLE[np.frombuffer(before + data, np.uint8)]
+    own = kinds[len(before) :]
+    where = np.arange(len(own)) // PASSAGE
+    paired = where if before else where[1:]
+    pairs = np.bincount(paired * CLASSES * CLASSES + kinds[:-1] * CLASSES + kinds[1:], minlength=n * CLASSES * CLASSES).reshape(n, -1)
+    single = np.bincount(where * CLASSES + own, minlength=n * CLASSES).reshape(n, -1)
     length = np.bincount(where, minlength=n)[:, None]
     out[:, : CLASSES * CLASSES] = np.sqrt(pairs / length)
     out[:, CLASSES * CLASSES :] = np.sqrt(single / length)
     return out
 
 
+def passages(text: str | None) -> np.ndarray:
+    """The features of all passages of a text."""
+    return features((text or "").encode("utf-8", "surrogatepass"))
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -118,25 +128,62 @@ class AttentionMil:
                     self.p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
+    def long_score(self, data: bytes) -> float:
+        """The score of one text in runs of passages: the largest raw attention so far, the sums under it, and nothing else."""
+        p, top, total, z = self.p, -np.inf, 0.0, np.zeros(HIDDEN)
+        for at in range(0, max(1, len(data)), RUN * PASSAGE):
+            h = np.tanh(features(data[at : at + RUN * PASSAGE], data[at - 1 : at] if at else b"") @ p["E"] + p["e"])
+            raw = (np.tanh(h @ p["V"]) * _sigmoid(h @ p["U"])) @ p["w"]
+            high = max(top, float(raw.max()))
+            a, old = np.exp(raw - high), np.exp(top - high)
+            top, total, z = high, total * old + a.sum(), z * old + a @ h
+        return float(_sigmoid(z / total @ p["c"] + p["b"][0]))
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Scores of texts; short ones together, long ones alone, never more than ``RUN`` passages or one short text more."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        out = []
-        for at in range(0, len(texts), 64):  # bounded memory: a few texts at a time
-            bags = [passages(t) for t in texts[at : at + 64]]
-            bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-            out.append(self.forward(np.concatenate(bags), bag, len(bags))[-1])
-        return np.concatenate(out) if out else np.empty(0)
+        out, held, size = np.empty(len(texts)), [], 0
+        encoded = ((t or "").encode("utf-8", "surrogatepass") for t in texts)
+
+        def flush():
+            if held:
+                bags = [features(d) for _, d in held]
+                bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+                out[[i for i, _ in held]] = self.forward(np.concatenate(bags), bag, len(bags))[-1]
+                held.clear()
+
+        for i, data in enumerate(encoded):
+            if len(data) > RUN * PASSAGE:
+                out[i] = self.long_score(data)
+                continue
+            if size + len(data) + PASSAGE > RUN * PASSAGE:
+                flush()
+                size = 0
+            held.append((i, data))
+            size += max(PASSAGE, len(data))
+        flush()
+        return out
+
+
+def spread_passages(text: str | None, most: int) -> np.ndarray:
+    """The features of at most ``most`` passages, even over the text."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    n = max(1, -(-len(data) // PASSAGE))
+    if n <= most:
+        return features(data)
+    at = (np.arange(most) * n // most * PASSAGE).tolist()
+    return np.concatenate([features(data[a : a + PASSAGE], data[a - 1 : a] if a else b"") for a in at])
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = 3_000) -> AttentionMil:
-    """The network; ``limit`` bounds the labelled ids it learns from."""
+def fit(docs: DataFrame, labels: DataFrame, limit: int = 3_000, most: int = 64) -> AttentionMil:
+    """The network; ``limit`` bounds the labelled ids it learns from, ``most`` the passages of each (even over its text)."""
     sample = labelled_sample(labels, "quality", limit)
-    own = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("label_id", "y", "text")
+    own = labelled_texts(docs, sample).select("label_id", "y", "text")
 
     def encode(batches):
         for batch in batches:
-            bags = [passages(t.as_py()).astype(np.float16).tobytes() for t in batch.column(2)]
+            bags = [spread_passages(t.as_py(), most).astype(np.float16).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], names=["label_id", "y", "bag"])
 
     rows = own.mapInArrow(encode, "label_id long, y int, bag binary").toArrow().sort_by([("label_id", "ascending")])
@@ -155,7 +202,8 @@ def quality(docs: DataFrame, labels: DataFrame, limit: int = 3_000, threshold: f
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores([t.as_py() for t in batch.column(1)]), pa.float64())], names=["doc_id", "score"])
+            for part in pieces(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.scores(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

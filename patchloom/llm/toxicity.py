@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.llm.batches import pieces, starts, white_space_words
-from patchloom.llm.training import fold, labelled_sample
+from patchloom.llm.training import fold, labelled_sample, labelled_texts
 
 WORD_BITS, STEM_BITS, STEM = 17, 15, 5
 EDGE = string.punctuation + "«»“”„’‘…¿¡"
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000, prior: float =
     words = log_odds(corpus[:cut], toxic[:cut], clean[:cut], prior)
     stems = log_odds(corpus[cut:], toxic[cut:], clean[cut:], prior)
     model = ToxicityModel(np.clip(words, -2, 4) / 2 - drift / 2, np.clip(stems, -2, 4) / 2 - drift / 2)
-    own = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "y")
+    own = labelled_texts(docs, sample).select("text", "y")
 
     def scan(batches):
         for batch in batches:
