@@ -58,11 +58,18 @@ def with_rule(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def _domain_suffix(host: Column) -> tuple[Column, Column]:
-    parts = F.split(host, r"\.")
-    wide = F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES)
-    suffix = F.when(wide, F.substring_index(host, ".", -2)).otherwise(F.element_at(parts, -1))
-    return F.when(wide, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2)), suffix
+#: What a host may have besides its name: a user part before, a port behind. An address is its own domain and suffix.
+AROUND, ADDRESS = r"^.*@|:[0-9]*$", r"^[0-9.]+$|^\["
+
+
+def _domain_suffix(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain and the public suffix; ``suffixes`` lists the suffixes of two labels."""
+    name = F.regexp_replace(host, AROUND, "")
+    address = name.rlike(ADDRESS)
+    wide = F.substring_index(name, ".", -2).isin(*suffixes)
+    suffix = F.when(wide, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(wide, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return F.when(address, name).otherwise(domain), F.when(address, name).otherwise(suffix)
 
 
 def _strength(units: DataFrame, key: str) -> DataFrame:
@@ -92,13 +99,13 @@ def _shrink(units: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return joined.withColumns({"a": a, "b": b}).withColumn("mean", F.expr("a / (a + b)")).drop("_up", "_m")
 
 
-def host_reputation(pages: DataFrame, z: float = 1.0, threshold: float = 0.5) -> DataFrame:
+def host_reputation(pages: DataFrame, z: float = 1.0, threshold: float = 0.5, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """Per host: ``n`` labelled pages, ``k`` blocked ones, ``bound`` and ``verdict``.
 
     ``pages`` has ``host`` and ``outcome`` (1 block, 0 allow, null unlabelled). The first aggregation is
     partial on the map side, so a host with a third of the pages costs one row a task."""
     hosts = pages.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).alias("k"))
-    domain, suffix = _domain_suffix(F.col("host"))
+    domain, suffix = _domain_suffix(F.col("host"), suffixes)
     hosts = materialize(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("all", F.lit(1))
@@ -132,7 +139,7 @@ def oracle(z: float = 1.0, threshold: float = 0.5) -> str:
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered)
     verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered)
     two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
-    last = lambda n: f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+    last = lambda n: f"array_to_string(list_slice(string_split(name, '.'), -{n}, -1), '.')"
 
     def strength(level: str, key: str) -> str:
         return f"""(SELECT 1 / least(greatest(coalesce(CASE WHEN room > 1e-9 THEN spread / room END, 0.5), 0.01), 0.5) - 1
@@ -147,8 +154,8 @@ def oracle(z: float = 1.0, threshold: float = 0.5) -> str:
 WITH rest AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 judged AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS rule_verdict FROM split),
-hosts0 AS (SELECT host, count(rule_verdict) AS n, coalesce(sum(CASE rule_verdict WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END), 0) AS k FROM judged GROUP BY host),
-hosts AS (SELECT *, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM hosts0),
+hosts0 AS (SELECT host, regexp_replace(host, '{AROUND}', '', 'g') AS name, count(rule_verdict) AS n, coalesce(sum(CASE rule_verdict WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END), 0) AS k FROM judged GROUP BY host),
+hosts AS (SELECT *, CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM hosts0),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, 1 AS one, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
 whole AS (SELECT 1 AS one, (sum(k) + 0.5) / (sum(n) + 1.0) AS mean FROM suffixes),
