@@ -2,41 +2,66 @@
 
 A line is the set of its words ``[^\\x20\\x09-\\x0D]+``; lines are ordered by (doc_id, line number). A line
 is removed if an earlier line has a Jaccard similarity of at least ``threshold`` with it, judged on the
-input. Equal sets form one class that stands for all its lines; only classes are joined:
+input. Equal sets form one class that stands for all its lines; only the first lines of classes are joined:
 
 * words are ordered by rarity: a fixed-size table of counts over all documents, by hash bucket, gives each
   word a rank that is packed above its hash, so any two lines sort their shared words alike;
-* prefix filter: similar sets of size s share a word among their first s - ceil(threshold * s) + 1;
+* prefix filter: similar sets of size s share a word among their first s - ceil(threshold * s) + 1, and l words
+  among their first s - ceil(threshold * s) + l; a word that occurs once in all documents is shared by nobody;
 * length and positional filters bound the overlap that a shared prefix word still allows, and a parity
   bitmap of 64 or 128 bits bounds the difference of two sets from below;
-* a word in more than ``hot`` prefixes is joined as a pair with a second word of the prefix one longer:
-  similar sets share at least two words there, so no pair is lost and the long list is cut;
+* a word in more than ``crowd`` prefixes first offers its earliest line as a pivot to all its lines, which costs
+  one row each; lines that a pivot settles ask no more, as one earlier match is enough;
+* a key in more than ``hot`` prefixes is joined together with the next word of a prefix one longer, up to
+  ``LEVELS`` words, so no pair is lost and long lists are cut;
 * candidates are verified on the full word sets, read again for the lines that have candidates.
 
 Words are compared by 56 bits of XXH64, classes by two XXH64 values of their sorted words.
 
 Defined cases: a line without words is kept; null text stays null, empty text stays empty; a null doc_id
 counts as the smallest; lines with the same doc_id and number (repeated rows) are not earlier than each
-other; other columns of the rows are kept as they are.
+other; other columns of the rows are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.storage import materialize, release_shuffles, remove
+from patchloom.llm.columns import fresh
+from patchloom.storage import materialize, remove
 
 BUCKETS = 1 << 21
-SPACE = r"[\x20\x09-\x0D]+"
 BLANK = " \t\n\x0b\x0c\r"
+#: White space inside a line, other than the space itself.
+OTHER_BLANK = "\t\x0b\x0c\r"
+#: Words of a joined key, at most.
+LEVELS = 3
+#: Lines of more words get a parity bitmap of 128 bits instead of 64.
+LONG = 110
+LOWEST = -(1 << 63)
+HASH = (1 << 56) - 1
+#: Bits of a table of flags.
+FLAGS = 1 << 23
+#: Rows of a table that may be broadcast.
+FEW = 200_000
+
 
+def _spaced(text: Column) -> Column:
+    """Other white space inside lines as spaces; most texts have none and pass as they are."""
+    some = F.lit(False)
+    for c in OTHER_BLANK:
+        some = some | F.contains(text, F.lit(c))
+    return F.when(some, F.translate(text, OTHER_BLANK, " " * len(OTHER_BLANK))).otherwise(text)
 
-def _words(text: Column) -> Column:
-    return F.split(F.btrim(text, F.lit(BLANK)), SPACE)
+
+def _rank(count: float) -> int:
+    return min(127, math.floor(4 * math.log2(count)))
 
 
 def rarity_table(docs: DataFrame) -> DataFrame:
@@ -44,35 +69,57 @@ def rarity_table(docs: DataFrame) -> DataFrame:
 
     The table has a fixed size, so it may travel through the driver; it only orders words, and any order
     gives the same result."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     rank = F.least(F.lit(127), F.floor(4 * F.log2(F.count("*")))).cast("tinyint")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(rank.alias("r")).toArrow()
     table = np.zeros(BUCKETS, np.int8)
     table[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
-    return materialize(docs.sparkSession.createDataFrame([(bytearray(table.tobytes()),)], "ranks binary"), "word-ranks")
+    row = pa.ListArray.from_arrays(pa.array([0, BUCKETS], pa.int32()), pa.array(table))
+    return materialize(docs.sparkSession.createDataFrame(pa.table({"ranks": row})), "word-ranks")
+
+
+def _bucket(*key: str) -> Column:
+    return F.xxhash64(*key).bitwiseAND(F.lit(FLAGS - 1)).cast("int")
+
+
+def flag_table(buckets: DataFrame) -> DataFrame:
+    """One row ``flags``: ``FLAGS`` bits in longs, 1 for those in ``buckets`` (one int column).
+
+    Like the ranks it has a fixed size whatever the input, here 1 MB; a row whose bit is 0 is surely not in the set,
+    and only the others need an exact join, so most rows are never exchanged."""
+    at = F.col(buckets.columns[0])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)))
+    found = buckets.groupBy(F.shiftright(at, 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(FLAGS // 64, np.int64)
+    table[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    row = pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), pa.array(table))
+    return materialize(buckets.sparkSession.createDataFrame(pa.table({"flags": row})), "flags")
+
+
+def _split(rows: DataFrame, flags: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that may be in the flagged set and those that are not."""
+    told = rows.withColumn("_flags", flags.scalar())
+    hit = F.getbit(F.get("_flags", F.shiftright(_bucket(*key), 6)), _bucket(*key).bitwiseAND(F.lit(63))) == 1
+    return told.where(hit).drop("_flags"), told.where(~hit).drop("_flags")
 
 
 def with_word_set(lines: DataFrame, table: DataFrame) -> DataFrame:
     """Adds ``words``: the line's distinct words as sorted longs, rank above, 56 bits of hash below.
 
     The table is a scalar subquery; the optimizer moves it into the expression, rows never carry it."""
-    ranks = F.col("_ranks")
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)))
 
-    def pack(w: Column) -> Column:
-        h = F.xxhash64(w)
-        at = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
-        rank = F.ascii(F.substring(ranks, at, 1).cast("string")).cast("long")
-        return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    def pack(h: Column) -> Column:
+        rank = F.get(F.col("_ranks"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
 
-    packed = F.sort_array(F.transform(F.array_distinct(_words(F.col("line"))), pack))
-    return lines.withColumn("_ranks", table.scalar()).withColumn("words", packed).drop("_ranks")
+    return lines.withColumn("_ranks", table.scalar()).withColumn("words", F.sort_array(F.transform(hashes, pack))).drop("_ranks")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, text hash, line number, line) of every line that has a word."""
-    own = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
-    each = own.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.where(F.btrim("line", F.lit(BLANK)) != "")
+    """(doc, text hash, line number, line) of every line that has a word; the line's white space is spaces."""
+    own = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), _spaced(F.col("text")).alias("text"))
+    return own.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -80,13 +127,13 @@ def _ratio(threshold: float) -> tuple[int, int]:
     return part.numerator, part.denominator
 
 
-def _prefix(size: Column, threshold: float) -> Column:
+def _least_shared(size: Column, threshold: float) -> Column:
     a, b = _ratio(threshold)
-    return size - F.floor((size * a + b - 1) / b).cast("int") + 1
+    return F.floor((size * a + b - 1) / b).cast("int")
 
 
-#: Lines of more words get a parity bitmap of 128 bits instead of 64.
-LONG = 60
+def _prefix(size: Column, threshold: float) -> Column:
+    return size - _least_shared(size, threshold) + 1
 
 
 def _parity(words: Column) -> tuple[Column, Column]:
@@ -94,150 +141,192 @@ def _parity(words: Column) -> tuple[Column, Column]:
 
     128 bits in two longs; for a short set both halves are folded into the first and the second is 0."""
     zero = F.lit(0).cast("long")
-    at = lambda h: F.shiftright(h, 21)
-    flip = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), at(h).bitwiseAND(F.lit(63)).cast("int")))
-    side = lambda n: F.aggregate(F.filter(words, lambda h: at(h).bitwiseAND(F.lit(64)) == n), zero, flip)
+    flip = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+    side = lambda n: F.aggregate(F.filter(words, lambda h: h.bitwiseAND(F.lit(64)) == n), zero, flip)
     long = F.size(words) > LONG
     return F.when(long, side(0)).otherwise(F.aggregate(words, zero, flip)), F.when(long, side(64)).otherwise(zero)
 
 
-def _entries(classes: DataFrame, threshold: float) -> DataFrame:
-    """The prefix words of every class with its packed size, position and 16 bits of its hash."""
-    own = classes.where("size >= 2").withColumn("cid", F.pmod("c1", F.lit(65536)))
-    own = own.select("doc", "line_no", "cid", "size", "sig", "sig2", "prefix", F.posexplode(F.slice("prefix", 1, _prefix(F.col("size"), threshold))).alias("pos", "word"))
-    packed = F.shiftleft(F.col("size").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 16)).bitwiseOR(F.col("cid"))
-    return own.withColumn("spc", packed)
+#: What a key's row carries: the class, packed numbers, bitmap. The numbers are the size, the position and the step
+#: of the document on a scale of ``STEPS`` (an order of places that may tie), and whether the line still asks.
+SLIM = ("c1", "packed", "sig", "sig2")
+AT, SIZE, STEP, OPEN = 0, 22, 46, 1 << 60
+STEPS = 1 << 14
 
 
-SLIM = ("word", "doc", "line_no", "spc", "sig", "sig2")
-LOWEST = -(1 << 63)
+def _field(side: str, shift: int, bits: int) -> Column:
+    return F.shiftright(f"{side}.packed", shift).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _matches(xs: DataFrame, ys: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Pairs (later y, earlier x) of equal ``keys`` that the length, position and parity filters let pass."""
+def _entries(heads: DataFrame, threshold: float, low: int, high: int) -> DataFrame:
+    """The shared prefix words of every class head as ``k1``, with what :data:`SLIM` names and the place."""
+    step = F.floor((F.col("doc").cast("double") - F.lit(float(low))) / F.lit(float(max(1, high - low))) * F.lit(STEPS - 1)).cast("long")
+    open_ = F.when(F.col("open"), F.lit(OPEN)).otherwise(F.lit(0).cast("long"))
+    own = heads.select("doc", "line_no", "c1", "size", "sig", "sig2", "prefix", "open", F.posexplode(F.slice("prefix", 1, _prefix(F.col("size"), threshold))).alias("at", "k1"))
+    packed = open_.bitwiseOR(F.shiftleft(F.coalesce(step, F.lit(0)), STEP)).bitwiseOR(F.shiftleft(F.col("size").cast("long"), SIZE)).bitwiseOR(F.col("at").cast("long"))
+    return own.where(F.col("k1") > HASH).withColumn("packed", packed)  # rank 0: one occurrence in all documents
+
+
+def _alike(threshold: float) -> Column:
+    """Whether the sets of rows ``x`` and ``y`` of one key may be similar."""
     a, b = _ratio(threshold)
-    size = lambda side: F.shiftright(f"{side}.spc", 40)
-    pos = lambda side: F.shiftright(f"{side}.spc", 16).bitwiseAND(F.lit(0xFFFFFF))
-    x, y = xs.alias("x"), ys.alias("y")
-    same = None
-    for k in keys:
-        same = (F.col(f"x.{k}") == F.col(f"y.{k}")) if same is None else same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-    earlier = (F.coalesce(F.col("x.doc"), F.lit(LOWEST)) < F.coalesce(F.col("y.doc"), F.lit(LOWEST))) | (F.col("x.doc").eqNullSafe(F.col("y.doc")) & (F.col("x.line_no") < F.col("y.line_no")))
+    size, pos = (lambda side: _field(side, SIZE, 24)), (lambda side: _field(side, AT, 22))
     length = (size("x") * b >= size("y") * a) & (size("y") * b >= size("x") * a)
     most = F.least(pos("x"), pos("y")) + F.least(size("x") - pos("x"), size("y") - pos("y"))
     enough = most * (a + b) >= (size("x") + size("y")) * a
-    low, high = F.col("x.sig").bitwiseXOR(F.col("y.sig")), F.col("x.sig2").bitwiseXOR(F.col("y.sig2"))
+    one, two = F.col("x.sig").bitwiseXOR(F.col("y.sig")), F.col("x.sig2").bitwiseXOR(F.col("y.sig2"))
     folded = (F.col("x.sig2") == 0) | (F.col("y.sig2") == 0)
-    bits = F.when(folded, F.bit_count(low.bitwiseXOR(high))).otherwise(F.bit_count(low) + F.bit_count(high))
-    apart = bits * (a + b) <= (size("x") + size("y")) * (b - a)
-    found = x.join(y, same & apart & earlier & length & enough)
-    return found.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "yx" for c in ("doc", "line_no")], *[F.col(f"{s}.spc").bitwiseAND(F.lit(65535)).alias(f"cid_{s}") for s in "yx"])
-
-
-def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """``ldoc, lline, lcid``: the later classes of the pairs whose word sets are similar; a table."""
-    places = pairs.select(F.col("doc_y").alias("pdoc"), F.col("line_no_y").alias("pline")).union(pairs.select("doc_x", "line_no_x")).distinct()
-    places = materialize(places, "line-places")
-    wanted = _lines(docs).join(_small(places, places.count(), 1_000_000), F.col("doc").eqNullSafe(F.col("pdoc")) & (F.col("line_no") == F.col("pline")), "left_semi")
-    sets = with_word_set(wanted.select("doc", "line_no", "line"), table)
-    sets = materialize(sets.select("doc", "line_no", "words", F.pmod(F.xxhash64("words"), F.lit(65536)).alias("cid")).distinct(), "line-sets")
-    at = lambda side: sets.select(*[F.col(c).alias(f"{c}_{side}{side}") for c in ("doc", "line_no", "cid", "words")])
-    on = lambda s: (F.col(f"cid_{s}") == F.col(f"cid_{s}{s}")) & (F.col(f"line_no_{s}") == F.col(f"line_no_{s}{s}")) & F.col(f"doc_{s}").eqNullSafe(F.col(f"doc_{s}{s}"))
+    bits = F.when(folded, F.bit_count(one.bitwiseXOR(two))).otherwise(F.bit_count(one) + F.bit_count(two))
+    return (bits * (a + b) <= (size("x") + size("y")) * (b - a)) & length & enough
+
+
+def _matches(rows: DataFrame, keys: list[str], threshold: float, bounded: bool) -> DataFrame:
+    """``a, b``: pairs of classes of equal ``keys`` that the filters let pass, once, if the later may still ask.
+
+    Both sides are one exchange. Lists of bounded length are looked up in a hash table, others are merged."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    rows = rows.select(*keys, *SLIM)
+    step = lambda side: _field(side, STEP, 14)
+    asks = lambda side: F.col(f"{side}.packed") >= OPEN
+    wanted = (asks("y") & (step("x") <= step("y"))) | (asks("x") & (step("y") <= step("x")))
+    y = rows.alias("y")
+    found = rows.alias("x").join(y.hint("shuffle_hash") if bounded else y, same & (F.col("x.c1") < F.col("y.c1")) & _alike(threshold) & wanted)
+    return found.select(F.col("x.c1").alias("a"), F.col("y.c1").alias("b"))
+
+
+def _at(place: str) -> Column:
+    return F.col("doc").eqNullSafe(F.col(f"{place}doc")) & (F.col("line_no") == F.col(f"{place}line")) & (F.col("c1") == F.col(f"{place}c1"))
+
+
+def _verified(docs: DataFrame, table: DataFrame, heads: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``ldoc, lline, lc1``: the later classes of the pairs whose word sets are similar; a table.
+
+    The word sets are read again for the lines whose place is flagged; a line that is flagged by chance matches no
+    pair, or is a later copy of a class, whose place no class head has."""
+    named = materialize(pairs.select(F.col("a").alias("n1")).union(pairs.select("b")).distinct(), "line-names")
+    names = flag_table(named.select(_bucket("n1")))
+    maybe, _ = _split(heads.select("doc", "line_no", "c1"), names, "c1")
+    places = flag_table(maybe.select(F.explode(F.array(_bucket("doc"), _bucket("doc", "line_no")))))
+    near, _ = _split(docs.withColumnRenamed("doc_id", "doc"), places, "doc")
+    lines, _ = _split(_lines(near.withColumnRenamed("doc", "doc_id")), places, "doc", "line_no")
+    sets = with_word_set(lines.select("doc", "line_no", "line"), table).select("doc", "line_no", F.xxhash64("words").alias("c1"), "words")
+    sets, _ = _split(sets, names, "c1")
+    sets = materialize(sets, "line-sets")
+    own = lambda s: sets.select(*[F.col(c).alias(f"{s}{c}") for c in ("doc", "line_no", "c1", "words")])
     a, b = _ratio(threshold)
-    both = pairs.join(at("y"), on("y")).join(at("x"), on("x"))
-    shared = F.size(F.array_intersect("words_yy", "words_xx"))
-    similar = both.where(shared * (a + b) >= (F.size("words_yy") + F.size("words_xx")) * a)
-    later = materialize(similar.select(F.col("doc_y").alias("ldoc"), F.col("line_no_y").alias("lline"), F.col("cid_y").alias("lcid")).distinct(), "later-lines")
-    remove(places, sets)
+    both = pairs.join(own("x"), F.col("a") == F.col("xc1")).join(own("y"), F.col("b") == F.col("yc1"))
+    shared = F.size(F.array_intersect("ywords", "xwords"))
+    similar = both.where(shared * (a + b) >= (F.size("ywords") + F.size("xwords")) * a)
+    low = lambda s: F.coalesce(F.col(f"{s}doc"), F.lit(LOWEST))
+    after = lambda s, o: (low(s) > low(o)) | (F.col(f"{s}doc").eqNullSafe(F.col(f"{o}doc")) & (F.col(f"{s}line_no") > F.col(f"{o}line_no")))
+    pick = lambda s: F.struct(F.col(f"{s}doc").alias("ldoc"), F.col(f"{s}line_no").alias("lline"), F.col(f"{s}c1").alias("lc1"))
+    later = similar.select(F.when(after("y", "x"), pick("y")).when(after("x", "y"), pick("x")).alias("l")).where("l IS NOT NULL").select("l.*")
+    later = materialize(later.distinct(), "later-lines")
+    remove(named, sets)
     return later
 
 
-def _later_classes(docs: DataFrame, table: DataFrame, classes: DataFrame, threshold: float, hot: int, crowd: int) -> DataFrame:
-    """``ldoc, lline, lcid`` of every class that an earlier class resembles.
-
-    One earlier match is enough, so a crowd of variants of one line need not be paired with itself: the
-    words of more than ``crowd`` prefixes first offer the classes of their smallest doc_id as pivots, which
-    costs one row for each of their entries. Only the classes that no pivot settles are joined in full,
-    against all earlier ones."""
-    entries = _entries(classes, threshold)
-    words = entries.groupBy("word").agg(F.count("*").alias("n"), F.min(F.coalesce("doc", F.lit(LOWEST))).alias("low"))
-    words = materialize(words.where(F.col("n") > crowd).select(F.col("word").alias("w"), "n", "low"), "crowded-words")
+def _later_classes(docs: DataFrame, table: DataFrame, heads: DataFrame, threshold: float, hot: int, crowd: int, low: int, high: int) -> DataFrame:
+    """``ldoc, lline, lc1`` of every class that an earlier class resembles."""
+    entries = _entries(heads.withColumn("open", F.lit(True)), threshold, low, high)
+    common = entries.where(F.col("k1") >= F.lit(_rank(crowd + 1) << 56))  # a word is in no more prefixes than texts have it
+    pivot = F.min(F.struct(F.coalesce("doc", F.lit(LOWEST)).alias("low"), "line_no", *SLIM)).alias("x")
+    words = materialize(common.groupBy("k1").agg(F.count("*").alias("n"), pivot).where(F.col("n") > crowd).select(F.col("k1").alias("w"), "n", "x"), "crowded-words")
     n_words = words.count()
     settled = None
     if n_words:
-        crowded = entries.select(*SLIM).join(_small(words.select("w", "low"), n_words), F.col("word") == F.col("w"))
-        pivots = crowded.where(F.coalesce("doc", F.lit(LOWEST)) == F.col("low"))
-        offered = materialize(_matches(pivots.select(*SLIM), crowded.select(*SLIM), ["word"], threshold).distinct(), "pivot-candidates")
-        settled = _verified(docs, table, offered, threshold)
+        offered = common.select("k1", F.struct(*SLIM).alias("y")).join(_small(words.select("w", "x"), n_words), F.col("k1") == F.col("w"))
+        offered = offered.where((F.col("x.c1") != F.col("y.c1")) & _alike(threshold)).select(F.col("x.c1").alias("a"), F.col("y.c1").alias("b"))
+        offered = materialize(offered.distinct(), "pivot-candidates")
+        settled = _verified(docs, table, heads, offered, threshold)
         remove(offered)
-        release_shuffles(docs.sparkSession)
-    common = words.where(F.col("n") > hot).select(F.col("w").alias("hot_word"))
-    n_hot = common.count() if n_words else 0
-
-    def open_(rows: DataFrame) -> DataFrame:
-        if settled is None:
-            return rows
-        same = F.col("doc").eqNullSafe(F.col("ldoc")) & (F.col("line_no") == F.col("lline")) & (F.col("spc").bitwiseAND(F.lit(65535)) == F.col("lcid"))
-        return rows.join(_small(settled, settled.count()), same, "left_anti")
-
-    slim = entries.select(*SLIM)
-    if n_hot:
-        single = slim.join(_small(common, n_hot), F.col("word") == F.col("hot_word"), "left_anti")
-        longer = entries.join(_small(common, n_hot), F.col("word") == F.col("hot_word")).where("size >= 4")
-        longer = longer.select(*SLIM, F.explode(F.slice("prefix", F.col("pos") + 2, F.size("prefix"))).alias("second"))
-        found = _matches(single, open_(single), ["word"], threshold).unionByName(_matches(longer, open_(longer), ["word", "second"], threshold))
-    else:
-        found = _matches(slim, open_(slim), ["word"], threshold)
-    pairs = materialize(found.distinct(), "line-candidates")
-    release_shuffles(docs.sparkSession)
-    later = _verified(docs, table, pairs, threshold)
-    remove(pairs)
+        maybe, sure = _split(heads, flag_table(settled.select(_bucket("lc1"))), "c1")
+        maybe = maybe.join(_small(settled, settled.count()), _at("l"), "left").withColumn("open", F.col("lc1").isNull()).drop("ldoc", "lline", "lc1")
+        marked = maybe.unionByName(sure.withColumn("open", F.lit(True)))
+        entries = _entries(marked, threshold, low, high)
+    busy = words.where(F.col("n") > hot).select(F.col("w").alias("h1"))
+    rows, found, level = entries, [], 1
+    while True:
+        keys = [f"k{i}" for i in range(1, level + 1)]
+        n_busy = busy.count() if n_words else 0
+        if not n_busy or level == LEVELS:
+            found.append(_matches(rows, keys, threshold, not n_busy and crowd <= hot))
+            break
+        same = F.lit(True)
+        for i in range(1, level + 1):
+            same = same & (F.col(f"k{i}") == F.col(f"h{i}"))
+        told = rows.join(_small(busy.withColumn("h0", F.lit(1)), n_busy), same, "left")
+        # sets that may share no more words than the key has stay under it as well
+        few = _least_shared(F.col("size"), threshold) <= level
+        found.append(_matches(told.where(F.col("h0").isNull() | few), keys, threshold, False))
+        more = told.where("h0 IS NOT NULL").drop("h0", *[f"h{i}" for i in range(1, level + 1)])
+        rest = F.slice("prefix", F.col("at") + 2, F.greatest(_prefix(F.col("size"), threshold) + level - F.col("at") - 1, F.lit(0)))
+        ahead = more.select(*SLIM, "size", "prefix", F.col("at").alias("base"), *keys, F.posexplode(rest).alias("step", f"k{level + 1}"))
+        rows = ahead.withColumn("at", F.col("base") + 1 + F.col("step")).drop("base", "step").where(F.col(f"k{level + 1}") > HASH)
+        level += 1
+        if level < LEVELS:
+            counted = rows.groupBy(*[f"k{i}" for i in range(1, level + 1)]).agg(F.count("*").alias("n")).where(F.col("n") > hot)
+            busy = materialize(counted.select(*[F.col(f"k{i}").alias(f"h{i}") for i in range(1, level + 1)]), "crowded-keys")
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = materialize(pairs.distinct(), "line-candidates")
+    later = _verified(docs, table, heads, pairs, threshold)
+    remove(pairs, words)
     return later if settled is None else later.unionByName(settled).distinct()
 
 
-def _small(table: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
+def _small(table: DataFrame, rows: int, most: int = FEW) -> DataFrame:
     """Broadcast only a table whose counted rows are few; any other is joined by a shuffle."""
     return F.broadcast(table) if rows <= most else table
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000, crowd: int = 250) -> DataFrame:
-    """``doc, th, removed``: for each document (id and text hash) the numbers of its removed lines; a table."""
-    spark = docs.sparkSession
+def kept_lines(docs: DataFrame, threshold: float = 0.8, hot: int = 2000, crowd: int = 250) -> DataFrame:
+    """``doc, th, kept``: for each document (id and text hash) the numbers of its lines with words that stay; a table."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     table = rarity_table(docs)
     words = F.col("words")
-    lines = with_word_set(_lines(docs), table)
-    longest = _prefix(F.size(words), threshold) + 1  # one more than the prefix, for hot words
-    lines = lines.select("doc", "th", "line_no", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2"), F.size("words").alias("size"), _parity(words)[0].alias("sig"), _parity(words)[1].alias("sig2"), F.slice("words", 1, longest).alias("prefix"))
-    wide = materialize(lines, "lines")
-    first = F.min(F.struct("doc", "line_no", "size", "sig", "sig2", "prefix")).alias("first")
-    classes = materialize(wide.groupBy("c1", "c2").agg(first).select("c1", "c2", "first.*"), "line-classes")
-    lines = materialize(wide.select("doc", "th", "line_no", "c1", "c2"), "line-places")
-    remove(wide)
-    release_shuffles(spark)
-    later = _later_classes(docs, table, classes, threshold, hot, crowd)
-    on_class = F.col("doc").eqNullSafe(F.col("ldoc")) & (F.col("line_no") == F.col("lline")) & (F.pmod("c1", F.lit(65536)) == F.col("lcid"))
-    kept = classes.join(later, on_class, "left_anti").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("doc").alias("kdoc"), F.col("line_no").alias("kline"))
-    kept = materialize(kept, "kept-classes")
-    stays = (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & F.col("doc").eqNullSafe(F.col("kdoc")) & (F.col("line_no") == F.col("kline"))
-    gone = lines.select("doc", "th", "line_no", "c1", "c2").join(kept, stays, "left_anti")
-    gone = materialize(gone.groupBy("doc", "th").agg(F.collect_set("line_no").alias("removed")), "removed-lines")
-    release_shuffles(spark)
-    remove(lines, classes, kept)
-    return gone
+    longest = _prefix(F.size(words), threshold) + LEVELS - 1  # one more for each further word of a key
+    parity = _parity(words)
+    lines = with_word_set(_lines(docs), table).select("doc", "th", "line_no", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2"), F.size("words").alias("size"), parity[0].alias("sig"), parity[1].alias("sig2"), F.slice("words", 1, longest).alias("prefix"))
+    lines = materialize(lines, "lines")
+    classes = lines.groupBy("c1", "c2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    classes = materialize(classes.select(F.col("c1").alias("m1"), F.col("c2").alias("m2"), F.col("first.doc").alias("mdoc"), F.col("first.line_no").alias("mline"), "n"), "line-classes")
+    several, repeats = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    maybe, sure = _split(lines, flag_table(classes.select(_bucket("m1"))), "c1")
+    joined = maybe.join(_small(classes, several), (F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2")), "left")
+    first = joined.where(F.col("m1").isNull() | (F.col("doc").eqNullSafe(F.col("mdoc")) & (F.col("line_no") == F.col("mline")))).drop("m1", "m2", "mdoc", "mline", "n")
+    heads, n_lines = materialize(first.unionByName(sure), "line-heads"), lines.count()
+    remove(lines)
+    n_heads, low, high = heads.agg(F.count("*"), F.coalesce(F.min("doc"), F.lit(0)), F.coalesce(F.max("doc"), F.lit(0))).first()
+    repeated = n_heads > n_lines - repeats + several  # rows of one doc_id that have the same line
+    own = heads.dropDuplicates(["c1", "c2"]) if repeated else heads
+    later = _later_classes(docs, table, own, threshold, hot, crowd, low, high)
+    kept = heads.join(_small(later, later.count()), _at("l"), "left_anti")
+    kept = materialize(kept.groupBy("doc", "th").agg(F.collect_set("line_no").alias("kept")), "kept-lines")
+    remove(heads, classes)
+    return kept
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, hot: int = 2000, crowd: int = 250) -> DataFrame:
-    """``docs`` with the removed lines cut from ``text`` and ``_lines``, ``_removed`` counts added."""
-    gone = removed_lines(docs, threshold, hot, crowd).withColumnsRenamed({"doc": "_doc", "th": "_th", "removed": "_gone"})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th"))
-    joined = docs.join(gone, same, "left")
+    """``docs`` with the removed lines cut from ``text``, and the counts ``_lines`` and ``_removed`` added.
+
+    A count whose name ``docs`` has already gets underscores at the end."""
+    doc, th, own, left, lines, removed = fresh(docs, "_doc", "_th", "_kept", "_left", "_lines", "_removed")
+    kept = kept_lines(docs, threshold, hot, crowd).withColumnsRenamed({"doc": doc, "th": th, "kept": own})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th))
     parts = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    counted = joined.withColumns({"_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    counted = counted.withColumn("_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("_lines"))).withColumn("_removed", F.greatest("_removed", F.lit(0).cast("long")))
-    return counted.withColumn("text", text).select(*docs.columns, "_lines", "_removed")
+    blank = F.array_compact(F.transform(parts, lambda x, i: F.when(F.btrim(x, F.lit(BLANK)) == "", i)))
+    stays = F.array_intersect(F.sequence(F.lit(0), F.size(parts) - 1), F.array_union(F.coalesce(own, F.array().cast("array<int>")), blank))
+    joined = docs.join(kept, same, "left").withColumn(left, stays)
+    count = lambda c: F.coalesce(F.when(F.col("text").isNotNull(), c), F.lit(0)).cast("long")
+    counted = joined.withColumns({lines: count(F.size(parts)), removed: count(F.size(parts) - F.size(left))})
+    # the lines are bound once, as the variable of an outer function, and not cut again for every line
+    held = F.array(F.struct(parts.alias("parts"), F.col(left).alias("left")))
+    text = F.get(F.transform(held, lambda h: F.array_join(F.transform(h["left"], lambda i: F.get(h["parts"], i)), "\n")), F.lit(0))
+    return counted.withColumn("text", F.when(F.col(removed) == 0, F.col("text")).otherwise(text)).select(*docs.columns, lines, removed)
 
 
 def line_digests(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
