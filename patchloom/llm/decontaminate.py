@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.llm.columns import fresh
 from patchloom.storage import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -91,16 +92,21 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
     """``doc_id, th, item_id, n_windows, n_matched, coverage`` of every contaminated document (a table)."""
     items = materialize(item_windows(benchmark, window), "item-windows")
-    if items.count() <= broadcast_rows:
-        items = F.broadcast(items)
+    few = items.count() <= broadcast_rows
     items = items.withColumnsRenamed({"key": "item_key", "reading": "item_reading"})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").select("doc_id", "text", _words(template(F.col("text"))).alias("words"), _words(template(F.col("text"), True)).alias("wide_words"))
-    read_alike = (F.col("reading") == BOTH) | (F.col("reading") == F.col("item_reading"))
-    hits = _windows(rows, window, "doc_id", "text").join(items, (F.col("key") == F.col("item_key")) & read_alike)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").withColumn("th", F.xxhash64("text"))
+    rows = own.select("doc_id", "th", "text", _words(template(F.col("text"))).alias("words"), _words(template(F.col("text"), True)).alias("wide_words"))
+    read_alike = (F.col("key") == F.col("item_key")) & ((F.col("reading") == BOTH) | (F.col("reading") == F.col("item_reading")))
+    if few:  # the windows stay where they are, with their text
+        hits = _windows(rows, window, "doc_id", "th", "text").join(F.broadcast(items), read_alike)
+    else:  # only keys and places are exchanged; the texts of documents with a hit are fetched after
+        found = _windows(rows, window, "doc_id", "th").select("doc_id", "th", "pos", "reading", "key").join(items, read_alike)
+        texts = own.select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), "text").dropDuplicates(["own_id", "own_th"])
+        hits = found.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th")))
     doc_words = F.slice(_words(F.btrim("text", F.lit(BLANK))), F.col("pos"), window)
     pairs = F.transform("slots", lambda i: F.struct(F.get("item_words", i).alias("iv"), F.get(doc_words, i).alias("dv")))
     hits = hits.select(
-        "doc_id", F.xxhash64("text").alias("th"), "item_id", "item_text", "item_reading", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
+        "doc_id", "th", "item_id", "item_text", "item_reading", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
         F.when(F.size("slots") > 0, pairs).otherwise(F.array().cast("array<struct<iv: string, dv: string>>")).alias("pairs"),
     )
     # an alignment holds at most one row for each window of the item, a document at most its own length
@@ -115,11 +121,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 5, simila
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, similarity: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """The rows of ``docs`` (all columns) that no item contaminates."""
-    bad = contamination(docs, benchmark, window, similarity).select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_th")).distinct()
+    own_id, own_text = fresh(docs, "_id", "_text_hash")
+    bad = contamination(docs, benchmark, window, similarity).select(F.col("doc_id").alias(own_id), F.col("th").alias(own_text)).distinct()
     bad = materialize(bad, "contaminated")
     if bad.count() <= broadcast_rows:
         bad = F.broadcast(bad)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_th"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_text))
     return docs.join(bad, same, "left_anti")
 
 

@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.llm.columns import fresh
 from patchloom.llm.components import components
-from patchloom.storage import materialize, remove
+from patchloom.storage import materialize
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -162,7 +163,7 @@ def links(fps: DataFrame, radius: int = 3, bucket_limit: int = 4096) -> DataFram
         rows = left.select("fp", F.explode(keys).alias(f"m{blocks}")).select(f"m{blocks}.v", f"m{blocks}.key", "fp").distinct()
         counts = rows.groupBy("v", "key").count().where("count > 1").withColumnsRenamed({"v": "bv", "key": "bkey"})
         cut = materialize(rows.join(counts, (F.col("v") == F.col("bv")) & (F.col("key") == F.col("bkey"))).select("v", "key", "fp", F.col("count").alias("n")), "buckets")
-        # after the second cut at most 2^(two fifths of half the free bits) fingerprints can share a bucket
+        # after the second cut at most 2^(two fifths of what the first cut left free) fingerprints can share a bucket
         parts.append(cut.where(F.col("n") <= bucket_limit) if blocks == 6 else cut)
         left = cut.where(F.col("n") > bucket_limit)
         numbers = {v: fresh[v] for v in sorted(r[0] for r in left.select("v").distinct().collect())} if blocks == 6 and not left.isEmpty() else {}
@@ -200,8 +201,9 @@ def one_per_class(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFra
     # the smallest row of each fingerprint first, so that a class is never gathered
     rank = lambda d, t: F.struct(F.col(d).isNull().alias("n"), F.col(d).alias("d"), F.coalesce(F.col(t), F.lit(0)).alias("t"))
     firsts = prints.groupBy("fp").agg(F.min(rank("doc_id", "th")).alias("r"))
-    stays = firsts.join(named, F.col("fp") == F.col("cfp")).groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.d").alias("_d"), F.col("r.t").alias("_t"))
+    own_id, own_text = fresh(docs, "_id", "_text_hash")
+    stays = firsts.join(named, F.col("fp") == F.col("cfp")).groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.d").alias(own_id), F.col("r.t").alias(own_text))
     stays = materialize(stays.distinct(), "class-heads")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_t"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col(own_text))
     kept = docs.join(stays, same, "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
