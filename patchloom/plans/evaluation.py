@@ -311,13 +311,13 @@ def _pom(i: int) -> str:
     return f"CASE p_partkey % {len(POMS)} {' '.join(f'WHEN {n} THEN {row[i]}' for n, row in enumerate(POMS))} END"
 
 
-@query(f"WITH v AS (SELECT p_partkey, CAST({_pom(1)} AS INTEGER) AS java_version FROM part) SELECT p_partkey, java_version, CASE WHEN java_version <= 8 THEN '/jdk8' WHEN java_version <= 11 THEN '/jdk11' WHEN java_version <= 17 THEN '/jdk17' ELSE '/jdk11' END AS java_home FROM v")
+@query(f"WITH v AS (SELECT p_partkey, CAST({_pom(1)} AS INTEGER) AS java_version FROM part) SELECT p_partkey, coalesce(java_version, -1) AS java_version, CASE WHEN java_version <= 8 THEN '/jdk8' WHEN java_version <= 11 THEN '/jdk11' WHEN java_version <= 17 THEN '/jdk17' ELSE '/jdk11' END AS java_home FROM v")
 def java_versions(spark, d):
     """Project files with a namespace and settings in five places; the home that serves them."""
     head = F.lit('<?xml version="1.0"?><project xmlns="http://maven.apache.org/POM/4.0.0">')
     poms = table(spark, d, "part").select("p_partkey", F.concat(head, F.expr(_pom(0)), F.lit("</project>")).alias("pom"))
     homes = java.java_homes(F.lit('{"8": "/jdk8", "11": "/jdk11", "17": "/jdk17"}'))
-    return java.with_home(poms, "pom", homes).select("p_partkey", "java_version", "java_home")
+    return java.with_home(poms, "pom", homes).select("p_partkey", F.coalesce("java_version", F.lit(-1)).alias("java_version"), "java_home")
 
 
 @query("""SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - (CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END) END AS BIGINT) AS n_lines, CAST(len(string_split(substr(text, 1, 100), chr(10))) AS BIGINT) AS line_at,
