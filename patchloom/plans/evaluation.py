@@ -300,7 +300,7 @@ def apply_patch(spark, d):
 
 POMS = (
     ("'<properties><java.version>' || p_size || '</java.version></properties>'", "p_size"),
-    ("'<properties><jv>1.' || (p_size % 9) || '</jv></properties><build><plugins><plugin><artifactId>maven-compiler-plugin</artifactId><configuration><source>${jv}</source></configuration></plugin></plugins></build>'", "p_size % 9"),
+    ("'<properties><jv>1.' || (p_size % 9) || '</jv></properties><build><plugins><plugin><artifactId>maven-compiler-plugin</artifactId><configuration><source>' || '$' || '{jv}</source></configuration></plugin></plugins></build>'", "p_size % 9"),
     ("'<properties><java.version>5</java.version></properties><build><plugins><plugin><artifactId>maven-compiler-plugin</artifactId><configuration><release>' || p_size || '</release><source>99</source></configuration></plugin></plugins></build>'", "p_size"),
     ("'<build><plugins><plugin><artifactId>maven-enforcer-plugin</artifactId><executions><execution><configuration><rules><requireJavaVersion><version>[' || p_size || ',)</version></requireJavaVersion></rules></configuration></execution></executions></plugin></plugins></build>'", "p_size"),
     ("'<properties><java.version>x</java.version></properties>'", "NULL"),
