@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from patchloom.llm import bpe, decontaminate, exact_topk, line_dedup, quality, simhash, substring_dedup, toxicity, url_reputation, warc
+from patchloom.llm import bpe, decontaminate, exact_topk, fill_in_middle, line_dedup, merkle, quality, sharding, simhash, substring_dedup, toxicity, url_reputation, warc
 
 
 def _table(name):
@@ -54,6 +54,18 @@ def op10_url_reputation(spark, sf_dir):
     return url_reputation.url_filter(pages(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_simhash, op4_quality, op5_decontaminate, op6_substring_dedup, op7_line_dedup, op8_toxicity, op9_exact_topk, op10_url_reputation)}
+def op11_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.fill_in_middle(documents(spark, sf_dir), ("output_sha256", "restored_sha256"))
 
-ORACLE_SQL = {"op2_warc": warc.oracle(), "op5_decontaminate": decontaminate.oracle(), "op6_substring_dedup": substring_dedup.oracle(), "op7_line_dedup": line_dedup.oracle(), "op9_exact_topk": exact_topk.oracle(), "op10_url_reputation": url_reputation.oracle()}
+
+def op12_sharding(spark, sf_dir):
+    return sharding.shard_slots(documents(spark, sf_dir))
+
+
+def op13_merkle(spark, sf_dir):
+    return merkle.document_manifest(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_simhash, op4_quality, op5_decontaminate, op6_substring_dedup, op7_line_dedup, op8_toxicity, op9_exact_topk, op10_url_reputation, op11_fill_in_middle, op12_sharding, op13_merkle)}
+
+ORACLE_SQL = {"op2_warc": warc.oracle(), "op5_decontaminate": decontaminate.oracle(), "op6_substring_dedup": substring_dedup.oracle(), "op7_line_dedup": line_dedup.oracle(), "op9_exact_topk": exact_topk.oracle(), "op10_url_reputation": url_reputation.oracle(), "op11_fill_in_middle": fill_in_middle.oracle(), "op12_sharding": sharding.oracle(), "op13_merkle": merkle.oracle()}
