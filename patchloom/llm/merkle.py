@@ -169,9 +169,10 @@ def _down(layers: list[DataFrame], above: DataFrame, fanout: int, levels: int) -
     return above
 
 
+STEP = pa.struct([("left", pa.string()), ("right", pa.string())])
 PROOFS = {
-    "proof_sha256": ("string", lambda path: hashlib.sha256(b"".join(x + y for x, y in path)).hexdigest()),
-    "proof": ("array<struct<left: string, right: string>>", lambda path: [{"left": x.decode(), "right": y.decode()} for x, y in path]),
+    "proof_sha256": ("string", pa.string(), lambda path: hashlib.sha256(b"".join(x + y for x, y in path)).hexdigest()),
+    "proof": ("array<struct<left: string, right: string>>", pa.list_(STEP), lambda path: [{"left": x.decode(), "right": y.decode()} for x, y in path]),
 }
 
 
@@ -202,7 +203,7 @@ def manifest(docs: DataFrame, group: str, order: str, fields: list[str], changed
     block_paths = _down(layers, group_paths, fanout, levels).join(subs, F.col("g") == F.col("sg")).select("g", "place", "lefts", "rights", "subroot")
     root = above[-1].first()
     block_paths = block_paths.withColumn("root", F.lit(root and root["digest"]))
-    kind, make = PROOFS[proof]
+    kind, arrow, make = PROOFS[proof]
 
     def run(key, table, upper):
         table = table.sort_by("place")
@@ -216,7 +217,7 @@ def manifest(docs: DataFrame, group: str, order: str, fields: list[str], changed
                 tops[top] = climb_path(top, path_above).decode()
             folded.append(tops[top])
         size = len(folded)
-        columns = [table.column("k"), table.column("digest"), [subroot] * size, [root] * size, proofs, folded, [x == root for x in folded]]
+        columns = [table.column("k"), table.column("digest"), [subroot] * size, [root] * size, pa.array(proofs, arrow), folded, [x == root for x in folded]]
         return pa.table(columns, names=[order, "leaf", "subroot", "root", proof, "folded_root", "verified"])
 
     schema = f"`{order}` long, leaf string, subroot string, root string, {proof} {kind}, folded_root string, verified boolean"
