@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchloom.plans import changes, evaluation, relational, textual, versions  # noqa: F401  (each registers its queries)
+from patchloom.plans import changes, evaluation, relational, structure, textual, versions  # noqa: F401  (each registers its queries)
 from patchloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 

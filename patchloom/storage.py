@@ -49,14 +49,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to shared storage and read back with the same schema; its shuffle files go at once."""
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """``df`` written once to shared storage and read back with the same schema; its shuffle files go at once.
+
+    ``by`` names a column with few values, whose rows get a folder each, so that a filter on it reads only those."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
