@@ -4,43 +4,44 @@ All are pure and per value, so a repeated task gives the same rows. Text in quot
 padding and comment removal.
 """
 
-import difflib
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from patchloom.functions.differences import DELETE, INSERT, blank_tokens, script
 from patchloom.functions.edits import END, FORMS, decode, edit_sequence
 from patchloom.functions.edits import apply as apply_edit_sequence
 from patchloom.functions.padding import pad_code, strip_comments
 
 
 def word_diff(a: str | None, b: str | None) -> list[tuple[int, str]]:
-    """(-1 deleted, 0 kept, 1 inserted; words) in order, over blank-separated words."""
-    x, y = (a or "").split(), (b or "").split()
-    out = []
-    for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-        if op == "equal":
-            out.append((0, " ".join(x[i:j])))
-            continue
-        if j > i:
-            out.append((-1, " ".join(x[i:j])))
-        if m > k:
-            out.append((1, " ".join(y[k:m])))
-    return out
+    """(-1 deleted, 0 kept, 1 inserted; text) in order, over words with the blank that follows them; pieces of white space
+    alone are left out."""
+    pieces = ((op, "".join(words)) for op, words in script(blank_tokens(a or ""), blank_tokens(b or "")))
+    return [(op, text) for op, text in pieces if not text.isspace()]
 
 
 def line_hunks(before: str | None, after: str | None) -> list[dict]:
     """Hunks of a line diff: type, and the deleted and added non-blank lines with 0-based numbers."""
     x, y = ((t or "").split("\n") if t else [] for t in (before, after))
-    out = []
-    for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-        if op == "equal":
-            continue
-        source = [{"line": t.strip(), "type": "DELETE", "lineNo": n} for n, t in enumerate(x[i:j], i) if t.strip()]
-        target = [{"line": t.strip(), "type": "ADD", "lineNo": n} for n, t in enumerate(y[k:m], k) if t.strip()]
+    out, i, k, source = [], 0, 0, []
+    rows = lambda lines, kind, start: [{"line": t.strip(), "type": kind, "lineNo": n} for n, t in enumerate(lines, start) if t.strip()]
+
+    def close(target):
         if source or target:
             out.append({"type": "MODIFY" if source and target else "DELETE" if source else "ADD", "sourceChanges": source, "targetChanges": target})
+
+    for op, lines in script(x, y):
+        if op == DELETE:
+            source, i = rows(lines, "DELETE", i), i + len(lines)
+        elif op == INSERT:
+            close(rows(lines, "ADD", k))
+            source, k = [], k + len(lines)
+        else:
+            close([])
+            source, i, k = [], i + len(lines), k + len(lines)
+    close([])
     return out
 
 

@@ -99,7 +99,7 @@ def hunk_documents(changes: DataFrame, encoder: Encoder, methods: DataFrame | No
     typed = typed.where(~preparation.is_empty_hunk(F.col("hunk")))
     flat = typed.withColumns({"s": C.padded(F.array_join("source", " ")), "t": C.padded(F.array_join("target", " "))}).where(metrics.tokens(F.col("s")) != metrics.tokens(F.col("t")))
     if encoder.word_level:
-        mark = lambda d: F.when(d["op"] == -1, F.concat(F.lit("[<DEL>]"), d["text"], F.lit("[</DEL>]"))).when(d["op"] == 1, F.concat(F.lit("[<ADD>]"), d["text"], F.lit("[</ADD>]"))).otherwise(d["text"])
+        mark = lambda d: F.when(d["op"] == -1, F.concat(F.lit("[<DEL>]"), T.strip(d["text"]), F.lit("[</DEL>]"))).when(d["op"] == 1, F.concat(F.lit("[<ADD>]"), T.strip(d["text"]), F.lit("[</ADD>]"))).otherwise(T.strip(d["text"]))
         document = F.concat(F.lit("[<HUNK>]"), F.array_join(F.transform(C.diff_words("s", "t"), mark), ""), F.lit("[</HUNK>]"))
     else:
         document = T.base_document(F.when(F.col("s") != "", F.array("s")).otherwise(F.array().cast("array<string>")), F.when(F.col("t") != "", F.array("t")).otherwise(F.array().cast("array<string>")))

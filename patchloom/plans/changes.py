@@ -17,11 +17,19 @@ def _turn_pairs(spark, d) -> DataFrame:
     return turns.withColumnRenamed("text", "before").join(later, ["conv_id", "turn"])
 
 
-@query(None)
+#: Length of the longest common subsequence of two token lists x and y: a row of flags for each token of x, folded over row maxima.
+LCS = """coalesce(list_reduce(list_prepend(list_transform(y, lambda t: 0), list_transform(x, lambda s: list_transform(y, lambda t: (t = s)::INT))),
+  lambda last, same: list_transform(range(1, len(last) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN same[i] = 1 THEN 1 + CASE WHEN i > 1 THEN last[i - 1] ELSE 0 END ELSE last[i] END))))[len(y)], 0)"""
+BLANKED = "list_filter(list_transform(string_split({0}, ' '), lambda w, i: CASE WHEN i < len(string_split({0}, ' ')) THEN w || ' ' ELSE w END), lambda w: w <> '')"
+
+
+@query(f"""WITH t AS (SELECT a.conv_id, a.turn, {BLANKED.format('a.text')} AS x, {BLANKED.format('b.text')} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, (len(x) - n)::BIGINT AS n_deleted, n::BIGINT AS n_kept, (len(y) - n)::BIGINT AS n_inserted FROM (SELECT *, {LCS} AS n FROM t)""")
 def word_diff(spark, d):
-    """Deleted and inserted words; the kept and inserted words give the later text (tests/test_code.py)."""
+    """Words deleted, kept and inserted by a shortest script from a turn to the next."""
     ops = _turn_pairs(spark, d).select("conv_id", "turn", C.diff_words("before", "after").alias("d"))
-    count = lambda op: F.aggregate(F.filter("d", lambda x: x["op"] == op), F.lit(0), lambda a, x: a + F.size(F.split(x["text"], " "))).cast("long")
+    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + F.when(x.endswith(" "), 0).otherwise(1)
+    count = lambda op: F.aggregate(F.filter("d", lambda x: x["op"] == op), F.lit(0), lambda a, x: a + words(x["text"])).cast("long")
     return ops.select("conv_id", "turn", count(-1).alias("n_deleted"), count(0).alias("n_kept"), count(1).alias("n_inserted"))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchloom.functions import code as C
+from patchloom.functions import differences
 from patchloom.functions import text as T
 from patchloom.functions.similarity import jaro_winkler_score
 
@@ -32,7 +33,7 @@ def test_word_diff_and_edit_sequences():
     for _ in range(400):
         a, b = (" ".join(r.choice(vocab) for _ in range(r.randint(1, 12))) for _ in range(2))
         ops = C.word_diff(a, b)
-        assert " ".join(t for o, t in ops if o <= 0) == a and " ".join(t for o, t in ops if o >= 0) == b
+        assert "".join(t for o, t in ops if o <= 0) == a and "".join(t for o, t in ops if o >= 0) == b
         s = C.edit_sequence(a, b)
         assert C.apply_edit_sequence(a, s) == b or s == f"{C.OLD} {a} {C.NEW} {b} {C.END}"
     s = C.edit_sequence("int x = foo ( 1 ) ;", "int x = bar ( 1 ) ;")
@@ -41,6 +42,59 @@ def test_word_diff_and_edit_sequences():
     assert C.apply_edit_sequence("a", "nothing") is None
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b, 1):
+            row[j] = last[j - 1] + 1 if x == y else max(last[j], row[j - 1])
+    return row[-1]
+
+
+def test_scripts_are_shortest_and_rebuild_both_sides():
+    r = random.Random(2)
+    for case in range(1500):
+        n = r.choice([0, 1, 2, 5, 12, 40])
+        a, b = ([r.randrange(r.choice([2, 4, 30])) for _ in range(r.randint(0, n))] for _ in range(2))
+        if case % 3 == 0:
+            b = [x for x in a if r.random() < 0.8]
+            b[len(b) // 2 : len(b) // 2] = a[: r.randint(0, 3)]
+        pieces = differences.script(a, b)
+        assert [x for op, t in pieces if op <= 0 for x in t] == a and [x for op, t in pieces if op >= 0 for x in t] == b
+        assert sum(len(t) for op, t in pieces if op == 0) == lcs(a, b), (a, b)
+        ops = [op for op, _ in pieces]
+        assert all(x != y and (x, y) != (1, -1) for x, y in zip(ops, ops[1:])) and all(t for _, t in pieces)
+        assert pieces == differences.script(a, b)
+
+
+def test_long_lists():
+    a = list(range(30_000))
+    b = [x for x in a if x % 1000] + [-1]
+    assert sum(len(t) for op, t in differences.script(a, b) if op) == 31
+    r = random.Random(3)
+    x, y = ([r.randrange(50) for _ in range(1500)] for _ in range(2))
+    assert sum(len(t) for op, t in differences.script(x, y) if op == 0) == lcs(x, y)
+
+
+@pytest.mark.parametrize(
+    "a,b,want",
+    [
+        ("a b c", "a x c", [(0, "a "), (-1, "b "), (1, "x "), (0, "c")]),
+        ("a b", "a b c", [(0, "a "), (-1, "b"), (1, "b c")]),  # the last word has no blank after it
+        ("", "x", [(1, "x")]),
+        ("x y", "", [(-1, "x y")]),
+        ("a b", "a b", [(0, "a b")]),
+        ("a  b", "a b", [(0, "a "), (0, "b")]),  # a blank alone is no piece
+        ("f ( a ) ;", "f ( a , b ) ;", [(0, "f ( a "), (1, ", b "), (0, ") ;")]),
+        ("x a b", "x a b a b", [(0, "x a "), (1, "b a "), (0, "b")]),
+        ("p q r s", "q r t s", [(-1, "p "), (0, "q r "), (1, "t "), (0, "s")]),
+        (None, None, []),
+    ],
+)
+def test_word_diff_goldens(a, b, want):
+    assert C.word_diff(a, b) == want
+
+
 def test_line_hunks():
     got = C.line_hunks("a\nb\nc", "a\nx\nc\nd")
     assert [(h["type"], [x["line"] for x in h["sourceChanges"]], [x["line"] for x in h["targetChanges"]]) for h in got] == [("MODIFY", ["b"], ["x"]), ("ADD", [], ["d"])]
