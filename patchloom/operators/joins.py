@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.functions.similarity import SIMILARITY_THRESHOLD, jaro_winkler
+from patchloom.storage import materialize
+
 
 def match_join(left: DataFrame, right: DataFrame, key: str, order: Column, payload: list[str], last: bool = False, how: str = "left") -> DataFrame:
     """Each left row with the first (or ``last``) right row of its key by ``order``; the right side is reduced first."""
@@ -61,3 +64,103 @@ def best_match(missing: DataFrame, fresh: DataFrame, keys: list[str], similarity
     pairs = missing.join(fresh, keys).withColumn("similarity", similarity).where(F.col("similarity") > least)
     best = F.min_by(F.struct("similarity", *payload), F.struct(-F.col("similarity"), F.col(order)))
     return pairs.groupBy(*[c for c in missing.columns]).agg(best.alias("_b")).select(*missing.columns, "_b.*")
+
+
+# ---- most similar name, exactly, without comparing all pairs -------------------------------------------------------
+
+#: Letters are counted in so many classes for the exact bound of a pair, in so many for the cells of a group.
+CLASSES, COARSE = 32, 5
+
+
+def _letter_counts(name: Column, classes: int) -> Column:
+    """Letters of the name in each class of code point."""
+    kinds = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c), F.lit(classes)))
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.size(F.filter(kinds, lambda x: x == k)))
+
+
+def _bound(shared: Column, a: Column, b: Column, prefix: Column) -> Column:
+    """No Jaro-Winkler similarity of names of lengths a and b with ``shared`` letters in common exceeds this."""
+    jaro = F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0) | (shared == 0), 0.0).otherwise((shared / F.greatest(a, F.lit(1)) + shared / F.greatest(b, F.lit(1)) + 1) / 3)
+    return F.when(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro)).otherwise(jaro)
+
+
+def _in_common(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+
+
+def _same_start(a: Column, b: Column) -> Column:
+    return F.greatest(*[F.when((F.length(a) >= n) & (F.left(a, F.lit(n)) == F.left(b, F.lit(n))), n).otherwise(0) for n in range(1, 5)])
+
+
+def _compared(pairs: DataFrame, digits: int) -> DataFrame:
+    """Pairs whose bound reaches the best similarity known (``known``), with their similarity."""
+    scale = 10.0**digits
+    most = _bound(_in_common(F.col("a_counts"), F.col("b_counts")), F.length("a_name"), F.length("b_name"), _same_start(F.col("a_name"), F.col("b_name")))
+    return pairs.where(most >= F.col("known") - 1 / scale).withColumn("similarity", F.floor(jaro_winkler("a_name", "b_name") * scale + 0.5) / scale)
+
+
+def _two_first(rows: DataFrame, group: list[str], order: Column, value: Column) -> DataFrame:
+    """``group, two``: the values of the first two rows of each group, in order."""
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(order))).where("_n <= 2")
+    return first.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", value.alias("v")))), lambda x: x["v"]).alias("two"))
+
+
+def nearest_names(missing: DataFrame, fresh: DataFrame, keys: list[str], name: str, other_name: str, other: str, least: float = SIMILARITY_THRESHOLD, own: str | None = None, digits: int = 6) -> tuple[DataFrame, list[DataFrame]]:
+    """``missing`` rows with ``similarity`` and ``other`` of the most similar fresh row of their ``keys``, if above ``least``;
+    and the tables of the name pairs that were compared.
+
+    Similarity is Jaro-Winkler, rounded to ``digits``; ties go to the smaller ``other``. ``own`` names a column of ``missing``
+    whose equal in ``other`` (a row of the same name) is no match. Null keys or names match nothing.
+    Only distinct names meet. A group's names lie in cells of equal length and letter classes. Names of one cell are
+    compared first; then cells meet whose counts allow more than that gave, and in them the pairs whose own letters and
+    prefix allow it, so nothing that could win is left out. Different names of one cell still meet pair by pair."""
+    group = F.struct(*keys)
+    named = lambda rows, text: rows.where(F.col(text).isNotNull() & F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull())
+    cell = lambda c: F.struct(F.length(c).alias("n"), _letter_counts(F.col(c), COARSE).alias("c"))
+    a = named(missing, name).select(group.alias("g"), F.col(name).alias("a_name")).distinct()
+    a = materialize(a.withColumns({"a_counts": _letter_counts(F.col("a_name"), CLASSES), "a_cell": cell("a_name")}), "names")
+    ids = named(fresh, other_name).select(group.alias("g"), F.col(other_name).alias("b_name"), F.col(other).alias("o")).distinct()
+    b = _two_first(ids, ["g", "b_name"], F.col("o"), F.col("o")).withColumnRenamed("two", "ids")
+    b = materialize(b.withColumns({"b_counts": _letter_counts(F.col("b_name"), CLASSES), "b_cell": cell("b_name")}), "names")
+
+    columns = ["g", "a_name", "b_name", "ids", "similarity"]
+    near = a.join(b.withColumn("a_cell", F.col("b_cell")), ["g", "a_cell"]).withColumn("known", F.lit(float(least)))
+    near = materialize(_compared(near, digits).select(columns), "names-near")
+    sure = near.where((F.col("a_name") != F.col("b_name")) | (F.size("ids") > 1)) if own else near
+    known = sure.groupBy(F.col("g").alias("kg"), F.col("a_name").alias("kn")).agg(F.max("similarity").alias("known"))
+    open_ = a.join(known, (F.col("g") == F.col("kg")) & (F.col("a_name") == F.col("kn")), "left").drop("kg", "kn")
+    open_ = open_.withColumn("known", F.greatest(F.coalesce("known", F.lit(0.0)), F.lit(float(least))))
+    cells = open_.groupBy("g", "a_cell").agg(F.min("known").alias("low")).join(b.select("g", "b_cell").distinct(), "g").where(F.col("a_cell") != F.col("b_cell"))
+    most = _bound(_in_common(F.col("a_cell.c"), F.col("b_cell.c")), F.col("a_cell.n"), F.col("b_cell.n"), F.lit(4))
+    far = open_.join(cells.where(most >= F.col("low") - 10.0**-digits).drop("low"), ["g", "a_cell"]).join(b, ["g", "b_cell"])
+    far = materialize(_compared(far, digits).select(columns), "names-far")
+
+    scored = near.unionByName(far).where(F.col("similarity") > least).select("g", "a_name", F.explode("ids").alias("o"), "similarity")
+    best = _two_first(scored, ["g", "a_name"], F.struct(-F.col("similarity"), F.col("o")), F.struct("similarity", "o"))
+    best = best.select(F.col("g").alias("_g"), F.col("a_name").alias("_name"), F.col("two").alias("_two"))
+    picked = missing.join(best, (group == F.col("_g")) & (F.col(name) == F.col("_name")))
+    best_of = F.get(F.filter("_two", lambda x: x["o"] != F.col(own)), F.lit(0)) if own else F.get("_two", F.lit(0))
+    picked = picked.withColumn("_best", best_of).where("_best IS NOT NULL")
+    return picked.select(*missing.columns, F.col("_best.similarity").alias("similarity"), F.col("_best.o").alias(other)), [near, far]
+
+
+# ---- overlap with a least share ------------------------------------------------------------------------------------
+
+
+def overlapping(left: DataFrame, right: DataFrame, left_id: str, right_id: str, word: str, share: float) -> DataFrame:
+    """``left_id, right_id``: pairs where at least ``share`` of the right row's distinct words are the left row's too.
+
+    Both sides have a row for each word. A right row's words are ordered by how many left rows have them, rarest first; a left
+    row with enough of them has one of the first n - ceil(share * n) + 1, so only those few meet. Candidates are then
+    counted over all words. A word that most rows have meets nothing unless it is among a row's rarest."""
+    a, b = left.select(left_id, word).distinct(), right.select(right_id, word).distinct()
+    often = a.groupBy(F.col(word).alias("_w")).agg(F.count("*").alias("_often"))
+    ranked = b.join(often, F.col(word) == F.col("_w"), "left").drop("_w")
+    order = Window.partitionBy(right_id).orderBy(F.coalesce("_often", F.lit(0)), word)
+    ranked = ranked.withColumns({"_n": F.count("*").over(Window.partitionBy(right_id)), "_k": F.row_number().over(order)})
+    need = F.ceil(F.col("_n") * share)
+    ranked = ranked.withColumn("_need", need)
+    rare = ranked.where(F.col("_k") <= F.col("_n") - F.col("_need") + 1).select(right_id, word, "_need")
+    candidates = a.join(rare, word).select(left_id, right_id, "_need").distinct()
+    counted = candidates.join(b, right_id).join(a.select(F.col(left_id).alias("_l"), F.col(word).alias("_w")), (F.col(left_id) == F.col("_l")) & (F.col(word) == F.col("_w")))
+    return counted.groupBy(left_id, right_id, "_need").agg(F.count("*").alias("_c")).where(F.col("_c") >= F.col("_need")).select(left_id, right_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
-from patchloom.operators import metrics, preparation, ranking
+from patchloom.operators import joins, metrics, preparation, ranking
 from patchloom.plans.registry import query, table
 
 WORDS = "list_filter(regexp_split_to_array({0}, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')"
@@ -58,13 +58,9 @@ SELECT p_partkey, p_name, p_brand, p_type, similarity, other FROM (SELECT *, row
   FROM (SELECT a.p_partkey, a.p_name, a.p_brand, a.p_type, b.p_partkey AS other, floor(jaro_winkler_similarity(a.p_name, b.p_name) * 1000000 + 0.5) / 1000000 AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey)) WHERE r = 1 AND similarity > 0.65""")
 def best_match(spark, d):
     """Every part with the most similarly named other part of its brand and type."""
-    from patchloom.functions.similarity import jaro_winkler
-    from patchloom.operators.joins import best_match as match
-
     parts = _inventory(spark, d).select("p_partkey", "p_name", "p_brand", "p_type")
     others = parts.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "p_brand", "p_type")
-    score = F.floor(jaro_winkler("p_name", "other_name") * 1_000_000 + 0.5) / 1_000_000
-    return match(parts, others, ["p_brand", "p_type"], F.when(F.col("other") != F.col("p_partkey"), score), "other", 0.65, ["other"])
+    return joins.nearest_names(parts, others, ["p_brand", "p_type"], "p_name", "other_name", "other", own="p_partkey")[0]
 
 
 TFIDF = f"""
@@ -160,28 +156,29 @@ def exact_match(spark, d):
     return metrics.exact_match(predictions).select("ID", "hit", F.md5(F.col("best").cast("binary")).alias("best"))
 
 
-ALL_PAIRS = f"d AS (SELECT doc_id, unnest({WORDS.format('text')}) AS w FROM documents), b AS (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark)"
+OVERLAP = f"""d AS (SELECT doc_id, w, count(*) AS a FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS w FROM documents) GROUP BY ALL), b AS (SELECT item_id, w, count(*) AS c FROM (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark) GROUP BY ALL),
+j AS (SELECT doc_id, item_id, sum(least(a, c))::BIGINT AS multiset, sum(c)::BIGINT AS plain, count(*) AS distinct_words FROM d JOIN b USING (w) GROUP BY ALL),
+o AS (SELECT doc_id, item_id, multiset, plain FROM j JOIN (SELECT item_id, count(*) AS n FROM b GROUP BY item_id) USING (item_id) WHERE distinct_words >= ceil(n * 0.5))"""
 
 
-def _all_pairs_sides(spark, d):
-    """Distinct words of every document and of every item, with their counts."""
-    docs = table(spark, d, "documents").select("doc_id", F.explode(metrics.tokens(F.col("text"))).alias("w"))
-    items = table(spark, d, "benchmark").select("item_id", F.explode(metrics.tokens(F.col("text"))).alias("w"))
-    return docs.groupBy("doc_id", "w").agg(F.count("*").alias("a")), items.groupBy("item_id", "w").agg(F.count("*").alias("c"))
+def _overlaps(spark, d):
+    """Words shared by documents and items, where a document has at least half of an item's distinct words."""
+    docs = table(spark, d, "documents").select("doc_id", F.explode(metrics.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("a"))
+    items = table(spark, d, "benchmark").select("item_id", F.explode(metrics.tokens(F.col("text"))).alias("w")).groupBy("item_id", "w").agg(F.count("*").alias("c"))
+    pairs = joins.overlapping(docs, items, "doc_id", "item_id", "w", 0.5)
+    return pairs.join(items, "item_id").join(docs, ["doc_id", "w"])
 
 
-@query(f"WITH {ALL_PAIRS} SELECT doc_id, item_id, CAST(sum(least(a, c)) AS BIGINT) AS shared FROM (SELECT doc_id, w, count(*) AS a FROM d GROUP BY ALL) JOIN (SELECT item_id, w, count(*) AS c FROM b GROUP BY ALL) USING (w) GROUP BY doc_id, item_id")
+@query(f"WITH {OVERLAP} SELECT doc_id, item_id, multiset AS shared FROM o")
 def multiset_overlap(spark, d):
-    """Every document with every item that shares a word with it."""
-    docs, items = _all_pairs_sides(spark, d)
-    return docs.join(items, "w").groupBy("doc_id", "item_id").agg(F.sum(F.least("a", "c")).alias("shared"))
+    """Documents with at least half of an item's words: how many occurrences they share."""
+    return _overlaps(spark, d).groupBy("doc_id", "item_id").agg(F.sum(F.least("a", "c")).alias("shared"))
 
 
-@query(f"WITH {ALL_PAIRS} SELECT doc_id, item_id, count(*) AS shared FROM b JOIN (SELECT DISTINCT doc_id, w FROM d) USING (w) GROUP BY doc_id, item_id")
+@query(f"WITH {OVERLAP} SELECT doc_id, item_id, plain AS shared FROM o")
 def set_overlap(spark, d):
     """The same, counting each word of the item, repeats too, that the document holds."""
-    docs, items = _all_pairs_sides(spark, d)
-    return docs.join(items, "w").groupBy("doc_id", "item_id").agg(F.sum("c").alias("shared"))
+    return _overlaps(spark, d).groupBy("doc_id", "item_id").agg(F.sum("c").alias("shared"))
 
 
 @query("SELECT doc_id, left(sha256(text), 8) AS short_hash FROM documents")
