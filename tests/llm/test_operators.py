@@ -487,18 +487,40 @@ def test_topk(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, vector int")
     import math
 
-    ok = {(i, tuple(math.floor(256 * x) for x in e)) for i, e, _ in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
-    want = set()
+    ok = [(i, tuple(math.floor(256 * x) for x in e)) for i, e, _ in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    want = Counter()
     for i, q in ok:
         if i % 50 == 0:
             found = sorted((-sum(a * b for a, b in zip(q, e)), j) for j, e in ok if j != i and len(e) == len(q))[:5]
-            want |= {(i, n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, j) in enumerate(found)}
-    for size in (64, 4096):
-        got = [(x.query_id, x.rank, x.vec_id, x.score) for x in exact_topk.exact_topk(frame, shard_rows=size, block_rows=4).collect()]
-        assert set(got) == want and len(got) == len(want)
+            want.update((i, n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, j) in enumerate(found))
+    assert sum(x[0] == 50 for x in want.elements()) == 10
+    for size in (32, 4096):
+        got = Counter((x.query_id, x.rank, x.vec_id, x.score) for x in exact_topk.exact_topk(frame, shard_rows=size, block_rows=4).collect())
+        assert got == want
     assert exact_topk.exact_topk(frame.limit(0)).count() == 0
 
 
+def test_topk_visits_few_leaves(spark):
+    """Far apart clusters: a query is routed to the leaves whose boxes can hold a better vector; equal vectors fill several shards."""
+    r = random.Random(9)
+    rows = []
+    for c in range(16):
+        centre = [r.gauss(0, 40) for _ in range(4)]
+        rows += [(c * 100 + j, [x + r.gauss(0, 1) for x in centre]) for j in range(100)]
+    rows += [(5000 + i, [0.5] * 4) for i in range(900)]
+    index = exact_topk.TopkIndex(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=100)
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in index.search(every=20).collect()}
+    whole = {i: [int(256 * x // 1) for x in e] for i, e in rows}
+    for i in (0, 440, 1500, 5000):
+        best = sorted((-sum(a * b for a, b in zip(whole[i], e)), j) for j, e in whole.items() if j != i)[:5]
+        assert [got[i, n] for n in range(1, 6)] == [(j, -s) for s, j in best]
+    leaves, asked = len(index.boxes[4][0]), sum(i % 20 == 0 for i, _ in rows)
+    clustered = [x for x in index.others.collect() if x.vec_id < 5000]
+    assert leaves >= 12 and index.first.count() == asked
+    assert len(clustered) < 0.5 * (leaves - 1) * sum(i % 20 == 0 and i < 5000 for i, _ in rows)
+    assert index.placed.select("subs").agg({"subs": "max"}).first()[0] >= 9
+
+
 def test_url_filter_cases(spark):
     urls = [None, "", "no scheme", "HTTP://Example.NET/en/x?y#z", "http://a.example.net", "http://net/", "http://xnet/", "http://example.com/de/", "http://example.com/fr/", "http://q.example.com?x=/de/", "ftp://u@w.ORG/fr/a", "http://b.co.uk/1", "x://y://z/p#q"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(3, urls[3], "h"), (None, urls[7], "h")], "page_id long, url string, host string")
