@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from patchloom.llm.batches import pieces, starts, white_space_words
 from patchloom.llm.training import fold, labelled_sample, labelled_texts
+from patchloom.storage import materialize
 
 WORD_BITS, STEM_BITS, STEM = 17, 15, 5
 EDGE = string.punctuation + "«»“”„’‘…¿¡"
@@ -115,10 +116,11 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-min(60.0, max(-60.0, self.slope * math.log1p(evidence) + self.base))))
 
 
-def _counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """Rows corpus, toxic and clean of token counts by bucket (words, then stems), over every document."""
+def _counts(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
+    """Rows corpus, toxic and clean of token counts by bucket (words, then stems): occurrences in every document, and presence
+    in the labelled texts, one for each labelled id."""
     size = (1 << WORD_BITS) + (1 << STEM_BITS)
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"), "left").select("text", "y")
+    rows = docs.select("text", F.lit(None).cast("int").alias("y")).unionByName(labelled.select("text", "y"))
 
     def both(codes):
         return np.concatenate((codes >> STEM_BITS, (codes & ((1 << STEM_BITS) - 1)) + (1 << WORD_BITS)))
@@ -128,16 +130,16 @@ def _counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         for batch in batches:
             for part in pieces(batch, 0):
                 codes, offsets = text_codes(part.column(0))
-                total[0] += np.bincount(both(codes), minlength=size)
                 labels = pc.fill_null(part.column(1), -1).to_numpy()
+                total[0] += np.bincount(both(codes[np.repeat(labels < 0, np.diff(offsets))]), minlength=size)
                 for i in np.flatnonzero(labels >= 0).tolist():
                     # presence, not frequency: one rant must not stand for the language
                     total[2 - labels[i]][np.unique(both(codes[offsets[i] : offsets[i + 1]]))] += 1
-        at = np.flatnonzero(total[0])
+        at = np.flatnonzero(total.any(axis=0))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], names=["bucket", "corpus", "toxic", "clean"])
 
-    parts = joined.mapInArrow(run, "bucket long, corpus long, toxic long, clean long")
+    parts = rows.mapInArrow(run, "bucket long, corpus long, toxic long, clean long")
     table = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("corpus", "toxic", "clean")]).toArrow()
     out = np.zeros((3, size))
     out[:, table.column(0).to_numpy()] = [table.column(i).to_numpy() for i in (1, 2, 3)]
@@ -175,22 +177,22 @@ def _gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000, prior: float = 2000.0, drift: float = 0.6) -> ToxicityModel:
     """The model; ``limit`` bounds the labelled ids it learns from."""
-    sample = labelled_sample(labels, "toxic", limit)
-    corpus, toxic, clean = _counts(docs, sample)
+    labelled = materialize(labelled_texts(docs, labelled_sample(labels, "toxic", limit)).select("label_id", "text", "y"), "labelled-texts")
+    corpus, toxic, clean = _counts(docs, labelled)
     cut = 1 << WORD_BITS
     words = log_odds(corpus[:cut], toxic[:cut], clean[:cut], prior)
     stems = log_odds(corpus[cut:], toxic[cut:], clean[cut:], prior)
     model = ToxicityModel(np.clip(words, -2, 4) / 2 - drift / 2, np.clip(stems, -2, 4) / 2 - drift / 2)
-    own = labelled_texts(docs, sample).select("text", "y")
 
     def scan(batches):
         for batch in batches:
-            for part in pieces(batch, 0):
-                found = list(model.scanned(part.column(0)))
+            for part in pieces(batch, 1):
+                found = list(model.scanned(part.column(1)))
                 scores = [sorted((s for s, *_ in f), reverse=True) for _, f in found]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["y", "n", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([n for n, _ in found], pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["label_id", "y", "n", "s"])
 
-    rows = own.mapInArrow(scan, "y int, n long, s array<double>").toArrow().to_pydict()
+    # in the order of the ids, so that sums do not depend on which task ended first
+    rows = labelled.mapInArrow(scan, "label_id long, y int, n long, s array<double>").toArrow().sort_by("label_id").to_pydict()
     y, n = np.array(rows["y"], float), np.array(rows["n"], float)
     if not len(y) or y.min() == y.max():
         model.usable = False
