@@ -167,17 +167,26 @@ class AttentionMil:
 
 
 def spread_passages(text: str | None, most: int) -> np.ndarray:
-    """The features of at most ``most`` passages, even over the text."""
+    """The features of all passages of a text; of more than ``most`` passages, means over ``most`` even runs of them.
+
+    Every passage counts, and no more than ``RUN`` passages' features are held beside the means."""
     data = (text or "").encode("utf-8", "surrogatepass")
     n = max(1, -(-len(data) // PASSAGE))
     if n <= most:
         return features(data)
-    at = (np.arange(most) * n // most * PASSAGE).tolist()
-    return np.concatenate([features(data[a : a + PASSAGE], data[a - 1 : a] if a else b"") for a in at])
+    total, seen = np.zeros((most, WIDTH)), np.zeros(most)
+    for at in range(0, n, RUN):
+        a = at * PASSAGE
+        part = features(data[a : a + RUN * PASSAGE], data[a - 1 : a] if a else b"")
+        run = np.arange(at, at + len(part)) * most // n
+        np.add.at(total, run, part)
+        seen += np.bincount(run, minlength=most)
+    return (total / seen[:, None]).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = 3_000, most: int = 64) -> AttentionMil:
-    """The network; ``limit`` bounds the labelled ids it learns from, ``most`` the passages of each (even over its text)."""
+    """The network; ``limit`` bounds the labelled ids it learns from. A text of more than ``most`` passages is learnt as ``most``
+    means over runs of them, so that the bags of the sample stay bounded while whole texts count."""
     sample = labelled_sample(labels, "quality", limit)
     own = labelled_texts(docs, sample).select("label_id", "y", "text")
 
