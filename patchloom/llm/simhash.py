@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
 
 def one_per_class(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One row of ``docs`` (all columns) for each class: that of the smallest doc_id, null last, then text hash."""
+    """One row of ``docs`` (all columns) for each class: that of the smallest doc_id, null last, then text hash, then the
+    hash of its other columns (rows alike in that are alike)."""
     prints, named = _classes(docs, shingle, radius)
     named = materialize(named, "classes")
     # the smallest row of each fingerprint first, so that a class is never gathered
@@ -206,4 +207,9 @@ def one_per_class(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFra
     stays = materialize(stays.distinct(), "class-heads")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col(own_text))
     kept = docs.join(stays, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not others:
+        return kept.distinct()
+    (row,) = fresh(docs, "_row")
+    first = F.min_by(F.struct(*others), F.xxhash64(*others)).alias(row)
+    return kept.groupBy("doc_id", "text").agg(first).select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))

@@ -119,14 +119,16 @@ def host_reputation(pages: DataFrame, z: float = 1.0, threshold: float = 0.5, su
     return hosts.select("host", "n", "k", bound.alias("bound"), F.when(bound > threshold, "block").otherwise("allow").alias("verdict"))
 
 
-def url_filter(pages: DataFrame, rules=RULES, z: float = 1.0, threshold: float = 0.5) -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, z: float = 1.0, threshold: float = 0.5, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``pages``; the rules' verdicts are the labels.
 
+    ``suffixes`` are the suffixes of two labels under which names are registered; a full list of public suffixes goes here.
+
     Pages without a rule are joined with their host's verdict in a plain equi-join of two shuffled sides,
     which adaptive execution splits when one host is hot."""
     judged = with_rule(with_host_path(pages.select("page_id", "url")), rules)
     outcome = F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0)
-    verdicts = materialize(host_reputation(judged.select("host", outcome.alias("outcome")), z, threshold).select("host", "verdict"), "host-verdicts")
+    verdicts = materialize(host_reputation(judged.select("host", outcome.alias("outcome")), z, threshold, suffixes).select("host", "verdict"), "host-verdicts")
     ruled = judged.where("rule IS NOT NULL").select("page_id", "host", "path", "rule", F.col("rule_verdict").alias("verdict"))
     rest = judged.where("rule IS NULL").drop("rule_verdict", "url").join(verdicts, "host", "left")
     return ruled.unionByName(rest.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")))

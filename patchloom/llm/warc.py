@@ -30,8 +30,9 @@ from patchloom.storage import materialize, scratch_path
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-#: Bytes of archives that one task reads, about; the index is small, so its own size tells nothing.
-TASK_BYTES = 8 << 20
+#: Bytes of archives that one task reads, about (the index is small, so its own size tells nothing), and tasks at most: from
+#: 160 GB of archives on a task reads more.
+TASK_BYTES, TASKS = 8 << 20, 20_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -134,7 +135,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
     names = [x.split(" ")[0] for x in (READ + (", payload binary" if with_payload else "")).split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * with_payload]
     total = index.agg(F.sum("length")).first()[0] or 0
-    ordered = index.select("file", "offset", "length").repartitionByRange(max(1, -(-total // TASK_BYTES)), "file", "offset").sortWithinPartitions("file", "offset")
+    ordered = index.select("file", "offset", "length").repartitionByRange(min(TASKS, max(1, -(-total // TASK_BYTES))), "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches):
         store, _ = _filesystem(folder)
