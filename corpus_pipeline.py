@@ -1,4 +1,11 @@
-"""The training-data pipeline: five stages over ``documents``, each written and read again as Parquet."""
+"""The training-data pipeline: five stages over ``documents``, each written and read again as Parquet.
+
+Defined cases: a null text is an empty one for every stage; it is never toxic, has no line and no item, and all empty texts
+are one class, of which the smallest doc_id stays (null last). Rows that share a doc_id are judged by their own texts and
+the last stage gives each its row; of equal rows one stays. Of several rows of a class the order is doc_id, text hash, then a
+hash of the other columns. Extra columns, also those named like an operator's own, keep their values up to the last stage,
+which returns doc_id, n_tokens, ids and decoded_sha256. An empty table gives an empty result; without labels nothing is toxic.
+"""
 
 from __future__ import annotations
 

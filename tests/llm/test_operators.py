@@ -314,6 +314,39 @@ def test_decontamination_opening_names(spark):
     assert set(got) == {1, 2, 3, 4} and got[4][0] == got[4][1]
 
 
+def test_decontamination_numbers_equal_by_chance(spark):
+    """Two equal numbers of an item may become two different ones; names may not, and nothing else may differ much."""
+    item = "Tom has 5 apples and 5 pears in his bag so how many fruits does he carry home"
+    rows = [(1, item.replace("5 apples", "7 apples").replace("5 pears", "9 pears")), (2, item.replace("5", "8")), (3, item.replace("apples and 5 pears in his bag", "plums or 9 nuts on her desk")), (4, "what is 3 plus 4"), (5, "what is 2 plus 2"), (6, "what was 3 plus 4")]
+    bench = spark.createDataFrame([(1, item), (2, "what is 2 plus 2")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2), (5, 2)}
+
+
+def test_decontamination_short_items(spark):
+    """Items of fewer words than a window are one window; with few plain words they are whole texts or nothing."""
+    bench = spark.createDataFrame([(1, "what is two plus"), (2, "two words"), (3, "one"), (4, ""), (5, "  "), (6, "the 5 of us")], "item_id long, text string")
+    rows = [(1, "tell me what is two plus two please"), (2, "only two words here"), (3, " Two  words\n"), (4, "one"), (5, "one more"), (6, ""), (7, None), (8, "what is\ntwo plus"), (9, "see the 7 of us"), (10, "what is two")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(frame, bench).collect()}
+    assert got == {(1, 1), (8, 1), (3, 2), (4, 3), (9, 6)}
+
+
+def test_decontamination_sql_has_both_readings(spark):
+    """The SQL on texts where the readings differ, numbers part and items are short."""
+    import duckdb
+
+    item = "Anna buys 5 apples at the market. Anna gives 5 apples to her friend Bob. How many apples does Anna have left now?"
+    items = [(1, item), (2, "what is two plus"), (3, "Tom has 5 apples and 5 pears today"), (4, None), (5, "one")]
+    rows = [(1, item.replace("Anna", "Carla").replace("gives 5", "gives 2")), (2, "Bob asks what is two plus now"), (3, "Eva has 3 apples and 4 pears today"), (4, "one"), (5, None), (6, item), (6, item + " x"), (7, "Anna has 5")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas())
+    got = sorted((r.doc_id, r.item_id, r.n_windows, r.n_matched) for r in decontaminate.matches(docs, bench).collect())
+    assert got == sorted(con.execute("SELECT doc_id, item_id, n_windows, n_matched FROM (" + decontaminate.oracle() + ")").fetchall()) and len(got) == 5
+
+
 def test_tables_may_have_the_operators_own_names(spark, docs):
     """Every column name that an operator uses inside may stand in the caller's table and keeps its values."""
     names = ["_doc", "_th", "_kept", "_left", "_lines", "_removed", "_id", "_text_hash", "_d", "_t", "_gone", "_bad_id", "_bad_th", "doc", "th", "line_no", "fp", "root"]
@@ -364,6 +397,9 @@ def test_quality_network(spark):
     whole = net.forward(quality.passages(long).astype(float), np.zeros(len(quality.passages(long)), int), 1)[-1][0]
     assert abs(net.long_score(long.encode()) - whole) < 1e-6 and abs(net.scores(["a", long, None])[1] - whole) < 1e-6
     assert len(quality.spread_passages(long, 64)) == 64
+    every = quality.features(long.encode())
+    groups = np.arange(len(every)) * 7 // len(every)
+    assert np.allclose(quality.spread_passages(long, 7), [every[groups == g].mean(axis=0) for g in range(7)], atol=1e-5)
 
 
 def test_toxicity_model_is_recounted(spark):

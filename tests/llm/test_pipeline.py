@@ -59,3 +59,20 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """An empty table; nulls, repeated rows and ids, and columns named like those the operators use inside."""
+    names = ["label_id", "y", "fp", "root", "th", "words", "pos", "key", "reading", "_id", "_text_hash", "_row", "copies", "line_no", "score"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(1, "one lonely line of text about ships", "en", "s", 35), (1, "another text with the same id as the first", None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (None, "a row without an id but with its own words", "en", "s", 1)]
+    rows += [rows[0]] * 2 + [(5, "leaked words of the only item here today", "en", "s", 1)]
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "leaked words of the only item here today"), (None, None)], "item_id long, text string")
+    for kind, own in (("full", [(*x, *names) for x in rows]), ("empty", [])):
+        spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/{kind}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{kind}/labels.parquet")
+        bench.write.parquet(f"{tmp_path}/{kind}/benchmark.parquet")
+    got = sorted(((x.doc_id is None, x.doc_id or 0, x.n_tokens > 0) for x in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()))
+    assert got == [(False, 1, True), (False, 1, True), (False, 2, False), (True, 0, True)]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
