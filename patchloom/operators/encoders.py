@@ -85,7 +85,8 @@ def test_context(repairs: DataFrame) -> Column:
 
 
 def hunk_documents(changes: DataFrame, encoder: Encoder, methods: DataFrame | None = None) -> DataFrame:
-    """``project, aCommit, doc_no, document, name, path, scope`` of the non-test hunks that change more than blanks.
+    """``project, aCommit, doc_no, document, name, path, scope`` of the non-test hunks that change more than blanks;
+    ``doc_no`` is the place of the change and of the hunk in it.
 
     ``methods`` (project, aCommit, path, hunk, name, ord) tells which hunks are a method's: those are of scope 0 and
     carry its name, all others are their class's, of scope 1."""
@@ -104,7 +105,7 @@ def hunk_documents(changes: DataFrame, encoder: Encoder, methods: DataFrame | No
     else:
         document = T.base_document(F.when(F.col("s") != "", F.array("s")).otherwise(F.array().cast("array<string>")), F.when(F.col("t") != "", F.array("t")).otherwise(F.array().cast("array<string>")))
     method = F.col("scope") == "method"
-    return flat.select("project", "aCommit", (F.col("c_no") * 100_000 + F.col("h_no")).alias("doc_no"), document.alias("document"), F.when(method, F.col("methodName")).otherwise(F.col("class_name")).alias("name"), "path", F.when(method, 0).otherwise(1).alias("scope"))
+    return flat.select("project", "aCommit", F.struct("c_no", "h_no").alias("doc_no"), document.alias("document"), F.when(method, F.col("methodName")).otherwise(F.col("class_name")).alias("name"), "path", F.when(method, 0).otherwise(1).alias("scope"))
 
 
 def node_depths(graphs: DataFrame) -> DataFrame:
@@ -152,8 +153,9 @@ def encode(repairs: DataFrame, changes: DataFrame, encoder: str = "SimOrder", bu
     plain = unique.select("ID", "doc_no", F.explode(metrics.tokens(F.col("document"))).alias("token"))
 
     def similarity(goal: str, name: str) -> DataFrame:
-        target = rows.select("ID", F.lit(-1).cast("int").alias("doc_no"), F.explode(metrics.tokens(F.col(goal))).alias("token"))
-        found = ranking.tfidf_cosine(plain.withColumn("doc_no", F.col("doc_no").cast("int")).unionByName(target), "ID", "doc_no", F.lit(-1))
+        own = F.struct(F.lit(-1).alias("c_no"), F.lit(-1).alias("h_no"))
+        target = rows.select("ID", own.alias("doc_no"), F.explode(metrics.tokens(F.col(goal))).alias("token"))
+        found = ranking.tfidf_cosine(plain.unionByName(target), "ID", "doc_no", own)
         return found.withColumnRenamed("similarity", name)
 
     scored = unique.join(similarity("broken", "tfidf_breakage"), ["ID", "doc_no"], "left").join(similarity("padded_code", "tfidf_testsrc"), ["ID", "doc_no"], "left").na.fill(0.0, ["tfidf_breakage", "tfidf_testsrc"])

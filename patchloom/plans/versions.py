@@ -119,14 +119,14 @@ def elements_on_lines(spark, d):
 
 
 @query("""
-WITH RECURSIVE c AS (SELECT DISTINCT 's' || (l_suppkey % 20) AS root, 'm' || (l_orderkey % 40) AS src, 'm' || (l_partkey % 40) AS dst FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R' AND l_linestatus = 'F'),
+WITH RECURSIVE c AS (SELECT DISTINCT 's' || (l_suppkey % 20) AS root, 'm' || (l_orderkey % 40) AS src, 'm' || (l_partkey % 40) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
 e AS (SELECT root, src, dst FROM c UNION SELECT DISTINCT root, root, src FROM c WHERE src IN ('m1', 'm2', 'm3')),
 b AS (SELECT DISTINCT root, root AS node, 0 AS depth FROM e UNION SELECT b.root, e.dst, b.depth + 1 FROM b JOIN e ON b.root = e.root AND b.node = e.src WHERE b.depth < 41),
 m AS (SELECT root, node, min(depth) AS depth FROM b GROUP BY ALL)
 SELECT root, node, CAST(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY root ORDER BY depth, node) - 1 AS id FROM m""")
 def reachable_calls(spark, d):
     """Calls that resolve, followed from every test to the end; nodes numbered by depth and name."""
-    lines = table(spark, d, "lineitem").where("l_quantity > 45")
+    lines = table(spark, d, "lineitem")
     calls = lines.select(F.concat(F.lit("s"), F.col("l_suppkey") % 20).alias("root"), F.concat(F.lit("m"), F.col("l_orderkey") % 40).alias("src"), F.concat(F.lit("m"), F.col("l_partkey") % 40).alias("dst"), (F.col("l_returnflag") == "R").alias("declared"), (F.col("l_linestatus") == "F").alias("has_body"), F.lit("method").alias("kind"))
     found = history.resolvable_calls(calls).select("root", "src", "dst").distinct()
     graph = found.unionByName(found.where("src IN ('m1', 'm2', 'm3')").select("root", F.col("root").alias("s"), F.col("src").alias("dst")).withColumnRenamed("s", "src").distinct())
