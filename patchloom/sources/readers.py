@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom import schemas
+from patchloom.sources.texts import write_texts  # noqa: F401  (a sink of these records)
 
 PROJECT = r"([^/]+/[^/]+)/[^/]+$"
 
@@ -116,25 +117,6 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def write_texts(frame: DataFrame, folder: str, name: str, text: str) -> None:
-    """One text file for each row below ``folder``, called by the row's ``name`` (slashes make folders); tasks write them."""
-    import pyarrow as pa
-    from pyarrow import fs
-
-    place = folder if "://" in folder else folder.replace("file:", "file://", 1) if folder.startswith("file:/") else f"file://{folder}"
-
-    def run(batches):
-        store, root = fs.FileSystem.from_uri(place)
-        for batch in batches:
-            for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store.create_dir(f"{root}/{n}".rpartition("/")[0], recursive=True)
-                with store.open_output_stream(f"{root}/{n}", compression=None) as out:
-                    out.write((t or "").encode())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
-    frame.select(F.col(name).cast("string"), F.col(text).cast("string")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
-
-
 def annotate(frame: DataFrame, path: str, version: str) -> DataFrame:
     """``frame`` as a new version beside the table it was read from, never over it; read back."""
     target = f"{path.rstrip('/')}-{version}"
