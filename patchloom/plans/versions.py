@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchloom import schemas
-from patchloom.operators import encoders, history, preparation
+from patchloom.operators import encoders, history, preparation, renames
 from patchloom.plans.registry import query, table
 
 SIDE = "SELECT p_brand AS commit, p_type AS file, 'q.' || p_type || CASE WHEN p_partkey % 4 = 0 THEN '$In' ELSE '' END AS parent, {0} AS signature, CASE WHEN p_partkey % 5 = 0 THEN 'constructor' ELSE 'method' END AS kind, CAST(p_partkey AS INTEGER) AS line, 100000 AS n_lines, {1} AS body, {1} AS code, p_partkey FROM part WHERE {2}"
@@ -234,3 +234,25 @@ def class_changes(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("commit"), F.col("o_orderkey").cast("string").alias("file"), F.lit("T").alias("name"), F.col("o_orderstatus").alias("code"), "o_orderkey")
     after = orders.where("o_orderkey % 3 <> 1").withColumn("code", F.when(F.col("o_orderkey") % 3 == 2, "new").otherwise("F"))
     return history.class_changes(orders, after).select("commit", "file", "before_code")
+
+
+USED = """SELECT l_suppkey AS commit, l_orderkey AS user, l_linenumber AS slot, CASE WHEN l_partkey % 3 = 0 THEN 'method' ELSE 'class' END AS kind,
+CASE WHEN l_partkey % 3 = 0 THEN 'q.K#m' || l_partkey || '(int)' ELSE 'q.C' || l_partkey END AS was, CASE WHEN l_partkey % 3 = 0 THEN 'q.K#' ELSE CASE WHEN l_partkey % 4 = 1 THEN 'r.' ELSE 'q.' END || 'C' END
+|| CASE l_partkey % 4 WHEN 2 THEN CASE WHEN l_partkey % 3 = 0 THEN 'm' ELSE '' END || l_partkey WHEN 3 THEN CASE WHEN l_quantity < 25 THEN 's' || (l_partkey % 7) ELSE 't' || (l_partkey % 5) END ELSE 'n' || l_partkey END || CASE WHEN l_partkey % 3 = 0 THEN '(int)' ELSE '' END AS becomes FROM lineitem"""
+
+
+@query(f"""
+WITH RECURSIVE u AS ({USED}), p AS (SELECT commit, user, slot, min(was) AS o, min(becomes) AS n FROM u GROUP BY ALL HAVING count(DISTINCT was) = 1 AND count(DISTINCT becomes) = 1),
+b AS (SELECT DISTINCT commit, kind, was AS name FROM u), a AS (SELECT DISTINCT commit, kind, becomes AS name FROM u), gone AS (FROM b EXCEPT FROM a), gained AS (FROM a EXCEPT FROM b),
+v AS (SELECT p.commit, gone.kind, o, n, count(*) AS votes FROM p JOIN gone ON gone.commit = p.commit AND gone.name = o JOIN gained ON gained.commit = p.commit AND gained.name = n AND gained.kind = gone.kind GROUP BY ALL),
+w AS (SELECT *, false AS m FROM v UNION ALL
+SELECT commit, kind, o, n, votes, row_number() OVER (PARTITION BY commit, kind, o ORDER BY votes DESC, n) = 1 AND row_number() OVER (PARTITION BY commit, kind, n ORDER BY votes DESC, o) = 1 AS m
+FROM (SELECT *, bool_or(m) OVER (PARTITION BY commit, kind, o) AS mo, bool_or(m) OVER (PARTITION BY commit, kind, n) AS mn FROM w) WHERE NOT mo AND NOT mn)
+SELECT commit, CASE WHEN kind = 'method' THEN 'RENAME_METHOD' WHEN split_part(o, '.', 1) = split_part(n, '.', 1) THEN 'RENAME_CLASS' ELSE 'MOVE_RENAME_CLASS' END AS refactoringType, o AS originalName, n AS newName, votes FROM w WHERE m AND split_part(o, '.', 2) <> split_part(n, '.', 2)""")
+def mined_renames(spark, d):
+    """Renames told from the line items whose part has another name in the second version; some new names are fought for."""
+    table(spark, d, "lineitem").createOrReplaceTempView("patchloom_lineitem")
+    used = spark.sql(USED.replace("FROM lineitem", "FROM patchloom_lineitem"))
+    elements = [used.select("commit", "kind", F.col(side).alias("name")) for side in ("was", "becomes")]
+    uses = [used.select("commit", "user", "slot", F.col(side).alias("name")) for side in ("was", "becomes")]
+    return renames.mined_renames(*elements, *[u.withColumn("user", F.col("user").cast("string")) for u in uses])
