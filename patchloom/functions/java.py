@@ -18,6 +18,8 @@ PLUGINS = (("maven-compiler-plugin", COMPILER), ("maven-enforcer-plugin", ENFORC
 MAIN = tuple(f"/project/build/{place}plugin[artifactId='maven-compiler-plugin'][1]" for place in ("pluginManagement/plugins/", "plugins/"))
 PROPERTIES = ("java.version", "version.java", "javaVersion", "jdk.version", "jre.version", "compiler.level", "maven.compiler.release", "maven.compiler.testRelease", "maven.compiler.source", "maven.compiler.target")
 DEFAULT = "11"
+#: Group and name of the plugins that a build is better run without.
+UNNEEDED = (("org.codehaus.mojo", "findbugs-maven-plugin"), ("pl.project13.maven", "git-commit-id-plugin"), ("io.github.git-commit-id", "git-commit-id-maven-plugin"))
 
 
 def without_namespaces(pom: Column) -> Column:
@@ -26,6 +28,17 @@ def without_namespaces(pom: Column) -> Column:
     return F.regexp_replace(plain, r"(</?)\w+:(?=\w)", "$1")
 
 
+def without_plugins(pom: Column, plugins: tuple[tuple[str, str], ...] = UNNEEDED) -> Column:
+    """The document without the first element of each of ``plugins`` (group, name) and its equal copies; null stays null.
+
+    An element counts if it opens with group and name in this order; another element of the same plugin that reads
+    differently stays."""
+    for group, name in plugins:
+        first = F.regexp_extract(pom, rf"(?s)<plugin>\s*<groupId>\Q{group}\E</groupId>\s*<artifactId>\Q{name}\E</artifactId>.*?</plugin>", 0)
+        pom = F.when(first == "", pom).otherwise(F.replace(pom, first, F.lit("")))
+    return pom
+
+
 def _value(raw: Column, properties: Column) -> Column:
     """A number as it stands, ``${name}`` looked up among the properties, the lower end of ``[a,b]``; else null."""
     name = F.regexp_extract(raw, r"\$\{(.+)\}", 1)

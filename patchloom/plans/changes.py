@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import code as C
+from patchloom.functions import java, tables
 from patchloom.operators import encoders, metrics
+from patchloom.plans.evaluation import EDITS
 from patchloom.plans.registry import query, table
 
 
@@ -114,4 +116,70 @@ def _encoded(name: str):
 
 
 for _name in encoders.ENCODERS:
-    _encoded(_name)
\ No newline at end of file
+    _encoded(_name)
+
+@query(f"""WITH t AS (SELECT a.conv_id, a.turn, {BLANKED.format('a.text')} AS x, {BLANKED.format('b.text')} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+c AS (SELECT conv_id, turn, len(x) AS nx, len(y) AS ny, {LCS} AS n FROM t), r AS (SELECT conv_id, turn, unnest([-1, 0, 1]) AS op, unnest([nx - n, n, ny - n]) AS n_words FROM c)
+SELECT conv_id, turn, op, n_words::BIGINT AS n_words FROM r WHERE n_words > 0""")
+def word_edit_rows(spark, d):
+    """Words of each kind of edit between turns, from rows that a table function gives."""
+    tables.register(spark)
+    words = "length(e.text) - length(replace(e.text, ' ', '')) + CASE WHEN endswith(e.text, ' ') THEN 0 ELSE 1 END"
+    edits = f"SELECT p.conv_id, p.turn, e.op, sum({words}) AS n_words FROM {{pairs}} p, LATERAL word_edits(p.before, p.after) e GROUP BY 1, 2, 3"
+    return spark.sql(edits, pairs=_turn_pairs(spark, d))
+
+
+@query("""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS x, len(string_split(text, chr(10))) AS n, doc_id % 3 AS how FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, how, CASE how WHEN 0 THEN 0 WHEN 1 THEN n - 1 ELSE n // 2 END AS line_no, CASE how WHEN 0 THEN trim(x[1], E' \t\r') WHEN 1 THEN trim(x[n], E' \t\r') ELSE '' END AS old FROM t),
+r AS (SELECT doc_id, 'DELETE' AS line_type, line_no, old AS line, old FROM c WHERE old <> '' UNION ALL SELECT doc_id, 'ADD', line_no, '@@ ' || doc_id, old FROM c)
+SELECT doc_id, 0 AS hunk_no, CASE WHEN old = '' THEN 'ADD' ELSE 'MODIFY' END AS hunk_type, line_type, line_no::INTEGER AS line_no, md5(line) AS line FROM r""")
+def hunk_line_rows(spark, d):
+    """Lines of the hunks between whole documents and copies with the first or last line changed or one line put in between."""
+    tables.register(spark)
+    lines, mark, how = F.split("text", "\n"), F.array(F.concat(F.lit("@@ "), "doc_id")), F.col("doc_id") % 3
+    n = F.size(lines)
+    part = lambda start, count: F.slice(lines, start, F.greatest(count, F.lit(0)))
+    first, last = F.concat(mark, part(F.lit(2), n - 1)), F.concat(part(F.lit(1), n - 1), mark)
+    half = F.floor(n / 2).cast("int")
+    between = F.concat(part(F.lit(1), half), mark, part(half + 1, n - half))
+    after = F.array_join(F.when(how == 0, first).when(how == 1, last).otherwise(between), "\n")
+    pairs = table(spark, d, "documents").where("text <> ''").select("doc_id", F.col("text").alias("before"), after.alias("after"))
+    return spark.sql("SELECT p.doc_id, h.hunk_no, h.hunk_type, h.line_type, h.line_no, md5(h.line) AS line FROM {pairs} p, LATERAL hunk_lines(p.before, p.after) h", pairs=pairs)
+
+
+SEQUENCE = f"CASE p_partkey % {len(EDITS)} {' '.join(f'WHEN {n} THEN {row[2]}' for n, row in enumerate(EDITS))} END"
+MARKED = r"'\[<replaceOld([A-Za-z]*)>\] (.*?) \[<replaceNew[A-Za-z]*>\] (.*?) \[<replaceEnd>\]'"
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {SEQUENCE} AS s FROM part), b AS (SELECT p_partkey, regexp_extract_all(s, {MARKED}, 1) AS f, regexp_extract_all(s, {MARKED}, 2) AS o, regexp_extract_all(s, {MARKED}, 3) AS n FROM s),
+r AS (SELECT p_partkey, generate_subscripts(o, 1) AS i, unnest(f) AS f, unnest(o) AS old, unnest(n) AS new FROM b)
+SELECT p_partkey, (i - 1)::INTEGER AS place, CASE f WHEN '' THEN 'plain' WHEN 'KeepBefore' THEN 'before' WHEN 'KeepAfter' THEN 'after' END AS form, old, new FROM r""")
+def edit_block_rows(spark, d):
+    """The blocks of edit sequences that are made between the texts of every part."""
+    tables.register(spark)
+    side = lambda i: F.expr(f"CASE p_partkey % {len(EDITS)} {' '.join(f'WHEN {n} THEN {row[i]}' for n, row in enumerate(EDITS))} END")
+    made = table(spark, d, "part").select("p_partkey", C.make_edit_sequence(side(0), side(1)).alias("s"))
+    return spark.sql("SELECT p.p_partkey, e.* FROM {made} p, LATERAL edit_blocks(p.s) e", made=made)
+
+
+PLUGIN = "'<plugin>' || chr(10) || ' <groupId>{0}</groupId> <artifactId>{1}</artifactId><version>' || {2} || '</version></plugin>'"
+POM = "'<plugins>' || " + " || ".join(
+    f"CASE WHEN p_partkey % {m} > 0 THEN {PLUGIN.format(group, name, version)} ELSE '' END"
+    for m, group, name, version in (
+        (3, *java.UNNEEDED[0], "p_size"), (5, "org.other", "findbugs-maven-plugin", "p_size"), (2, *java.UNNEEDED[0], "p_partkey % 9"), (7, *java.UNNEEDED[1], "p_size"),
+        (4, *java.UNNEEDED[0], "p_size"), (11, *java.UNNEEDED[2], "p_name"), (6, *java.UNNEEDED[2], "p_brand"),
+    )
+) + " || '</plugins>'"
+
+
+def _stripped_sql(rows: str) -> str:
+    for group, name in java.UNNEEDED:
+        found = rf"regexp_extract(pom, '(?s)<plugin>\s*<groupId>{group.replace('.', chr(92) + '.')}</groupId>\s*<artifactId>{name}</artifactId>.*?</plugin>')"
+        rows = f"SELECT p_partkey, CASE WHEN {found} = '' THEN pom ELSE replace(pom, {found}, '') END AS pom FROM ({rows})"
+    return rows
+
+
+@query(_stripped_sql(f"SELECT p_partkey, {POM} AS pom FROM part"))
+def plugins_stripped(spark, d):
+    """Project files with several copies and versions of plugins, without the first of each kind and its copies."""
+    return table(spark, d, "part").select("p_partkey", java.without_plugins(F.expr(POM.replace("chr(10)", "char(10)"))).alias("pom"))
