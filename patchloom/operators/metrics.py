@@ -87,7 +87,8 @@ def precision_parts(pairs: DataFrame, ids: list[str], hyp: str, refs: Column, mo
 def smoothed(method: int, most: int = 4) -> list[Column]:
     """The precisions of n = 1..most under smoothing ``method`` (0 to 7), from ``num``, ``den`` and ``hlen`` columns.
 
-    Methods 5 and 7 also need ``num`` and ``den`` of the next n."""
+    Methods 5 and 7 also need ``num`` and ``den`` of the next n. A precision that stays 0 (methods 4 and 6 on one word or
+    without a common pair of words) has no logarithm, so the score is null there."""
     num = [F.col(f"num{n}").cast("double") for n in range(1, most + 1)]
     den = [F.col(f"den{n}").cast("double") for n in range(1, most + 1)]
     plain = [a / b for a, b in zip(num, den, strict=True)]

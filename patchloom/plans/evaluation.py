@@ -42,6 +42,41 @@ def bleu_smoothing(spark, d):
     return parts.select("conv_id", "turn", *[_six(metrics.bleu_of(m)).alias(f"bleu{m}") for m in (0, 2, 3)])
 
 
+def _fives(words: str) -> str:
+    return f"(SELECT conv_id, turn, gram, count(*) AS c FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len({words}) - 3), lambda i: array_to_string(list_slice({words}, i, i + 4), ' '))) AS gram FROM p) GROUP BY ALL)"
+
+
+def _credit(n: int) -> str:
+    return f"CASE WHEN a{n} = 0 AND hl > 1 THEN ({n - 1} + 5 / ln(greatest(hl, 2))) / b{n} ELSE a{n} / b{n} END"
+
+
+def _score(places: str) -> str:
+    logs = " + ".join(f"CASE WHEN {places}{n} > 0 THEN ln({places}{n}) END" for n in range(1, 5))
+    return SIX.format(f"(CASE WHEN a1 = 0 THEN 0.0 ELSE {BREVITY.format('hl', 'rl')} * exp(({logs}) / 4) END)")
+
+
+def _averaged(out: str, of: str) -> str:
+    """Columns: each size's value with its neighbours', the former already averaged."""
+    last = f"({of}1 + 1)"
+    columns = []
+    for n in range(1, 5):
+        last = f"(({last} + {of}{n} + {f'{of}{n + 1}' if n < 4 else 'a5 / b5'}) / 3)"
+        columns.append(f"{last} AS {out}{n}")
+    return ", ".join(columns)
+
+
+@query(f"""
+WITH {WIDE}, k5 AS (SELECT h.conv_id, h.turn, sum(least(h.c, coalesce(r.c, 0)))::DOUBLE AS a5, sum(h.c)::DOUBLE AS b5 FROM {_fives('hyp')} h LEFT JOIN {_fives('ref')} r USING (conv_id, turn, gram) GROUP BY ALL),
+x AS (SELECT v.*, coalesce(a5, 0) AS a5, coalesce(b5, 1) AS b5, {', '.join(f'a{n} / b{n} AS plain{n}, {_credit(n)} AS credit{n}' for n in range(1, 5))} FROM v LEFT JOIN k5 USING (conv_id, turn)),
+y AS (SELECT *, {_averaged('mean', 'plain')}, {_averaged('both', 'credit')}, plain1 AS prior1, plain2 AS prior2, (a3 + 5 * CASE WHEN plain1 = 0 THEN 0 ELSE plain2 * plain2 / plain1 END) / (greatest(hl - 2, 0) + 5) AS prior3 FROM x),
+z AS (SELECT *, (a4 + 5 * CASE WHEN prior2 = 0 THEN 0 ELSE prior3 * prior3 / prior2 END) / (greatest(hl - 3, 0) + 5) AS prior4 FROM y)
+SELECT conv_id, turn, {', '.join(f'{_score(name)} AS bleu{m}' for m, name in ((4, 'credit'), (5, 'mean'), (6, 'prior'), (7, 'both')))} FROM z""")
+def bleu_smoothing_means(spark, d):
+    """Sentence BLEU with credit by length, averaged neighbours, an expected precision, and the first two together."""
+    parts = metrics.precision_parts(_pairs(spark, d), ["conv_id", "turn"], "hyp", F.array("ref"), 5)
+    return parts.select("conv_id", "turn", *[_six(metrics.bleu_of(m)).alias(f"bleu{m}") for m in (4, 5, 6, 7)])
+
+
 @query(f"""
 WITH t AS (SELECT conv_id, turn, {WORDS.format('text')} AS w FROM conversations),
 p AS (SELECT h.conv_id, h.w AS hyp, list(r.w ORDER BY r.turn) AS refs FROM t h JOIN t r ON h.conv_id = r.conv_id AND r.turn > 0 WHERE h.turn = 0 GROUP BY h.conv_id, h.w),

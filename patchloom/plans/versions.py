@@ -256,3 +256,19 @@ def mined_renames(spark, d):
     elements = [used.select("commit", "kind", F.col(side).alias("name")) for side in ("was", "becomes")]
     uses = [used.select("commit", "user", "slot", F.col(side).alias("name")) for side in ("was", "becomes")]
     return renames.mined_renames(*elements, *[u.withColumn("user", F.col("user").cast("string")) for u in uses])
+
+
+def _small_files(side: str) -> str:
+    return f"SELECT * REPLACE ('f' || (p_partkey // 4) AS file) FROM ({side})"
+
+
+SMALL = f"b AS (SELECT *, {LOCAL} FROM ({_small_files(BEFORE)})), a AS (SELECT *, {LOCAL} FROM ({_small_files(AFTER)}))"
+
+
+@query(f"WITH {SMALL}, m AS (SELECT b.* FROM b ANTI JOIN a USING (commit, file, local)), w AS (SELECT DISTINCT a.commit, a.file FROM a ANTI JOIN b USING (commit, file, local)) SELECT m.commit, m.file, m.parent || '#' || m.signature AS name, m.code AS before_code FROM m ANTI JOIN w USING (commit, file)")
+def deleted_from_small_files(spark, d):
+    """Executables that vanished from files of few parts, of which many gained none."""
+    table(spark, d, "part").createOrReplaceTempView("patchloom_part")
+    file = F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 4))
+    sides = [spark.sql(side.replace("FROM part", "FROM patchloom_part")).withColumn("file", file).drop("p_partkey") for side in (BEFORE, AFTER)]
+    return history.deleted_when_nothing_new(*sides)
