@@ -187,8 +187,8 @@ def repair_hunk(repairs: DataFrame, test_changes: DataFrame) -> DataFrame:
     return joined.withColumn("hunk", F.coalesce("_h", "hunk")).drop("_c", "_n", "_h")
 
 
-#: Refactorings that only rename.
-RENAMES = ("Rename Class", "Rename Method", "Rename Attribute")
+#: Refactorings that rename classes and methods, by title and by constant.
+RENAMES = ("Rename Class", "Rename Method", "Move And Rename Class", "RENAME_CLASS", "RENAME_METHOD", "MOVE_RENAME_CLASS")
 
 
 def renames_only(refactorings: DataFrame, kind: str = "type", kinds: tuple[str, ...] = RENAMES) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from patchloom.operators import encoders, renames
+from patchloom.operators import encoders, history, renames
 
 ELEMENTS, USES = "commit string, kind string, name string", "commit string, user string, slot int, name string"
 
@@ -66,6 +66,7 @@ def test_planted_renames_carry_their_places(spark):
     found = renames.mined_renames(*tables(spark, b, a, ub, ua))
     kept = {tuple(r) for r in found.collect()}
     assert kept == {("c", "RENAME_CLASS", "p.Old", "p.New", 1), ("c", "RENAME_METHOD", "p.Old#run(int)", "p.New#go(int)", 1), ("c", "MOVE_RENAME_CLASS", "p.Inner", "q.Core", 1)}
+    assert history.renames_only(found, "refactoringType").count() == 3
     repairs = spark.createDataFrame([(1, "T", "b", "c"), (2, "X", "b", "c")], "ID int, name string, bCommit string, aCommit string")
     used = lambda c, name: spark.createDataFrame([(c, "T", name)], "commit string, test string, element string")
     trivial = encoders.trivial_types(repairs, found, used("b", "p.Old"), used("c", "p.New")).collect()
