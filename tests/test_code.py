@@ -76,6 +76,36 @@ def test_long_lists():
     assert sum(len(t) for op, t in differences.script(x, y) if op == 0) == lcs(x, y)
 
 
+def test_ways_to_a_meeting_point_agree():
+    import numpy as np
+
+    r = random.Random(4)
+    code = lambda t: np.array([ord(c) for c in t], np.int64)
+    for _ in range(400):
+        vocab, n = r.choice(["ab", "abc", "abcdefghijklmnopqrst"]), r.choice([2, 6, 20, 45])
+        a, b = ("".join(r.choice(vocab) for _ in range(r.randint(1, n))) for _ in range(2))
+        wide = differences._stepwise_wide(code(a), code(b))
+        assert differences._stepwise(a, b, (len(a) + len(b) + 1) // 2) == wide, (a, b)
+        assert differences._from_table(a, b) == (wide if set(a) & set(b) else None), (a, b)
+        pieces = differences.script(a, b)
+        assert differences.counts(a, b) == tuple(sum(len(t) for op, t in pieces if op == kind) for kind in (-1, 0, 1)), (a, b)
+
+
+def test_scripts_of_different_texts_are_quick():
+    import time
+
+    r = random.Random(6)
+    pairs = [[[r.randrange(60) for _ in range(90)] for _ in range(2)] for _ in range(150)]
+    start = time.process_time()
+    for a, b in pairs:
+        differences.script(a, b)
+    assert time.process_time() - start < 2.5
+
+
+def test_counts_of_words_count_blanks_alone():
+    assert C.word_counts("a  b", "a b") == {"deleted": 1, "kept": 2, "inserted": 0} and C.word_counts(None, "x") == {"deleted": 0, "kept": 0, "inserted": 1}
+
+
 @pytest.mark.parametrize(
     "a,b,want",
     [
