@@ -48,17 +48,42 @@ def _value(raw: Column, properties: Column) -> Column:
     return F.when(T.is_number(found), T.strip(found))
 
 
+#: Fixed value: stands between the results of several paths; no XML text can hold it.
+_BETWEEN = "\x01"
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _firsts(plain: Column, paths: list[str]) -> Column:
+    """The first text of each path, "" where there is none; the document is parsed once for all of them."""
+    texts = ", ".join(f"{path}/text(), '{_BETWEEN}'" for path in paths)
+    return F.split(F.xpath_string(plain, F.lit(f"concat({texts})")), _BETWEEN)
+
+
 def detected_versions(pom: Column) -> Column:
-    """Array of version texts: the first of the main compiler plugin; else all of any such plugin; else the properties'."""
-    plain = without_namespaces(pom)
-    properties = F.regexp_extract(plain, r"(?s)<properties>(.*?)</properties>", 1)
-    clean = lambda found: F.array_compact(F.transform(found, lambda x: _value(x, properties)))
-    texts = lambda path: F.xpath(plain, F.lit(f"{path}/text()"))
-    main = [clean(F.concat(*[F.slice(texts(f"{base}/{p}"), 1, 1) for p in COMPILER])) for base in MAIN]
-    anywhere = clean(F.concat(*[texts(f"//plugin[artifactId='{plugin}']/{p}") for plugin, paths in PLUGINS for p in paths]))
-    named = F.filter(F.concat(*[F.slice(texts(f"/project/properties/*[name()='{p}']"), 1, 1) for p in PROPERTIES]), T.is_number)
-    first = lambda xs: F.slice(xs, 1, 1)
-    return F.when(F.size(main[0]) > 0, first(main[0])).when(F.size(main[1]) > 0, first(main[1])).when(F.size(anywhere) > 0, anywhere).otherwise(F.transform(named, T.strip))
+    """Array of version texts: the first of the main compiler plugin; else all of any such plugin; else the properties'.
+
+    A document is parsed once for each of the main plugins, then for the others, where it mentions such a plugin, and once for
+    its properties, as long as no version was found."""
+    none = F.array().cast("array<string>")
+    # a name can hide behind entities, comments and the like, which need one of these marks
+    named_in = lambda plain, plugin: F.contains(plain, F.lit(plugin)) | F.contains(plain, F.lit("&")) | F.contains(plain, F.lit("<!"))
+    mention = lambda plain, plugin, texts: F.when(named_in(plain, plugin), texts).otherwise(none)
+    filled = lambda xs: _once(xs, lambda ys: F.when(F.size(ys) > 0, ys))
+
+    def found(doc: Column) -> Column:
+        plain, properties = doc["plain"], doc["properties"]
+        clean = lambda texts: F.array_compact(F.transform(texts, lambda x: _value(x, properties)))
+        main = [clean(F.filter(mention(plain, PLUGINS[0][0], _firsts(plain, [f"{base}/{p}" for p in COMPILER])), lambda x: x != "")) for base in MAIN]
+        anywhere = clean(F.concat(*[mention(plain, plugin, F.concat(*[F.xpath(plain, F.lit(f"//plugin[artifactId='{plugin}']/{p}/text()")) for p in ps])) for plugin, ps in PLUGINS]))
+        named = F.filter(_firsts(plain, [f"/project/properties/*[name()='{p}']" for p in PROPERTIES]), T.is_number)
+        return F.coalesce(*[filled(F.slice(m, 1, 1)) for m in main], filled(anywhere), F.transform(named, T.strip))
+
+    doc = _once(without_namespaces(pom), lambda plain: F.struct(plain.alias("plain"), F.regexp_extract(plain, r"(?s)<properties>(.*?)</properties>", 1).alias("properties")))
+    return _once(doc, found)
 
 
 def greatest_version(pom: Column) -> Column:
@@ -74,7 +99,7 @@ def java_homes(text: Column) -> Column:
 def chosen_home(version: Column, homes: Column) -> Column:
     """The home of the version itself, else of the smallest greater one, else of the default; null if there is none."""
     numbers = F.transform(F.map_keys(homes), lambda k: k.try_cast("int"))
-    at_least = F.array_min(F.filter(numbers, lambda k: k >= version))
+    at_least = _once(version, lambda v: F.array_min(F.filter(numbers, lambda k: k >= v)))
     return F.coalesce(F.try_element_at(homes, at_least.cast("string")), F.try_element_at(homes, F.lit(DEFAULT)))
 
 

@@ -90,3 +90,20 @@ def test_java_homes(spark):
     homes = java.java_homes(F.lit('{"8": "a", "11": "b", "17": "c"}'))
     got = [spark.range(1).select(java.chosen_home(F.lit(v).cast("int"), homes).alias("x")).first().x for v in (8, 9, 12, 21, None)]
     assert got == ["a", "b", "c", "b", "b"]
+
+
+def test_versions_of_project_files_need_few_parses(spark):
+    """Main plugins first, then others, then properties; a document is not parsed once for each place."""
+    plugin = lambda name, body: f"<plugin><artifactId>{name}</artifactId>{body}</plugin>"
+    other = plugin("maven-compiler-plugin", "<executions><execution><configuration><release>14</release></configuration></execution><execution><configuration><release>15</release></configuration></execution></executions>")
+    rows = [
+        ("", []), ("<properties><java.version> 11 </java.version><maven.compiler.source>8</maven.compiler.source></properties>", ["11", "8"]),
+        (f"<properties><x>7</x></properties><build><plugins>{plugin('maven-compiler-plugin', '<configuration><release>${x}</release><source>9</source></configuration>')}</plugins></build>", ["7"]),
+        (f"<properties><jdk.version>6</jdk.version></properties><build><plugins>{plugin('maven-<!-- -->compiler-plugin', '<configuration><source>9</source></configuration>')}</plugins></build>", ["9"]),
+        (f"<profiles><profile><build><plugins>{other}</plugins></build></profile></profiles>", ["14", "15"]),
+    ]
+    poms = spark.createDataFrame([(f"<project>{body}</project>", want) for body, want in rows], "pom string, want array<string>")
+    found = java.detected_versions(F.col("pom"))
+    assert all(r.got == r.want for r in poms.select("want", found.alias("got")).collect())
+    plan = poms.select(java.greatest_version(F.col("pom")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xpath") <= 12
