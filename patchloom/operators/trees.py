@@ -20,9 +20,15 @@ NODE = ["tree", "node", "parent", "place", "kind", "value"]
 FAN, LONGEST = 1024, 4096
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side that joins do not broadcast: a scratch table's files are far smaller than its rows, so the size of the
+    files would send tables that grow with the input through the driver."""
+    return df.hint("merge")
+
+
 def _as(df: DataFrame, prefix: str, *names: str) -> DataFrame:
-    """``names`` of ``df`` under a prefix, for a join with another copy of it."""
-    return df.select(*(F.col(n).alias(prefix + n) for n in names))
+    """``names`` of ``df`` under a prefix, for a shuffled join with another copy of it."""
+    return _shuffled(df.select(*(F.col(n).alias(prefix + n) for n in names)))
 
 
 def with_paths(nodes: DataFrame) -> DataFrame:
@@ -64,7 +70,7 @@ def folded(nodes: DataFrame, label: Column | None = None, longest: int = LONGEST
             parts = parts.withColumn("own", _kept_short(F.array_join(F.transform("own", lambda x: x["text"]), " "), longest))
             whole = parts.groupBy(F.col("tree").alias("c_tree"), F.col("parent").alias("c_parent")).agg(F.array_sort(F.collect_list(F.struct("g", "own"))).alias("parts"), F.sum("under").alias("under"), F.max("lower").alias("lower"))
             whole = whole.select("c_tree", "c_parent", F.concat(F.lit(" "), F.array_join(F.transform("parts", lambda x: x["own"]), " ")).alias("inner"), "under", "lower")
-            level = level.join(whole, (F.col("tree") == F.col("c_tree")) & (F.col("node") == F.col("c_parent")), "left").drop("c_tree", "c_parent")
+            level = level.join(_shuffled(whole), (F.col("tree") == F.col("c_tree")) & (F.col("node") == F.col("c_parent")), "left").drop("c_tree", "c_parent")
             level = level.na.fill({"inner": "", "under": 0, "lower": 0})
         text = F.concat(F.lit("("), "label", "inner", F.lit(")"))
         level = level.select(*nodes.columns, _kept_short(text, longest).alias("text"), (F.col("under") + 1).alias("size"), (F.col("lower") + 1).alias("height"))
@@ -111,7 +117,7 @@ def _prepared(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame
 def _tops(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
     """``tree, digest, k, ord, size``: the nodes of ``left`` (not yet covered) whose subtree is on the right too but whose
     parent's is not, numbered by digest in document order."""
-    shared = left.where(F.col("height") >= least).join(_as(right, "r_", "tree", "digest").distinct(), (F.col("tree") == F.col("r_tree")) & (F.col("digest") == F.col("r_digest")), "left_semi")
+    shared = left.where(F.col("height") >= least).join(_shuffled(_as(right, "r_", "tree", "digest").distinct()), (F.col("tree") == F.col("r_tree")) & (F.col("digest") == F.col("r_digest")), "left_semi")
     tops = shared.join(_as(shared, "p_", "tree", "node"), (F.col("tree") == F.col("p_tree")) & (F.col("parent") == F.col("p_node")), "left_anti")
     return tops.select("tree", "digest", F.row_number().over(Window.partitionBy("tree", "digest").orderBy("node")).alias("k"), "ord", "size")
 
@@ -119,7 +125,7 @@ def _tops(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
 def _uncovered(nodes: DataFrame, tops: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
     """(nodes outside, nodes inside) the matched subtrees; those inside get ``top``, the ord of their subtree's root."""
     own = tops.select(F.col("tree").alias("t_tree"), F.col(f"{side}_ord").alias("t_ord"), (F.col(f"{side}_ord") + F.col("size") - 1).alias("t_end"))
-    marked = nodes.join(own, (F.col("tree") == F.col("t_tree")) & (F.col("ord") == F.col("t_ord")), "left")
+    marked = nodes.join(_shuffled(own), (F.col("tree") == F.col("t_tree")) & (F.col("ord") == F.col("t_ord")), "left")
     last = F.max(F.when(F.col("t_ord").isNotNull(), F.struct("t_ord", "t_end"))).over(Window.partitionBy("tree").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     marked = marked.withColumn("last", last).drop("t_tree", "t_ord", "t_end")
     inside = F.col("last").isNotNull() & (F.col("ord") <= F.col("last.t_end"))
@@ -134,13 +140,13 @@ def isomorphic_matches(a: DataFrame, b: DataFrame, least: int = 2) -> tuple[Data
     left, right, pairs, roots = a, b, [], []
     while True:
         x, y = _tops(left, right, least), _tops(right, left, least)
-        met = x.select("tree", "digest", "k", F.col("ord").alias("a_ord"), "size").join(y.select("tree", "digest", "k", F.col("ord").alias("b_ord")), ["tree", "digest", "k"])
+        met = x.select("tree", "digest", "k", F.col("ord").alias("a_ord"), "size").join(_shuffled(y.select("tree", "digest", "k", F.col("ord").alias("b_ord"))), ["tree", "digest", "k"])
         met = materialize(met.select("tree", "a_ord", "b_ord", "size"), "tree-tops")
         if met.isEmpty():
             break
         left, in_a = _uncovered(left, met, "a")
         right, in_b = _uncovered(right, met, "b")
-        placed = in_a.join(met.withColumnRenamed("tree", "m_tree"), (F.col("tree") == F.col("m_tree")) & (F.col("top") == F.col("a_ord")))
+        placed = in_a.join(_shuffled(met.withColumnRenamed("tree", "m_tree")), (F.col("tree") == F.col("m_tree")) & (F.col("top") == F.col("a_ord")))
         other = F.col("b_ord") + F.col("ord") - F.col("a_ord")
         inner = placed.select("tree", F.col("node").alias("a"), other.alias("other")).join(_as(in_b, "b_", "tree", "ord", "node"), (F.col("tree") == F.col("b_tree")) & (F.col("other") == F.col("b_ord")))
         pairs.append(materialize(inner.select("tree", "a", F.col("b_node").alias("b")), "tree-pairs"))
@@ -166,7 +172,7 @@ def mutual_best(candidates: DataFrame) -> DataFrame:
         rank = F.struct(F.col("score"), -F.col("a"), -F.col("b"))
         of_a = left.groupBy("tree", "a").agg(F.max(rank).alias("best")).select("tree", "a", (-F.col("best.col3")).alias("b"))
         of_b = left.groupBy("tree", "b").agg(F.max(rank).alias("best")).select("tree", "b", (-F.col("best.col2")).alias("a"))
-        taken = materialize(of_a.join(of_b, ["tree", "a", "b"]), "tree-best")
+        taken = materialize(of_a.join(_shuffled(of_b), ["tree", "a", "b"]), "tree-best")
         done.append(taken)
         for side in ("a", "b"):
             left = left.join(_as(taken, "t_", "tree", side), (F.col("tree") == F.col("t_tree")) & (F.col(side) == F.col(f"t_{side}")), "left_anti")
@@ -185,8 +191,8 @@ def ancestor_candidates(a: DataFrame, b: DataFrame, pairs: DataFrame, roots: Dat
         own = roots.join(_as(nodes, "n_", "tree", "ord", "path"), (F.col("tree") == F.col("n_tree")) & (F.col(f"{side}_ord") == F.col("n_ord")))
         up = own.select("tree", "a_ord", "size", F.explode("n_path").alias("up"))
         known = free[side].select(F.col("tree").alias("f_tree"), F.col("node").alias(side), F.col("kind").alias("kind"), (F.col("size") - 1).alias(f"{side}_size"))
-        above[side] = up.join(known, (F.col("tree") == F.col("f_tree")) & (F.col("up") == F.col(side))).select("tree", "a_ord", "size", side, "kind", f"{side}_size")
-    met = above["a"].join(above["b"].drop("size"), ["tree", "a_ord", "kind"])
+        above[side] = up.join(_shuffled(known), (F.col("tree") == F.col("f_tree")) & (F.col("up") == F.col(side))).select("tree", "a_ord", "size", side, "kind", f"{side}_size")
+    met = above["a"].join(_shuffled(above["b"].drop("size")), ["tree", "a_ord", "kind"])
     most = F.least("a_size", "b_size") * 2.0 / (F.col("a_size") + F.col("b_size"))
     shared = met.where(most >= share).groupBy("tree", "a", "b", "a_size", "b_size").agg(F.sum("size").alias("common"))
     score = F.col("common") * 2.0 / (F.col("a_size") + F.col("b_size"))
@@ -200,7 +206,7 @@ def _child_matches(a: DataFrame, b: DataFrame, pairs: DataFrame, newest: DataFra
         own = _without(nodes, pairs, side).join(_as(newest, "m_", "tree", "a", "b"), (F.col("tree") == F.col("m_tree")) & (F.col("parent") == F.col(f"m_{side}")))
         k = F.row_number().over(Window.partitionBy("tree", "m_a", "kind").orderBy("place"))
         sides[side] = own.select("tree", "m_a", "kind", k.alias("k"), F.col("node").alias(side))
-    return sides["a"].join(sides["b"], ["tree", "m_a", "kind", "k"]).select("tree", "a", "b")
+    return sides["a"].join(_shuffled(sides["b"]), ["tree", "m_a", "kind", "k"]).select("tree", "a", "b")
 
 
 def tree_matches(a: DataFrame, b: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
@@ -212,7 +218,7 @@ def tree_matches(a: DataFrame, b: DataFrame, least: int = 2, share: float = 0.5)
     above = mutual_best(materialize(ancestor_candidates(a, b, pairs, roots, share), "tree-candidates"))
     inner = pairs.unionByName(above)
     top = lambda nodes, side: _without(nodes.where("parent IS NULL"), inner, side).select("tree", "place", "kind", F.col("node").alias(side))
-    newest = materialize(above.unionByName(top(a, "a").join(top(b, "b"), ["tree", "place", "kind"]).select("tree", "a", "b")), "tree-pairs")
+    newest = materialize(above.unionByName(top(a, "a").join(_shuffled(top(b, "b")), ["tree", "place", "kind"]).select("tree", "a", "b")), "tree-pairs")
     known = pairs.unionByName(newest)
     while not newest.isEmpty():
         newest = materialize(_child_matches(a, b, known, newest), "tree-pairs")
@@ -242,7 +248,7 @@ def _out_of_order(both: DataFrame) -> DataFrame:
     order = Window.partitionBy("tree", "parent_a").orderBy("place_a")
     inverted = both.withColumn("inverted", F.coalesce(F.lag("place_b").over(order) > F.col("place_b"), F.lit(False)))
     worth = inverted.where("inverted").select("tree", "parent_a").distinct()
-    rows = both.join(worth, ["tree", "parent_a"], "left_semi").select("tree", "parent_a", "place_a", "place_b", "a")
+    rows = both.join(_shuffled(worth), ["tree", "parent_a"], "left_semi").select("tree", "parent_a", "place_a", "place_b", "a")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("place_a")
@@ -267,13 +273,13 @@ def tree_difference(before: DataFrame, after: DataFrame, least: int = 2, share:
     sides = pairs
     for side, nodes in (("a", a), ("b", b)):
         own = nodes.select(F.col("tree").alias("s_tree"), F.col("node").alias("s_node"), F.col("parent").alias(f"parent_{side}"), F.col("place").alias(f"place_{side}"), F.col("value").alias(f"value_{side}"))
-        sides = sides.join(own, (F.col("tree") == F.col("s_tree")) & (F.col(side) == F.col("s_node"))).drop("s_tree", "s_node")
+        sides = sides.join(_shuffled(own), (F.col("tree") == F.col("s_tree")) & (F.col(side) == F.col("s_node"))).drop("s_tree", "s_node")
     up = _as(pairs, "p_", "tree", "a", "b")
     sides = materialize(sides.join(up, (F.col("tree") == F.col("p_tree")) & (F.col("parent_a") == F.col("p_a")), "left").withColumn("stays", F.col("p_b").eqNullSafe(F.col("parent_b")) & (F.col("parent_a").isNull() == F.col("parent_b").isNull())).drop("p_tree", "p_a", "p_b"), "tree-sides")
     updated = sides.where(~F.col("value_a").eqNullSafe(F.col("value_b"))).select("tree", F.col("a").alias("node"))
     crossed = _out_of_order(sides.where("stays").select("tree", F.coalesce("parent_a", F.lit(-1)).alias("parent_a"), "place_a", "place_b", "a"))
-    moved = sides.where("NOT stays").select("tree", F.col("b").alias("node")).unionByName(sides.join(crossed, ["tree", "a"], "left_semi").select("tree", F.col("b").alias("node")))
-    named = lambda rows, nodes: rows.join(nodes.select(F.col("tree").alias("n_tree"), F.col("node").alias("n_node"), "kind", "path"), (F.col("tree") == F.col("n_tree")) & (F.col("node") == F.col("n_node")))
+    moved = sides.where("NOT stays").select("tree", F.col("b").alias("node")).unionByName(sides.join(_shuffled(crossed), ["tree", "a"], "left_semi").select("tree", F.col("b").alias("node")))
+    named = lambda rows, nodes: rows.join(_shuffled(nodes.select(F.col("tree").alias("n_tree"), F.col("node").alias("n_node"), "kind", "path")), (F.col("tree") == F.col("n_tree")) & (F.col("node") == F.col("n_node")))
     columns = lambda rows, action: rows.select("tree", F.lit(action).alias("action"), "node", "kind", "path", "root")
     old = columns(under(gone), "delete").unionByName(columns(named(updated, a).withColumn("root", F.lit(True)), "update"))
     late = columns(under(new), "insert").unionByName(columns(named(moved, b).withColumn("root", F.lit(True)), "move"))
@@ -283,7 +289,7 @@ def tree_difference(before: DataFrame, after: DataFrame, least: int = 2, share:
 def _with_parents(actions: DataFrame, nodes: DataFrame) -> DataFrame:
     """``path`` (ids) turned into ``parents`` (kinds): actions without parents pass by."""
     up = actions.select("tree", "action", "node", F.posexplode("path").alias("i", "up"))
-    named = up.join(nodes.select(F.col("tree").alias("n_tree"), F.col("node").alias("n_node"), "kind"), (F.col("tree") == F.col("n_tree")) & (F.col("up") == F.col("n_node")))
+    named = up.join(_shuffled(nodes.select(F.col("tree").alias("n_tree"), F.col("node").alias("n_node"), "kind")), (F.col("tree") == F.col("n_tree")) & (F.col("up") == F.col("n_node")))
     kinds = named.groupBy("tree", "action", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "kind"))), lambda x: x["kind"]).alias("parents"))
-    joined = actions.join(kinds, ["tree", "action", "node"], "left")
+    joined = actions.join(_shuffled(kinds), ["tree", "action", "node"], "left")
     return joined.select("tree", "action", "node", "kind", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"), "root")

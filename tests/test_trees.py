@@ -285,3 +285,22 @@ def test_one_changed_leaf_and_one_moved_subtree(spark):
     rows = trees.tree_difference(table(spark, {1: old}), table(spark, {1: new})).collect()
     assert Counter((x.action, x.kind) for x in rows) == Counter([("move", "if"), ("update", "lit")]) or Counter((x.action, x.kind) for x in rows) == Counter([("move", "call"), ("update", "lit")])
     assert next(x.parents for x in rows if x.action == "update") == ["call", "m"]
+
+
+def test_no_tree_table_goes_through_the_driver(spark, monkeypatch):
+    """Scratch tables compress well, so their files may look small enough to broadcast; none of their joins does."""
+    from pyspark.sql import DataFrameWriter
+    from pyspark.sql import functions as F
+
+    rows = [(t, n, None if n == 0 else 0, n, "k" if n else "top", f"v{(n + t) % 3}") for t in range(2) for n in range(6)]
+    frame = spark.createDataFrame(rows, "tree long, node long, parent long, place int, kind string, value string")
+    plans, write = [], DataFrameWriter.parquet
+
+    def kept(self, path, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", kept)
+    done = trees.tree_difference(frame.where("tree = 0"), frame.where("tree = 1").withColumn("tree", F.lit(0).cast("long")))
+    plans.append(done._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoop" in p]
