@@ -161,3 +161,21 @@ def test_edit_sequence_fallbacks_are_rare(spark, tmp_path):
     got = {(r.conv_id, r.turn): r for r in QUERIES["edit_sequence_fallbacks"](spark, str(tmp_path)).collect()}
     assert all(r.applied for r in got.values()) and {k for k, r in got.items() if r.whole} == {(2, 0)}
     assert got[2, 0].n_replacements == 1 and min(r.n_replacements for k, r in got.items() if k[0] == 1) > 1
+
+
+def test_tfidf_of_word_arrays_is_that_of_words_with_one_exchange(spark):
+    import random
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from patchloom.operators import ranking
+
+    r = random.Random(8)
+    rows = [(f"g{g}", n, [r.choice("abcdefgh") for _ in range(r.choice([0, 1, 4, 9]))]) for g in range(12) for n in range(-1, 5) if n >= 0 or g % 5]
+    docs = spark.createDataFrame(rows, "ID string, doc_no int, words array<string>")
+    each = ranking.tfidf_cosine(docs.select("ID", "doc_no", F.explode("words").alias("token")), "ID", "doc_no", F.lit(-1))
+    got = ranking.tfidf_cosine_of_words(docs, "ID", "doc_no", F.lit(-1), "words")
+    want = {(x.ID, x.doc_no): x.similarity for x in each.collect()}
+    assert {(x.ID, x.doc_no): x.similarity for x in got.collect()} == pytest.approx(want) and want
+    assert got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].count("Exchange ") == 1
