@@ -170,10 +170,8 @@ def code_bleu_whole(spark, d):
     edges = materialize(turn_flow(spark, d).withColumnRenamed("k", "unit"), "turn-flow")
     flowing = metrics.flow_match(*both(edges, "unit"), ["unit"]).agg(F.sum("matched").alias("m"), F.sum("total").alias("t"))
     rate = lambda frame, name: frame.select(metrics.match_rate(F.coalesce("m", F.lit(0)), F.coalesce("t", F.lit(0))).alias(name), F.lit(1).alias("one"))
-    ids = ["conv_id", "turn"]
-    plain = metrics.corpus_bleu(pairs, ids, "hyp", "ref").withColumn("one", F.lit(1))
-    weighted = metrics.weighted_corpus_bleu(pairs, ids, "hyp", "ref", KEY_WORDS).select(F.col("bleu").alias("weighted"), F.lit(1).alias("one"))
-    joined = plain.join(weighted, "one").join(rate(matched, "syntax"), "one").join(rate(flowing, "data_flow"), "one")
+    scores = metrics.corpus_scores(pairs, ["conv_id", "turn"], "hyp", "ref", KEY_WORDS).select("bleu", "weighted", F.lit(1).alias("one"))
+    joined = scores.join(rate(matched, "syntax"), "one").join(rate(flowing, "data_flow"), "one")
     total = metrics.code_bleu(F.col("bleu"), F.col("weighted"), F.col("syntax"), F.col("data_flow"))
     six = lambda c: F.floor(c * 1_000_000 + 0.5) / 1_000_000
     return joined.select(*(six(F.col(c)).alias(c) for c in ("bleu", "weighted", "syntax", "data_flow")), six(total).alias("code_bleu"))

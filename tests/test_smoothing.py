@@ -66,3 +66,35 @@ def test_methods(spark, pairs, method):
     assert found.keys() == want.keys()
     for i, score in want.items():
         assert found[i] == (score if score is None else pytest.approx(score, rel=1e-9)), pairs[i]
+
+
+def test_runs_are_counted_inside_the_row(spark, pairs):
+    table = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)], "i int, h array<string>, r array<string>")
+    for counted in (metrics.sentence_bleu(table, ["i"], "h", "r"), metrics.weighted_recall(table, ["i"], "h", "r", ("a",))):
+        assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weighted_recall_and_corpus_scores(spark, pairs):
+    table = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)], "i int, h array<string>, r array<string>")
+    found = {(x.i, x.n): (x.num, x.den) for x in metrics.weighted_recall(table, ["i"], "h", "r", ("a",)).collect()}
+    want, has, asked = {}, 0, 0
+    for i, (h, r) in enumerate(pairs):
+        has, asked = has + sum(w in h for w in r), asked + len(r)
+        for n in range(1, 5):
+            own, other = Counter(grams(h, n)), Counter(grams(r, n))
+            weight = lambda g, n=n: 1.0 if n > 1 or g == ("a",) else 0.2
+            if other:
+                want[i, n] = sum(min(c, own[g]) * weight(g) for g, c in other.items()), max(1.0, sum(c * weight(g) for g, c in other.items()))
+    assert found == {k: pytest.approx(v) for k, v in want.items()}
+    scores = metrics.corpus_scores(table, ["i"], "h", "r", ("a",)).first()
+    assert (scores.found, scores.total) == (has, asked)
+    assert scores.bleu == metrics.corpus_bleu(table, ["i"], "h", "r").first().bleu
+
+
+def test_nulls_among_words_and_references(spark):
+    rows = [(1, ["a", None, "b"], [["a", "b"], None]), (2, None, [["a"]]), (3, ["a", "a"], [["a"], ["a", "a", "c"]])]
+    table = spark.createDataFrame(rows, "i int, h array<string>, r array<array<string>>")
+    from pyspark.sql import functions as F
+
+    found = {x.i: (x.num1, x.den1, x.num2, x.den2) for x in metrics.precision_parts(table, ["i"], "h", F.col("r"), 2).collect()}
+    assert found == {1: (2, 3, 0, 2), 2: (0, 1, 0, 1), 3: (2, 2, 1, 1)}
