@@ -47,30 +47,46 @@ def _asserts(lines: Column, word: Column) -> Column:
     return F.coalesce(F.exists(lines, lambda x: F.contains(F.lower(x["line"]), F.lit("assert")) & F.contains(x["line"], word)), F.lit(False))
 
 
+def _with(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once for a row, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def action_categories(action: Column, source: Column, target: Column) -> Column:
     """Array of categories of one action, given its hunk's deleted and added lines.
 
     The categories found so far are replaced when a pattern makes the action an oracle change."""
-    text = action_text(action)
     src, dst = action["srcNode"]["label"], action["dstNode"]["label"]
+    facts = F.struct(action_text(action).alias("text"), src.alias("src"), dst.alias("dst"), (_asserts(source, src) | _asserts(target, dst)).alias("in_assert"))
+    return _with(facts, lambda x: _categories(x, source, target))
+
+
+def _categories(facts: Column, source: Column, target: Column) -> Column:
+    """The patterns in order, each a step of a fold, so that the expression grows with the number of patterns."""
+    text, src, dst, in_assert = facts["text"], facts["src"], facts["dst"], facts["in_assert"]
     named = lambda x, word: F.coalesce(F.contains(x, F.lit(word)), F.lit(False))
     exception = named(dst, "Exception") | named(src, "Exception")
-    in_assert = _asserts(source, src) | _asserts(target, dst)
-    cats = F.array().cast("array<string>")
+    steps = []
     for name, pattern in PATTERNS:
         hit = F.coalesce(text.rlike(pattern), F.lit(False))
         kind = ARGUMENT if name in ARGUMENT_KINDS or name == "change_type" else INVOCATION if name in INVOCATION_KINDS else None
-        if kind:
-            cats = F.when(hit & ~exception if name == "change_type" else hit, F.array_union(cats, F.array(F.lit(kind)))).otherwise(cats)
+        adds = F.lit(kind).cast("string") if name != "change_type" else F.when(~exception, kind)
         oracle = F.lit(True) if name in ORACLE_KINDS else (in_assert | exception) if name == "change_type" else in_assert
         if name == "mod_call":  # another assert method is no new oracle
             oracle = oracle & src.isNotNull() & dst.isNotNull() & ~named(src, "assert") & ~named(dst, "assert")
-        cats = F.when(hit & oracle, F.array(F.lit(ORACLE))).otherwise(cats)
-    own, other = constructor(src)["name"], constructor(dst)["name"]
+        steps.append(F.when(hit, F.struct(adds.alias("adds"), oracle.alias("oracle"))))
+    own_steps = F.filter(F.array(*steps), lambda s: s.isNotNull())
+    added = lambda cats, s: F.when(s["oracle"], F.array(F.lit(ORACLE))).when(s["adds"].isNotNull(), F.array_union(cats, F.array(s["adds"]))).otherwise(cats)
+    cats = F.aggregate(own_steps, F.array().cast("array<string>"), added)
+    return F.when(F.coalesce(text.rlike(BUILT), F.lit(False)), _with(F.struct(constructor(src)["name"].alias("own"), constructor(dst)["name"].alias("other")), lambda x: _built(x["own"], x["other"], source, target))).otherwise(cats)
+
+
+def _built(own: Column, other: Column, source: Column, target: Column) -> Column:
+    """Categories of a constructor call that became another."""
+    named = lambda x, word: F.coalesce(F.contains(x, F.lit(word)), F.lit(False))
     kind = F.when(own.eqNullSafe(other), ARGUMENT).otherwise(INVOCATION)
     guarded = named(own, "Exception") | named(other, "Exception") | _asserts(target, other) | _asserts(source, own)
-    built = F.when(guarded, F.array(kind, F.lit(ORACLE))).otherwise(F.array(kind))
-    return F.when(F.coalesce(text.rlike(BUILT), F.lit(False)), built).otherwise(cats)
+    return F.when(guarded, F.array(kind, F.lit(ORACLE))).otherwise(F.array(kind))
 
 
 def categorise(repairs: DataFrame) -> DataFrame:

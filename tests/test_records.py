@@ -179,3 +179,10 @@ def test_tfidf_of_word_arrays_is_that_of_words_with_one_exchange(spark):
     want = {(x.ID, x.doc_no): x.similarity for x in each.collect()}
     assert {(x.ID, x.doc_no): x.similarity for x in got.collect()} == pytest.approx(want) and want
     assert got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].count("Exchange ") == 1
+
+
+def test_a_category_expression_grows_with_the_patterns_only(spark):
+    from pyspark.sql import functions as F
+
+    made = categorize.action_categories(F.col("a"), F.col("s"), F.col("t"))
+    assert len(made._jc.toString()) < 60_000
