@@ -199,3 +199,18 @@ def test_range_nearest(spark):
     right = spark.createDataFrame([(x,) for x in (3, 17, 60, 99)], "c int")
     got = {r.v: r.n for r in range_nearest(left, "v", right, "c", -1, "n", 10.0).collect()}
     assert got == {1: 3, 5: 17, 17: 17, 40: 60, 95: 99, 200: -1}
+
+
+def test_a_batch_is_read_one_row_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"{i} " + "x" * 20_000 for i in range(2_000)])
+    run = C._arrow(lambda a, b: a[:3] + b[:3], "string")
+    tracemalloc.start()
+    done = run(texts, texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done.to_pylist() == [f"{i} xx"[:3] * 2 for i in range(2_000)] and run(texts[:0], texts[:0]).to_pylist() == []
+    assert most < 4 << 20
