@@ -44,7 +44,7 @@ folds AS (SELECT tree, node, parent, place, depth, '(' || kind || ')' AS text, 1
 @query(f"WITH RECURSIVE {FOLDED} SELECT tree AS page_id, node, size::BIGINT AS size, height::INT AS height, md5(text) AS digest FROM folds")
 def subtree_digests(spark, d):
     """Size, height and digest of the text of every subtree of every page."""
-    done = trees.folded(trees.with_paths(page_nodes(spark, d)), longest=1 << 20)
+    done = trees.folded(trees.with_depth(page_nodes(spark, d)), longest=1 << 20)
     return done.select(F.col("tree").alias("page_id"), "node", "size", "height", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

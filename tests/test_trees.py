@@ -5,6 +5,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from patchloom.operators import metrics, trees
 
@@ -304,3 +305,19 @@ def test_no_tree_table_goes_through_the_driver(spark, monkeypatch):
     done = trees.tree_difference(frame.where("tree = 0"), frame.where("tree = 1").withColumn("tree", F.lit(0).cast("long")))
     plans.append(done._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 5 and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoop" in p]
+
+
+def test_depth_without_paths_or_values(spark):
+    rows = [(1, i, i - 1 if i else None, 0, "k", "long value") for i in range(37)] + [(2, 0, None, 0, "a", None), (2, 1, None, 1, "b", None), (2, 2, 1, 0, "c", None), (2, 3, 99, 0, "lost", None)]
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, place int, kind string, value string")
+    slim = trees.with_depth(nodes)
+    assert slim.columns == ["tree", "node", "parent", "place", "kind", "depth"]
+    both = slim.join(trees.with_paths(nodes).select("tree", "node", F.col("depth").alias("d")), ["tree", "node"])
+    assert both.count() == len(rows) and both.where("depth <> d").count() == 0
+    assert trees.with_depth(nodes.limit(0)).count() == 0
+
+
+def test_rows_are_spread_over_tasks(spark):
+    from patchloom.plans.registry import spread
+
+    assert spread(spark.range(1), "id").rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
