@@ -8,55 +8,54 @@ results.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchloom.storage import materialize
 
-FACT = ["unit", "block", "name", "def_pos"]
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, as the variable of a function over one element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _same(df: DataFrame, other: DataFrame, names: list[str]):
-    return reduce(lambda x, y: x & y, [df[n] == other[n] for n in names])
+def _reached(start: Column, steps: Column, kills: Column) -> Column:
+    """The blocks whose start a definition that leaves ``start`` reaches; it ends in the blocks ``kills``, loops included.
 
-
-def entry_facts(occurrences: DataFrame, flow: DataFrame) -> DataFrame:
-    """``unit, block, name, def_pos``: the definitions that reach the start of each block, to a fixpoint.
-
-    A block's last definition of a name leaves it and enters its successors. What enters a block that does not define
-    the name goes on to that block's successors. Each round handles only facts not seen before, so loops end, and the rounds
-    are at most the longest path without a repeated block."""
-    defs = occurrences.where("role = 'def'")
-    order = F.struct("stmt", "pos")
-    last = defs.groupBy("unit", "block", "name").agg(F.max_by("pos", order).alias("def_pos"))
-    last = materialize(last, "flow-last")
-    steps = materialize(flow.select(F.col("unit").alias("e_unit"), F.col("src"), F.col("dst")).distinct(), "flow-steps")
-
-    def onward(facts):
-        moved = facts.join(steps, (F.col("unit") == F.col("e_unit")) & (F.col("block") == F.col("src")))
-        return moved.select("unit", F.col("dst").alias("block"), "name", "def_pos").distinct()
-
-    newest = materialize(onward(last), "flow-facts")
-    seen = newest
-    while not newest.isEmpty():
-        kept = newest.join(last.select("unit", "block", "name"), ["unit", "block", "name"], "left_anti")
-        newest = materialize(onward(kept).join(seen, FACT, "left_anti"), "flow-facts")
-        seen = seen.unionByName(newest)
-    return seen
+    Each round goes on from blocks met for the first time, so no more rounds than steps have any left."""
+    onward = lambda front: F.array_distinct(F.transform(F.filter(steps, lambda s: F.array_contains(front, s["src"])), lambda s: s["dst"]))
+    state = lambda seen, new: F.struct(seen.alias("seen"), F.array_except(new, kills).alias("front"))
+    walk = lambda acc: _bound(F.array_except(onward(acc["front"]), acc["seen"]), lambda new: state(F.concat(acc["seen"], new), new))
+    first = _bound(onward(F.array(start)), lambda new: state(new, new))
+    return F.aggregate(steps, first, lambda acc, _: F.when(F.size(acc["front"]) > 0, walk(acc)).otherwise(acc), lambda acc: acc["seen"])
 
 
 def reaching(occurrences: DataFrame, flow: DataFrame) -> DataFrame:
     """``unit, pos, name, def_pos`` of every use: the last definition before it in its own block, else all that reach the block.
 
-    A use that no definition reaches has one row with a null ``def_pos``."""
-    order = Window.partitionBy("unit", "block", "name").orderBy("stmt", F.when(F.col("role") == "use", 0).otherwise(1), "pos")
-    before = F.last(F.when(F.col("role") == "def", F.col("pos")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    uses = occurrences.withColumn("own", before).where("role = 'use'")
-    near = uses.where("own IS NOT NULL").select("unit", "pos", "name", F.col("own").alias("def_pos"))
-    far = uses.where("own IS NULL").select("unit", "block", "pos", "name").join(entry_facts(occurrences, flow), ["unit", "block", "name"], "left")
-    return near.unionByName(far.select("unit", "pos", "name", "def_pos"))
+    A block's last definition of a name leaves it and enters its successors; what enters a block that does not define the name
+    goes on. A use that no definition reaches has one row with a null ``def_pos``. A row holds the occurrences of one name in one
+    unit beside the unit's edges; tables that are dealt by ``unit`` (``repartition("unit")``) are not exchanged again."""
+    order = Window.partitionBy("unit", "name", "block").orderBy("stmt", F.when(F.col("role") == "use", 0).otherwise(1), "pos")
+    made = F.when(F.col("role") == "def", F.col("pos"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = occurrences.withColumn("own", F.last(made, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("final", F.last(made, ignorenulls=True).over(whole) == made)
+    use = F.when(F.col("role") == "use", F.struct("pos", "block", "own"))
+    leaves = F.when(F.col("final") & F.col("block").isNotNull() & F.col("name").isNotNull(), F.struct("pos", "block"))
+    names = placed.groupBy("unit", "name").agg(F.collect_list(use).alias("uses"), F.collect_list(leaves).alias("ends"))
+    edges = flow.dropna(subset=["unit", "src", "dst"]).groupBy("unit").agg(F.collect_set(F.struct("src", "dst")).alias("steps"))
+    steps = F.coalesce("steps", F.array().cast(edges.schema["steps"].dataType))
+    far = F.exists("uses", lambda u: u["own"].isNull())
+    both = names.where(F.size("uses") > 0).join(edges, "unit", "left").select("unit", "name", "uses", F.when(far, F.col("ends")).otherwise(F.slice("ends", 1, 0)).alias("ends"), steps.alias("steps"))
+    kills = F.transform("ends", lambda e: e["block"])
+    facts = _bound(kills, lambda k: F.transform("ends", lambda e: F.struct(e["pos"].alias("pos"), _reached(e["block"], F.col("steps"), k).alias("blocks"))))
+
+    def met(facts, u):
+        entering = F.transform(F.filter(facts, lambda f: F.array_contains(f["blocks"], u["block"])), lambda f: f["pos"])
+        return F.struct(u["pos"].alias("pos"), F.when(u["own"].isNotNull(), F.array(u["own"])).otherwise(entering).alias("defs"))
+
+    found = both.select("unit", "name", F.explode(_bound(facts, lambda f: F.transform("uses", lambda u: met(f, u)))).alias("u"))
+    return found.select("unit", F.col("u.pos").alias("pos"), "name", F.explode_outer("u.defs").alias("def_pos"))
 
 
 def flow_edges(occurrences: DataFrame, flow: DataFrame) -> DataFrame:

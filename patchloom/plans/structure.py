@@ -9,7 +9,7 @@ from patchloom.operators import dataflow, metrics, trees
 from patchloom.plans.evaluation import _BLEU as BLEU
 from patchloom.plans.evaluation import _WBLEU as WEIGHTED
 from patchloom.plans.evaluation import CORPUS
-from patchloom.plans.registry import query, table
+from patchloom.plans.registry import query, spread, table
 from patchloom.plans.textual import KEY_WORDS, WORDS, _pairs
 from patchloom.storage import materialize
 
@@ -66,11 +66,16 @@ def tree_difference(spark, d):
     return pairs.groupBy(F.col("tree").alias("page_id"), "action", "kind").agg(F.count("*").alias("n"), F.count_if("root").alias("n_root"))
 
 
+#: Statements of a task, whose routines are made and followed where they are.
+STATEMENTS = 250_000
+
+
 def _statements(spark, d) -> tuple[DataFrame, DataFrame]:
     """An order as a routine: line numbers are blocks, line items statements that compute a supplier's variable from those of
     part and quantity. Blocks follow each other; a returned item branches over the next block, an accepted one jumps back."""
+    lines = spread(table(spark, d, "lineitem"), "l_orderkey", rows=STATEMENTS)
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("block"), rank.alias("stmt"), "l_returnflag", "l_suppkey", "l_partkey", "l_quantity")
+    items = lines.select(F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("block"), rank.alias("stmt"), "l_returnflag", "l_suppkey", "l_partkey", "l_quantity")
     variable = lambda c: F.concat(F.lit("v"), F.col(c).cast("long") % 5)
     each = [("def", "l_suppkey"), ("use", "l_partkey"), ("use", "l_quantity")]
     occurrences = items.select("unit", "block", "stmt", F.explode(F.array(*[F.struct((F.col("stmt").cast("long") * 3 + i).alias("pos"), F.lit(role).alias("role"), variable(c).alias("name")) for i, (role, c) in enumerate(each)])).alias("o"))

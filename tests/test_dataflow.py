@@ -85,3 +85,22 @@ def test_edges_of_a_loop(spark):
     assert got == {(0, "comesFrom", None), (1, "comesFrom", 0), (1, "comesFrom", 6), (2, "comesFrom", None), (4, "comesFrom", 3), (5, "comesFrom", 0), (5, "comesFrom", 6), (3, "computedFrom", 4), (3, "computedFrom", 5), (7, "comesFrom", 0), (7, "comesFrom", 6), (6, "computedFrom", 7), (8, "comesFrom", 3)}
     normal = metrics.normal_flow(metrics.merged_flow(edges, ["unit"]), ["unit"])
     assert Counter(x.edge for x in normal.collect())["var_1 computedFrom var_1 var_0"] == 1
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_dealt_units_are_not_exchanged_again(spark):
+    r = random.Random(3)
+    units = {k: programme(r) for k in range(9)}
+    occurrences = spark.createDataFrame([x for k, (b, _) in units.items() for x in rows(k, b)], SCHEMA).repartition(5, "unit")
+    flow = spark.createDataFrame([(k, s, t) for k, (_, e) in units.items() for s, t in e], "unit long, src int, dst int").repartition(5, "unit")
+    assert exchanges(dataflow.reaching(occurrences, flow)) == 2
+
+
+def test_null_keys_meet_nothing(spark):
+    own = [(1, 0, 0, 0, "def", "i"), (1, None, 1, 1, "use", "i"), (1, 1, 2, 2, "use", "i"), (None, 0, 0, 0, "def", "i"), (None, 1, 0, 3, "use", "i"), (1, None, 3, 4, "def", "j"), (1, 1, 4, 5, "use", "j")]
+    flow = spark.createDataFrame([(1, 0, 1), (1, 0, None), (1, None, 1), (None, 0, 1)], "unit long, src int, dst int")
+    got = {(x.unit, x.pos, x.def_pos) for x in dataflow.reaching(spark.createDataFrame(own, SCHEMA), flow).collect()}
+    assert got == {(1, 1, None), (1, 2, 0), (None, 3, None), (1, 5, None)}
