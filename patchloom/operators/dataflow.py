@@ -65,7 +65,9 @@ def flow_edges(occurrences: DataFrame, flow: DataFrame) -> DataFrame:
     uses of its statement (``computedFrom``), or comes from nothing."""
     used = reaching(occurrences, flow)
     uses = used.select("unit", "pos", "name", F.lit("comesFrom").alias("kind"), F.col("def_pos").alias("source_pos"), F.when(F.col("def_pos").isNotNull(), F.col("name")).alias("source_name"))
-    read = occurrences.where("role = 'use'").select("unit", "block", "stmt", F.col("pos").alias("source_pos"), F.col("name").alias("source_name"))
-    made = occurrences.where("role = 'def'").select("unit", "block", "stmt", "pos", "name").join(read, ["unit", "block", "stmt"], "left")
-    kind = F.when(F.col("source_pos").isNull(), "comesFrom").otherwise("computedFrom")
-    return uses.unionByName(made.select("unit", "pos", "name", kind.alias("kind"), "source_pos", "source_name"))
+    one = F.struct("pos", "name")
+    inside = occurrences.groupBy("unit", "block", "stmt").agg(F.collect_list(F.when(F.col("role") == "def", one)).alias("made"), F.collect_list(F.when(F.col("role") == "use", one)).alias("read"))
+    known = F.col("unit").isNotNull() & F.col("block").isNotNull() & F.col("stmt").isNotNull()
+    made = inside.select("unit", F.explode("made").alias("m"), F.when(known, F.col("read")).alias("read")).select("unit", "m", F.explode_outer("read").alias("r"))
+    kind = F.when(F.col("r").isNull(), "comesFrom").otherwise("computedFrom")
+    return uses.unionByName(made.select("unit", "m.pos", "m.name", kind.alias("kind"), F.col("r.pos").alias("source_pos"), F.col("r.name").alias("source_name")))

@@ -66,8 +66,8 @@ def tree_difference(spark, d):
     return pairs.groupBy(F.col("tree").alias("page_id"), "action", "kind").agg(F.count("*").alias("n"), F.count_if("root").alias("n_root"))
 
 
-#: Statements of a task, whose routines are made and followed where they are.
-STATEMENTS = 250_000
+#: Statements, and turns, of a task whose routines are made and followed where they are.
+STATEMENTS, ROUTINES = 250_000, 2_500
 
 
 def _statements(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +121,8 @@ def turn_nodes(spark, d) -> DataFrame:
 def turn_flow(spark, d) -> DataFrame:
     """Normal edges ``k, edge`` of turns read as routines: a line is a block whose first word is computed from the others; an even
     number of words branches over the next line, a multiple of five jumps back to the first."""
-    text = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit"), F.posexplode(F.split("text", "\n")).alias("block", "t"))
+    turns = spread(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit"), "text"), "unit", rows=ROUTINES)
+    text = turns.select("unit", F.posexplode(F.split("text", "\n")).alias("block", "t"))
     lines = text.select("unit", "block", metrics.tokens(F.col("t")).alias("w")).where(F.size("w") > 0)
     words = lines.select("unit", "block", F.col("block").alias("stmt"), F.posexplode("w").alias("i", "name"))
     occurrences = words.select("unit", "block", "stmt", (F.col("block").cast("long") * 100_000 + F.col("i")).alias("pos"), F.when(F.col("i") == 0, "def").otherwise("use").alias("role"), "name")

@@ -104,3 +104,18 @@ def test_null_keys_meet_nothing(spark):
     flow = spark.createDataFrame([(1, 0, 1), (1, 0, None), (1, None, 1), (None, 0, 1)], "unit long, src int, dst int")
     got = {(x.unit, x.pos, x.def_pos) for x in dataflow.reaching(spark.createDataFrame(own, SCHEMA), flow).collect()}
     assert got == {(1, 1, None), (1, 2, 0), (None, 3, None), (1, 5, None)}
+
+
+def test_edges_of_dealt_units_stay_where_they_are(spark):
+    """An edge at either end of a dependence is kept, a lone one is not; the rows of a task are bounded by their number."""
+    from patchloom.plans.registry import spread
+
+    rows = [(1, 0, "a", "comesFrom", None, None), (1, 1, "b", "computedFrom", 0, "a"), (1, 2, "c", "comesFrom", None, None), (1, 3, "b", "comesFrom", 9, "z"), (2, 0, "d", "comesFrom", None, None)]
+    edges = spark.createDataFrame(rows, "unit long, pos long, name string, kind string, source_pos long, source_name string").repartition(5, "unit")
+    flow = metrics.merged_flow(edges, ["unit"])
+    assert {(x.unit, x.pos, x.name, x.kind, tuple(map(tuple, x.sources))) for x in flow.collect()} == {(1, 0, "a", "comesFrom", ()), (1, 1, "b", "computedFrom", ((0, "a"),)), (1, 3, "b", "comesFrom", ((9, "z"),))}
+    assert exchanges(metrics.normal_flow(flow, ["unit"])) == 1
+    occurrences = spark.createDataFrame([(1, 0, 0, 0, "def", "i")], SCHEMA).repartition(5, "unit")
+    steps = spark.createDataFrame([(1, 0, 1)], "unit long, src int, dst int").repartition(5, "unit")
+    assert exchanges(dataflow.flow_edges(occurrences, steps)) <= 3  # uses, definitions, edges: each table as it was dealt
+    assert spread(spark.range(100), "id", rows=2).rdd.getNumPartitions() == 50
