@@ -80,3 +80,20 @@ def test_ties_and_empty_tables(spark):
     found = {(r.originalName, r.newName, r.votes) for r in renames.mined_renames(*tables(spark, b, a, ub, ua)).collect()}
     assert found == {("p.A", "p.X", 1), ("p.B", "p.Y", 1)}
     assert renames.mined_renames(*tables(spark, [], a, ub, [])).count() == 0
+
+
+def test_each_table_is_exchanged_once(spark):
+    """Declared names, places, and pairs by each of their ends; a plan names the declared names for both ends."""
+    b, a = [("c", "class", "p.A"), ("c", "method", "p.A")], [("c", "class", "p.X"), ("c", "method", "p.A")]
+    ub, ua = [("c", "T", i, "p.A") for i in range(3)] + [("c", None, 0, "p.A")], [("c", "T", i, "p.X") for i in range(3)] + [("c", None, 0, "p.X")]
+    votes = renames.rename_votes(*tables(spark, b, a, ub, ua))
+    assert votes._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 5
+    assert [tuple(r) for r in votes.collect()] == [("c", "class", "p.A", "p.X", 3)]
+
+
+def test_only_renamed_users_ask_again(spark):
+    rows = [("c", "class", "p.A", "p.X", 3)]
+    found = spark.createDataFrame(rows, "commit string, kind string, originalName string, newName string, votes long")
+    uses = lambda user: spark.createDataFrame([("c", user, 1, "p.B"), ("d", "p.A", 1, "p.B")], USES)
+    assert renames._any_renamed(uses("p.A"), found) and not renames._any_renamed(uses("p.C"), found)
+    assert not renames._any_renamed(uses("p.A"), found.limit(0))
