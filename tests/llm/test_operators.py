@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from patchloom.llm import batches, bpe, decontaminate, exact_topk, line_dedup, quality, simhash, substring_dedup, toxicity, url_reputation, warc
@@ -270,6 +271,37 @@ def test_line_dedup_near_lines(spark):
     assert line_dedup.line_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_line_dedup_sizes(spark, threshold):
+    """Similar lines of all sizes meet, those whose sizes are in neighbouring classes too."""
+    rng = random.Random(7)
+    sets = []
+    for size in range(1, 61):
+        base = [f"w{rng.randrange(400)}" for _ in range(size)]
+        for cut, more in ((0, 0), (size // 5, 0), (size // 6, 0), (0, size // 4), (size // 10, size // 10), (size // 9, size // 8)):
+            sets.append(frozenset(base[cut:] + [f"x{rng.randrange(400)}" for _ in range(more)]))
+    rng.shuffle(sets)
+    near = lambda x, y: round(100 * threshold) * len(x | y) <= 100 * len(x & y)
+    kept = [i for i, s in enumerate(sets) if not any(near(s, o) for o in sets[:i])]
+    rows = [(i, " ".join(sorted(s))) for i, s in enumerate(sets)]
+    done = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), threshold)
+    assert sorted(r.doc_id for r in done.where("_removed = 0").collect()) == kept and 60 <= len(kept) < 300
+
+
+def test_line_dedup_reads_texts_twice(spark):
+    """Once to make the word sets that all steps share, once to put the kept lines together."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, f"a line of words that {i // 2} texts share\nand one of its own {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    done = line_dedup.line_dedup(docs.withColumn("text", F.udf(count, "string").asNondeterministic()("text"))).agg(F.sum("_removed")).first()
+    assert done[0] >= 20 and seen.value <= 2 * len(rows)
+
+
 def test_decontamination(spark, docs):
     rows = both(docs)
     item = next(t for i, t in rows if i == 111).split()
