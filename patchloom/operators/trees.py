@@ -2,22 +2,30 @@
 
 A node table has a row for each node: ``tree`` (key), ``node`` (ids ascend in document order inside a tree), ``parent``
 (null for a root; several roots are allowed), ``place`` (0, 1, ... among its siblings), ``kind``, ``value`` (may be null).
-Every step is joins and aggregates over all trees at once; no task holds a tree. An empty table gives empty results.
+Every step is joins and aggregates over all trees at once, and no task holds a tree; only :func:`tree_difference` compares trees of a
+bounded number of nodes one at a time, where they are. An empty table gives empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.functions.forests import ACTIONS, INSERT, MOVE, Forest, difference
+from patchloom.functions.forests import kept_order as _kept_order
 from patchloom.storage import materialize, remove
 
 NODE = ["tree", "node", "parent", "place", "kind", "value"]
 #: Children folded together at most, and characters of a subtree's text before its digest stands for it.
 FAN, LONGEST = 1024, 4096
+#: Nodes of a task that compares trees one at a time, and kinds of actions and of their parents that it hands on together, about.
+TASK_NODES, HANDED = 250_000, 1 << 20
 
 
 def _shuffled(df: DataFrame) -> DataFrame:
@@ -103,13 +111,16 @@ def nested(tokens: DataFrame) -> DataFrame:
     """The node table of ``tree, node, step, kind, value`` tokens in document order (``node`` ascends): step 1 opens a node,
     0 is a leaf, -1 closes the innermost open node and is none itself.
 
-    A node's parent is the last one opened a level above it; found by a running maximum over the rows of that level."""
+    A node's parent is the last one opened a level above it; found by a running maximum over the rows of that level, where a
+    node that opens has a second row. Tokens that are dealt by ``tree`` are not exchanged again."""
     before = Window.partitionBy("tree").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     level = tokens.withColumn("level", F.coalesce(F.sum("step").over(before), F.lit(0))).where("step >= 0")
-    opens = level.where("step = 1").select("tree", F.col("level").alias("key"), "node", F.col("node").alias("open"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("own"))
-    asks = level.select("tree", (F.col("level") - 1).alias("key"), "node", F.lit(None).cast("long").alias("open"), "kind", "value", F.lit(True).alias("own"))
+    roles = F.when(F.col("step") == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    rows = level.withColumn("own", F.explode(roles))
+    own = F.col("own")
+    rows = rows.select("tree", "node", (F.col("level") - own.cast("int")).alias("key"), F.when(~own, F.col("node")).alias("open"), *(F.when(own, F.col(c)).alias(c) for c in ("kind", "value")), "own")
     above = Window.partitionBy("tree", "key").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    found = opens.unionByName(asks).withColumn("parent", F.max("open").over(above)).where("own")
+    found = rows.withColumn("parent", F.max("open").over(above)).where("own")
     place = F.row_number().over(Window.partitionBy("tree", "parent").orderBy("node")) - 1
     return found.select("tree", "node", "parent", place.alias("place"), "kind", "value")
 
@@ -239,21 +250,6 @@ def tree_matches(a: DataFrame, b: DataFrame, least: int = 2, share: float = 0.5)
     return materialize(known, "tree-matches")
 
 
-def _kept_order(ranks: list[int]) -> list[bool]:
-    """Which entries belong to the longest increasing subsequence (of several the one whose entries end earliest)."""
-    from bisect import bisect_left
-
-    ends, ends_at, back = [], [], []
-    for i, x in enumerate(ranks):
-        k = bisect_left(ends, x)
-        back.append(ends_at[k - 1] if k else -1)
-        ends[k : k + 1], ends_at[k : k + 1] = [x], [i]
-    kept, i = [False] * len(ranks), ends_at[-1] if ends_at else -1
-    while i >= 0:
-        kept[i], i = True, back[i]
-    return kept
-
-
 def _out_of_order(both: DataFrame) -> DataFrame:
     """``tree, a`` of matched children of matched parents that leave the longest run in common order.
 
@@ -272,13 +268,105 @@ def _out_of_order(both: DataFrame) -> DataFrame:
     return rows.groupBy("tree", "parent_a").applyInArrow(run, f"tree {kinds['tree']}, a {kinds['a']}")
 
 
-def tree_difference(before: DataFrame, after: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
+def _whole_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of ``tree``, cut where a tree ends."""
+    rest = []
+    for batch in (x for x in batches if x.num_rows):
+        trees = batch.column("tree")
+        last = pc.index(trees, trees[-1]).as_py()
+        if last or (rest and rest[0].column("tree")[-1] != trees[0]):
+            yield pa.concat_batches([*rest, batch.slice(0, last)])
+            rest = []
+        rest.append(batch.slice(last))
+    if rest:
+        yield pa.concat_batches(rest)
+
+
+def _codes(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(distinct entries, index of each entry among them, -1 for null)."""
+    coded = column.dictionary_encode()
+    return coded.dictionary, coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _compared(least: int, share: float) -> Callable:
+    """Actions of ``tree, side, node, parent, place, kind, value`` rows that lie in order of the first three."""
+
+    def actions(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bool, list[int]]]:
+        """(action, row of the node, root, codes of the kinds of its ancestors)."""
+        trees, parent = batch.column("tree"), batch.column("parent")
+        kind, value = _codes(batch.column("kind"))[1], _codes(batch.column("value"))[1]
+        columns = [batch.column("node").to_numpy(), parent.fill_null(0).to_numpy(), parent.is_null().to_numpy(zero_copy_only=False), batch.column("place").to_numpy(), kind, kind * (len(value) + 1) + value]
+        side = batch.column("side").to_numpy()
+        cuts = np.flatnonzero(pc.not_equal(trees.slice(1), trees.slice(0, len(trees) - 1)).to_numpy(zero_copy_only=False)) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            middle, known = start + int(np.searchsorted(side[start:end], 1)), {}
+            a, b = (Forest(*(c[i:j] for c in columns), known) for i, j in ((start, middle), (middle, end)))
+            above, size = {}, 0
+            for action, i, root in difference(a, b, least, share):
+                own, first = (b, middle) if action in (INSERT, MOVE) else (a, start)
+                key = first, own.parent[i]
+                if key not in above:
+                    if size > HANDED:
+                        above, size = {}, 0
+                    above[key] = [own.kind[k] for k in own.above(i)]
+                    size += len(above[key])
+                yield action, first + i, root, above[key]
+
+    def handed(batch: pa.RecordBatch, done: list[tuple]) -> pa.RecordBatch:
+        action, row, root, above = zip(*done)
+        codes = np.fromiter((k for x in above for k in x), np.int64)
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in above])))
+        kinds = batch.column("kind").dictionary_encode().dictionary.take(pa.array(codes, mask=codes < 0))
+        rows = batch.select(["tree", "node", "kind"]).take(pa.array(row))
+        parents = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), kinds)
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(ACTIONS).take(pa.array(action)), rows.column(1), rows.column(2), parents, pa.array(root)], names=["tree", "action", "node", "kind", "parents", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_trees(batches):
+            done, size = [], 0
+            for x in actions(batch):
+                done.append(x)
+                size += 1 + len(x[3])
+                if size > HANDED:
+                    yield handed(batch, done)
+                    done, size = [], 0
+            if done:
+                yield handed(batch, done)
+
+    return run
+
+
+def _difference_in_tasks(before: DataFrame, after: DataFrame, least: int, share: float, tasks: int) -> DataFrame:
+    """:func:`tree_difference` with both versions of a tree in one task, which compares them one tree at a time.
+
+    Long values are compared by digest, which is longer than any value that stays as it is."""
+    sided = [df.select("tree", F.lit(i).alias("side"), *NODE[1:5], _kept_short(F.col("value"), 32).alias("value")) for i, df in enumerate((before, after))]
+    rows = sided[0].unionByName(sided[1]).repartition(tasks, "tree").sortWithinPartitions("tree", "side", "node")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(_compared(least, share), f"tree {kinds['tree']}, action string, node {kinds['node']}, kind string, parents array<string>, root boolean")
+
+
+def tree_difference(before: DataFrame, after: DataFrame, least: int = 2, share: float = 0.5, held: int = 0) -> DataFrame:
     """``tree, action, node, kind, parents, root``: what turns the trees before into those after.
 
     ``delete`` and ``update`` name the node before, ``insert`` and ``move`` the node after. ``update``: matched, another value.
     ``move``: matched, but its parents are not, or it leaves the common order of their children. ``parents`` are the kinds of
     its ancestors, the nearest first; ``root`` is false for an insert or delete below another of its sort. Trees on one side only
-    are inserted or deleted whole."""
+    are inserted or deleted whole.
+
+    A tree (a plain key) of at most ``held`` nodes, both versions together, is compared by one task after one exchange; all others,
+    and those with a null in their keys, are compared by joins, with the same result. Both tables are then read twice at least."""
+    if held:
+        keys = [df.select("tree", (F.col("node").isNull() | F.col("place").isNull()).alias("odd")) for df in (before, after)]
+        sizes = keys[0].unionByName(keys[1]).groupBy("tree").agg(F.count("*").alias("n"), F.max("odd").alias("odd"))
+        large = F.col("tree").isNull() | F.col("odd") | (F.col("n") > held)
+        nodes, apart = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(large)).first()
+        tasks = max(3 * before.sparkSession.sparkContext.defaultParallelism, -(-nodes // TASK_NODES))
+        if not apart:
+            return _difference_in_tasks(before, after, least, share, tasks)
+        marks = _shuffled(materialize(sizes.where(large).select(F.col("tree").alias("l_tree")), "tree-large"))
+        part = lambda how: [df.join(marks, F.col("tree").eqNullSafe(F.col("l_tree")), how) for df in (before, after)]
+        return _difference_in_tasks(*part("left_anti"), least, share, tasks).unionByName(tree_difference(*part("left_semi"), least, share))
     a, b = _prepared(before, after)
     pairs = tree_matches(a, b, least, share)
     gone, new = _without(a, pairs, "a"), _without(b, pairs, "b")

@@ -321,3 +321,70 @@ def test_rows_are_spread_over_tasks(spark):
     from patchloom.plans.registry import spread
 
     assert spread(spark.range(1), "id").rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+
+
+def odd(forests):
+    """Rows with nodes below a parent that is none, and with null kinds."""
+    r, out = random.Random(12), {}
+    for k, rows in forests.items():
+        lost = r.randrange(1, len(rows)) if k % 4 == 1 and len(rows) > 1 else None
+        out[k] = [(n, 999 if n == lost else p, place, None if k % 5 == 2 and n % 3 == 1 else kind, value) for n, p, place, kind, value in rows]
+    return out
+
+
+@pytest.mark.parametrize("held", [30, 10_000])
+def test_difference_in_tasks_is_that_by_joins(spark, held):
+    """Trees of at most ``held`` nodes are compared one at a time, larger ones by joins; long values, several roots, odd rows."""
+    r = random.Random(7)
+    before = {k: grown(r, r.randint(3, 40), 0.2) for k in range(40)}
+    after = {k: changed(r, before[k]) if k % 7 else grown(r, 14) for k in range(38)} | {50: grown(r, 5)}
+    wide = lambda f: {k: [(*x[:4], x[4] if x[4] != "x" else "long " * 20) for x in rows] for k, rows in f.items()}
+    got = Counter((x.tree, x.action, x.node, x.kind, tuple(x.parents), x.root) for x in trees.tree_difference(table(spark, wide(before)), table(spark, wide(after)), held=held).collect())
+    want = Counter()
+    for k in sorted({*before, *after}):
+        for x, n in plain_difference(wide(before).get(k, []), wide(after).get(k, []))[0].items():
+            want[(k, *x)] += n
+    assert got == want
+    strange = table(spark, odd(before)), table(spark, odd(after) | {None: [(0, None, 0, "a", None), (1, 0, 0, "b", "v")]})
+    both = [Counter((x.tree, x.action, x.node, x.kind, tuple(x.parents), x.root) for x in trees.tree_difference(*strange, held=h).collect()) for h in (0, held)]
+    assert both[0] == both[1] and any(x[0] is None for x in both[0])
+    assert trees.tree_difference(table(spark, before).limit(0), table(spark, after).limit(0), held=held).count() == 0
+
+
+def test_trees_are_cut_whole_out_of_batches():
+    import pyarrow as pa
+
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 3, 4, 5, 5]
+    for size in range(1, 13):
+        batches = [pa.record_batch({"tree": keys[i : i + size], "n": list(range(i, min(i + size, 12)))}) for i in range(0, 12, size)]
+        cut = [x.to_pydict() for x in trees._whole_trees([*batches, batches[0].slice(0, 0)])]
+        assert [n for x in cut for n in x["n"]] == list(range(12))
+        assert all(set(x["tree"]).isdisjoint(y["tree"]) for i, x in enumerate(cut) for y in cut[:i])
+
+
+def test_small_trees_take_no_rounds(spark, monkeypatch):
+    """The query's pages are compared where they are: no table a round is written, only the nodes."""
+    from pyspark.sql import DataFrameWriter
+
+    from patchloom.plans import catalogue
+
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, **options: (written.append(path), write(self, path, **options))[1])
+    done = catalogue.QUERIES["tree_difference"](spark, "/root/testdata/sf0.001")
+    assert done.count() > 0 and len(written) == 1
+
+
+def test_long_chains_are_handed_on_in_parts(spark, monkeypatch):
+    """Parents of a chain are as many as the square of its length; what a task hands on together stays bounded."""
+    chain = [(i, i - 1 if i else None, 0, f"k{i % 3}", str(i)) for i in range(300)]
+    other = [(i, i - 1 if i else None, 0, f"k{i % 3}", str(i if i % 2 else -i)) for i in range(300)]
+    monkeypatch.setattr(trees, "HANDED", 500)
+    run = trees._compared(2, 0.5)
+    import pyarrow as pa
+
+    rows = [(7, side, *x) for side, t in enumerate((chain, other)) for x in t]
+    batch = pa.RecordBatch.from_pylist([dict(zip(["tree", "side", "node", "parent", "place", "kind", "value"], x)) for x in rows])
+    out = list(run([batch]))
+    assert len(out) > 10 and all(len(x.column("parents").flatten()) <= 900 for x in out)
+    want = plain_difference(chain, other)[0]
+    assert Counter((x["action"], x["node"], x["kind"], tuple(x["parents"]), x["root"]) for b in out for x in b.to_pylist()) == want
