@@ -18,14 +18,15 @@ VOID = ["meta", "br", "link", "img", "input", "hr"]
 
 
 #: Pages of a task that makes their node tables, and nodes of two pages that one task compares by itself; larger ones are compared by joins.
-PAGES, HELD = 2_500, 50_000
+PAGES, HELD = 2_500, 20_000
 
 
-def page_nodes(spark, d) -> DataFrame:
+def page_nodes(spark, d, whole: bool = False) -> DataFrame:
     """The markup of every page as a node table: elements by name, text as ``#text``, comments as ``#note``.
 
-    Pages are dealt once; their windows need no other exchange."""
-    pages = spread(table(spark, d, "pages").select("page_id", "html"), "page_id", rows=PAGES)
+    With ``whole`` the pages are dealt once, and their windows need no other exchange; without values, nodes are exchanged for less."""
+    pages = table(spark, d, "pages").select("page_id", "html")
+    pages = spread(pages, "page_id", rows=PAGES) if whole else pages
     parts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<[^>]*>|[^<]+"), F.lit(0))).alias("node", "part"))
     name = F.lower(F.regexp_extract("part", "^<([a-zA-Z0-9]+)", 1))
     kind = F.when(F.col("part").startswith("<!"), "#note").when(F.col("part").startswith("<"), name).otherwise("#text")
@@ -67,7 +68,7 @@ def subtree_match(spark, d):
 @query(None)
 def tree_difference(spark, d):
     """What turns a page's markup into that of the next page: rows of each action and kind."""
-    nodes = materialize(page_nodes(spark, d), "page-nodes")
+    nodes = materialize(page_nodes(spark, d, whole=True), "page-nodes")
     last = nodes.agg(F.max("tree")).first()[0]
     pairs = trees.tree_difference(nodes.where(F.col("tree") < F.lit(last)), nodes.where("tree > 0").withColumn("tree", F.col("tree") - 1), held=HELD)
     return pairs.groupBy(F.col("tree").alias("page_id"), "action", "kind").agg(F.count("*").alias("n"), F.count_if("root").alias("n_root"))
